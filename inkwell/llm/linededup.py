@@ -174,7 +174,8 @@ def apply_bitmaps(df: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([b.column(0), *made, *b.columns[3:]], ["id", "kept", "n_lines", "n_dropped", *carry])
 
     rows = df.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("t"), *carry)
-    joined = rows.join(maps, F.col("_id") == F.col("id"), "left").select("_id", "t", "keep", *carry)
+    # The bitmaps grow with the corpus: never broadcast.
+    joined = rows.join(maps.hint("merge"), F.col("_id") == F.col("id"), "left").select("_id", "t", "keep", *carry)
     return joined.mapInArrow(batches, "id long, kept string, n_lines long, n_dropped long" + "".join(f", {c} string" for c in carry))
 
 
