@@ -1,3 +1,3 @@
 """Queries over the driver tables, one module per family. Importing this package registers them."""
 
-from . import library, relational, search, series  # noqa: F401
+from . import entities, evaluation, identity, library, linkage, relational, scoring, search, series  # noqa: F401
