@@ -54,7 +54,8 @@ class ChunkTable:
 
     def _segment(self, chunk: str) -> tuple[bytes, bytes]:
         """The ids as little-endian 32-bit integers, and what they decode to with the marker as a space."""
-        ids = self.model.encode(chunk[1:].replace(MARK, " "), num_threads=1)
+        # The library sets the first marker itself, but none for an empty text: a lone marker (a space at the end) is its own piece.
+        ids = [self.model.piece_to_id(MARK)] if chunk == MARK else self.model.encode(chunk[1:].replace(MARK, " "), num_threads=1)
         out = bytearray()
         for i in ids:
             if i in self.byte_of:
