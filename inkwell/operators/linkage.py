@@ -13,8 +13,8 @@ WIDTH, SHARED, CONTAINED = 8, 10, 0.8
 
 def shingle_rows(df: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
     """(id, h, n): distinct shingles as 64-bit hashes with the document's number of them."""
-    s = shingles(words(F.col(text_col)), width)
-    rows = df.select(F.col(id_col).alias("id"), s.alias("s"))
+    # The words are a column of their own: inside the shingles' lambda the split would run for every shingle.
+    rows = df.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).select("id", shingles(F.col("w"), width).alias("s"))
     return rows.select("id", F.size("s").alias("n"), F.explode("s").alias("g")).select("id", "n", F.xxhash64("g").alias("h"))
 
 
@@ -60,12 +60,12 @@ def admitted(pairs: DataFrame) -> DataFrame:
     """(article, event): reports that an event takes.
 
     ``pairs`` has a row per member: article, event, score, matched, compatible, specific, conflict. No
-    conflict; a specific shared name with every member; some match; two thirds compatible; a mean score
-    of 0.45 or more; under a hundred members.
+    conflict; a specific shared name with every member; some match; two thirds compatible; a mean score,
+    rounded so that the order of summing doesn't matter, of 0.45 or more; under a hundred members.
     """
     g = pairs.groupBy("article", "event").agg(
         F.count("*").alias("n"), F.bool_or(F.col("conflict").isNotNull()).alias("bad"), F.bool_and("specific").alias("specific"),
-        F.bool_or("matched").alias("matched"), F.count_if("compatible").alias("fit"), F.avg("score").alias("mean"),
+        F.bool_or("matched").alias("matched"), F.count_if("compatible").alias("fit"), F.round(F.avg("score"), 9).alias("mean"),
     )
     return g.where("n < 100 AND NOT bad AND specific AND matched AND fit >= ceil(2 * n / 3.0) AND mean >= 0.45").select("article", "event", "mean")
 

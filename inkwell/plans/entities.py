@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import words
 from ..operators.graph import capped_mentions, components, edges, pagerank, personalized, related
 from ..operators.storage import checkpointed
 from ..operators.windows import first_rows
@@ -77,17 +78,19 @@ def entity_latest_stories(spark, sf_dir):
     return first_rows(s, ["l_suppkey"], [F.desc("d"), F.asc("l_orderkey")], 6).select(F.col("l_suppkey").alias("entity"), F.col("l_orderkey").alias("story"))
 
 
-@query(r"""WITH t AS (SELECT doc_id AS story, lower(text) AS t, regexp_extract(lower(text), '^[^.!?\n]*') AS lead FROM documents), c AS (SELECT unnest(['the', 'und', 'les', 'que', 'license']) AS entity),
-s AS (SELECT story, entity, 3 * len(regexp_extract_all(lead, '\b' || entity || '\b')) + len(regexp_extract_all(t, '\b' || entity || '\b')) AS score FROM t, c)
+W = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+
+
+@query(f"""WITH t AS (SELECT doc_id AS story, {W.format("text")} AS t, {W.format(r"regexp_extract(text, '^[^.!?\n]*')")} AS lead FROM documents), c AS (SELECT unnest(['the', 'und', 'les', 'que', 'license']) AS entity),
+s AS (SELECT story, entity, 3 * len(list_filter(lead, lambda x: x = entity)) + len(list_filter(t, lambda x: x = entity)) AS score FROM t, c)
 SELECT story, entity, score::BIGINT AS score FROM s WHERE score >= 2""")
 def entity_tags(spark, sf_dir):
-    """Entities scored by mentions, those in the lead counting three more; twelve a story."""
-    low = F.lower("text")
-    lead = F.regexp_extract(low, r"^[^.!?\n]*", 0)
+    """Entities scored by whole-word mentions, those in the lead counting three more; twelve a story."""
     names = ["the", "und", "les", "que", "license"]
-    scores = F.array(*(F.struct(F.lit(n).alias("entity"), (3 * F.regexp_count(lead, F.lit(rf"\b{n}\b")) + F.regexp_count(low, F.lit(rf"\b{n}\b"))).cast("long").alias("score")) for n in names))
-    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("story"), F.inline(scores)).where("score >= 2")
-    return capped_mentions(t)
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("story"), words(F.col("text")).alias("t"), words(F.regexp_extract("text", r"^[^.!?\n]*", 0)).alias("lead"))
+    met = lambda c, n: F.size(F.filter(c, lambda w: w == n))
+    scores = F.array(*(F.struct(F.lit(n).alias("entity"), (3 * met("lead", n) + met("t", n)).cast("long").alias("score")) for n in names))
+    return capped_mentions(t.select("story", F.inline(scores)).where("score >= 2"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) AND length(text) >= 400 ORDER BY doc_id DESC LIMIT 50")

@@ -89,7 +89,7 @@ def pair_assessment(spark, sf_dir):
 
 
 ADMIT = """p AS (SELECT l_partkey AS article, l_suppkey % 40 AS event, l_discount * 10 AS score, l_quantity > 20 AS matched, l_tax <= 0.06 AS compatible, l_linenumber <= 6 AS specific, l_returnflag = 'R' AND l_quantity > 48 AS bad FROM lineitem),
-g AS (SELECT article, event, avg(score) AS mean FROM p GROUP BY 1, 2 HAVING count(*) < 100 AND NOT bool_or(bad) AND bool_and(specific) AND bool_or(matched) AND count(*) FILTER (WHERE compatible) >= ceil(2 * count(*) / 3.0) AND avg(score) >= 0.45)"""
+g AS (SELECT article, event, round(avg(score), 9) AS mean FROM p GROUP BY 1, 2 HAVING count(*) < 100 AND NOT bool_or(bad) AND bool_and(specific) AND bool_or(matched) AND count(*) FILTER (WHERE compatible) >= ceil(2 * count(*) / 3.0) AND round(avg(score), 9) >= 0.45)"""
 
 
 def _admitted(spark, sf_dir):
@@ -133,9 +133,10 @@ def fragment_merge(spark, sf_dir):
     """Events that share terms and are near in time; the join is on term and time bucket."""
     width = 90 * 86_400
     o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 1").select("o_orderkey", F.col("o_custkey").alias("event"), F.unix_timestamp("o_orderdate").alias("at"))
-    first = o.groupBy("event").agg(F.min("at").alias("at"))
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("term"))
-    t = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("event", "term").distinct().join(first, "event").withColumn("bucket", F.expr(f"at div {width}"))
+    reports = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("event", "term").agg(F.min("at").alias("at"))
+    first = reports.groupBy("event").agg(F.min("at").alias("at"))
+    t = reports.select("event", "term").join(first, "event").withColumn("bucket", F.expr(f"at div {width}"))
     a = t.select(F.col("event").alias("a"), "term", F.col("at").alias("aa"), F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1)).alias("bucket"))
     b = t.select(F.col("event").alias("b"), "term", F.col("at").alias("ba"), "bucket")
     return a.join(b, ["term", "bucket"]).where(f"a < b AND abs(aa - ba) <= {width}").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 3")
@@ -181,4 +182,5 @@ def representatives(spark, sf_dir):
 @query(f"""WITH t AS (SELECT doc_id, {W} AS w FROM documents) SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(1, len(w) - 6)), lambda i: array_to_string(list_slice(w, i, i + 7), ' '))))::INT AS n FROM t""")
 def shingle_counts(spark, sf_dir):
     """Distinct eight-word shingles of each document."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(shingles(words(F.col("text")), 8)).alias("n"))
+    t = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("w"))
+    return t.select("doc_id", F.size(shingles(F.col("w"), 8)).alias("n"))
