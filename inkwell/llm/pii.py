@@ -28,6 +28,8 @@ EMBED, HIDDEN = 12, 20
 #: The fit reads at most this many texts with a trigger character, the first by a hash of their id.
 FIT_ROWS = 1200
 FIT_WINDOWS = 2400
+#: Passes over the fitted texts at most, until there are so many windows.
+FIT_PASSES = 60
 #: Least mean probability of the decoded tags over a span that the network adds.
 SURE = 0.9
 
@@ -166,7 +168,7 @@ def crf_gradient(scores: np.ndarray, tags: np.ndarray, trans: np.ndarray):
     return float((total - gold).mean()), d_scores / rows, pair / rows
 
 
-def fit(chars: np.ndarray, tags: np.ndarray, epochs: int = 5, batch: int = 16, seed: int = 3) -> dict:
+def fit(chars: np.ndarray, tags: np.ndarray, epochs: int = 6, batch: int = 24, seed: int = 3) -> dict:
     """Adam over windows of characters with a tag each."""
     rng, f32 = np.random.default_rng(seed), np.float32
     init = lambda *shape: rng.normal(0, 1 / shape[0] ** 0.5, shape).astype(f32)
@@ -245,37 +247,51 @@ def disguised(kind: int, value: str, rng: random.Random) -> str:
     return rng.choice([f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"00{digits[:1]} {d[:3]} {d[3:6]} {d[6:]}"])
 
 
+def decoy(rng: random.Random) -> str:
+    """Digits that are no personal data: years, amounts, times, versions, ordinals."""
+    n = rng.randrange
+    return rng.choice([f" {n(1900, 2030)} ", f" {n(1, 200)} ", f" {n(1, 99)}.{n(10)} ", f" {n(1, 24)}:{n(10, 60)} ", f" {n(1, 10)},{n(100, 999)} ", f" v{n(1, 9)}.{n(20)}.{n(20)} ", f" {n(1, 99)}-{n(1, 99)} ", f" {n(2000, 2030)}-{n(10, 13)}-{n(10, 29)} ", " @ "])
+
+
 def training_windows(texts: list[str], limit: int = FIT_WINDOWS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of characters and tags around the spans and the bare triggers of the texts, half of the spans disguised."""
+    """Windows of characters and tags around the triggers of the texts, gone through until ``limit`` windows are made.
+
+    On each pass the digits of every span are drawn anew, half of the spans are disguised, and decoys are put between words.
+    """
     rng, chars, tags = random.Random(seed), [], []
-    for text in texts:
-        spans = base_spans(text)
-        pieces, at, marks, n = [], 0, [], 0
-        for s, k, e in spans:
-            if s < at:
-                continue
-            value = text[s:e] if rng.random() < 0.5 else disguised(k, text[s:e], rng)
-            pieces += [text[at:s], value]
-            n += s - at
-            marks.append((n, k, n + len(value)))
-            n, at = n + len(value), e
-        made = "".join([*pieces, text[at:]])
-        tag = np.zeros(len(made), np.int64)
-        for s, k, e in marks:
-            tag[s:e] = 2 * k + 2
-            tag[s] = 2 * k + 1
-        code, seen = codes(made), -1
-        for m in _TRIGGER.finditer(made):
-            if m.start() < seen:
-                continue
-            start = max(0, m.start() - rng.randrange(WINDOW - 8))
-            seen = start + WINDOW
-            c, t = np.full(WINDOW, PAD), np.zeros(WINDOW, np.int64)
-            c[: len(code[start:seen])], t[: len(tag[start:seen])] = code[start:seen], tag[start:seen]
-            chars.append(c)
-            tags.append(t)
-            if len(chars) >= limit:
-                return np.array(chars), np.array(tags)
+    known = [(t, s) for t in texts if (s := base_spans(t))]
+    for turn in range(FIT_PASSES):
+        for text, spans in known if turn else [(t, base_spans(t)) for t in texts]:
+            pieces, at, marks, n = [], 0, [], 0
+            for s, k, e in spans:
+                if s < at:
+                    continue
+                value = "".join(rng.choice("0123456789") if c in "0123456789" else c for c in text[s:e])
+                value = value if rng.random() < 0.5 else disguised(k, value, rng)
+                before = text[at:s] if rng.random() < 0.6 else decoy(rng).join(text[at:s].rsplit(" ", rng.randrange(1, 3)))
+                pieces += [before, value]
+                n += len(before)
+                marks.append((n, k, n + len(value)))
+                n, at = n + len(value), e
+            made = "".join([*pieces, text[at:], decoy(rng) if rng.random() < 0.3 else ""])
+            tag = np.zeros(len(made), np.int64)
+            for s, k, e in marks:
+                tag[s:e] = 2 * k + 2
+                tag[s] = 2 * k + 1
+            code, seen = codes(made), -1
+            for m in _TRIGGER.finditer(made):
+                if m.start() < seen:
+                    continue
+                start = max(0, m.start() - rng.randrange(WINDOW - 8))
+                seen = start + WINDOW
+                c, t = np.full(WINDOW, PAD), np.zeros(WINDOW, np.int64)
+                c[: len(code[start:seen])], t[: len(tag[start:seen])] = code[start:seen], tag[start:seen]
+                chars.append(c)
+                tags.append(t)
+                if len(chars) >= limit:
+                    return np.array(chars), np.array(tags)
+        if not known:
+            break
     return np.array(chars).reshape(-1, WINDOW), np.array(tags).reshape(-1, WINDOW)
 
 

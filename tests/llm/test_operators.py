@@ -169,7 +169,7 @@ def test_op5_base_spans_stay(spark, small):
 
 
 def test_op5_network_adds_disguised_spans(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     net = pii.train(docs)
     text = "Please write to (555) 010-9999 for help, or 555-010-4321 after noon."
     found = pii.network_spans(net, [text], [pii.base_spans(text)])[0]
