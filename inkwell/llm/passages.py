@@ -25,7 +25,7 @@ from .simhash import _runs
 LENGTH = 400
 PIECE = 64
 #: Bytes of text hashed at once; positions inside a block fit in 20 bits.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 _POS = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -172,14 +172,15 @@ def _repeated_windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_intervals(df: DataFrame) -> DataFrame:
     """(id, th, raw) → (id, th, cuts): for each text with repeated windows, their byte intervals (start, end)."""
     rows = materialize(spans(df), "spans")
-    # Anchors met once can't hold a repeated window: most spans leave here.
-    met = rows.groupBy("anchor").agg(F.count("*").alias("met")).where("met > 1").select("anchor")
-    rows = materialize(rows.join(met, "anchor", "left_semi"), "met-spans")
+    # Anchors met once can't hold a repeated window: most spans leave here. The anchors are written
+    # apart: the join's stage then holds no aggregate, and a hot anchor's rows can be split.
+    met = materialize(rows.groupBy("anchor").agg(F.count("*").alias("met")).where("met > 1").select("anchor"), "met-anchors")
+    rows = materialize(rows.join(met.hint("merge"), "anchor", "left_semi"), "met-spans")
     shape = ["anchor", "rel", "len", "span"]
     kinds = materialize(rows.groupBy(*shape).agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "lo")).alias("at")), "span-kinds")
     whole = kinds.where("n > 1").select(*shape, F.lit(0).alias("w0"), (F.col("len") - LENGTH).alias("w1"))
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    compared = kinds.join(several, "anchor", "left_semi").select(*shape, "at.*")
+    several = materialize(kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "several-kinds")
+    compared = kinds.join(several.hint("merge"), "anchor", "left_semi").select(*shape, "at.*")
     # Bytes of one example of each kind, cut from its text.
     wanted = compared.groupBy("id", "th").agg(F.collect_list(F.struct(*shape, "lo")).alias("want"))
     cut = df.join(wanted, [df.id.eqNullSafe(wanted.id), df.th == wanted.th]).select("raw", F.explode("want").alias("w"))
@@ -187,7 +188,7 @@ def repeated_intervals(df: DataFrame) -> DataFrame:
     cut = cut.repartition("anchor").sortWithinPartitions("anchor")
     partly = cut.mapInArrow(_repeated_windows, "anchor long, rel int, len int, span long, w0 int, w1 int")
     marks = materialize(whole.unionByName(partly.join(whole, shape, "left_anti")), "span-marks")
-    hits = rows.join(marks, shape).select("id", "th", F.struct((F.col("lo") + F.col("w0")).alias("s"), (F.col("lo") + F.col("w1") + LENGTH).alias("e")).alias("cut"))
+    hits = rows.join(marks.hint("merge"), shape).select("id", "th", F.struct((F.col("lo") + F.col("w0")).alias("s"), (F.col("lo") + F.col("w1") + LENGTH).alias("e")).alias("cut"))
     return hits.groupBy("id", "th").agg(F.sort_array(F.collect_set("cut")).alias("cuts"))
 
 
