@@ -65,14 +65,19 @@ def personalized(edge: DataFrame, seed, rounds: int = ROUNDS, damping: float = D
     """(node, rank) of a walk that restarts at ``seed``; mass that can't move on returns there."""
     out = edge.groupBy("a").agg(F.sum("weight").alias("total"))
     share = checkpointed(edge.join(out, "a").select("a", "b", (F.col("weight") / F.col("total")).alias("share")))
-    ranks = share.where(F.col("a") == seed).select(F.col("a").alias("node")).distinct().withColumn("rank", F.lit(1.0))
-    ranks = checkpointed(ranks)
+    start = checkpointed(share.where(F.col("a") == seed).select(F.col("a").alias("node")).distinct().withColumn("rank", F.lit(1.0)))
+    # What the walk's restart brings back each round: the mass of all ranks is 1, and none is there without the seed.
+    back = start.select("node", F.lit(1 - damping).alias("rank"))
+    sources = share.select(F.col("a").alias("node")).distinct()
+    dead = edge.select(F.col("b").alias("node")).join(sources, "node", "left_anti").limit(1).count() > 0
+    ranks = start
     for k in range(rounds):
-        got = ranks.join(share, F.col("node") == F.col("a")).select(F.col("b").alias("node"), (damping * F.col("rank") * F.col("share")).alias("rank"))
-        stuck = ranks.join(share.select(F.col("a").alias("node")).distinct(), "node", "left_anti").select(F.lit(seed).alias("node"), (damping * F.col("rank")).alias("rank"))
-        back = ranks.select(F.lit(seed).alias("node"), ((1 - damping) * F.col("rank")).alias("rank"))
-        ranks = got.unionByName(stuck).unionByName(back).groupBy("node").agg(F.sum("rank").alias("rank"))
-        if (k + 1) % every == 0:
+        parts = ranks.join(share, F.col("node") == F.col("a")).select(F.col("b").alias("node"), (damping * F.col("rank") * F.col("share")).alias("rank")).unionByName(back)
+        if dead:
+            stuck = ranks.join(sources, "node", "left_anti").select(F.lit(seed).alias("node"), (damping * F.col("rank")).alias("rank"))
+            parts = parts.unionByName(stuck)
+        ranks = parts.groupBy("node").agg(F.sum("rank").alias("rank"))
+        if dead or (k + 1) % every == 0:  # with dead ends the ranks are read twice a round
             ranks = checkpointed(ranks)
     return ranks
 

@@ -15,7 +15,9 @@ def shingle_rows(df: DataFrame, id_col: str, text_col: str, width: int = WIDTH)
     """(id, h, n): distinct shingles as 64-bit hashes with the document's number of them."""
     # The words are a column of their own: inside the shingles' lambda the split would run for every shingle.
     rows = df.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).select("id", shingles(F.col("w"), width).alias("s"))
-    return rows.select("id", F.size("s").alias("n"), F.explode("s").alias("g")).select("id", "n", F.xxhash64("g").alias("h"))
+    # The outer form: a plain explode adds a size filter below the words column, which puts the split back into the lambda.
+    exploded = rows.select("id", F.size("s").alias("n"), F.explode_outer("s").alias("g")).where("g IS NOT NULL")
+    return exploded.select("id", "n", F.xxhash64("g").alias("h"))
 
 
 def near_identical(df: DataFrame, id_col: str, text_col: str, least: int = SHARED, contained: float = CONTAINED) -> DataFrame:
