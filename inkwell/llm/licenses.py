@@ -78,28 +78,33 @@ def to_postfix(expression: str) -> list[str]:
     return out
 
 
-def choices(expression: str) -> list[frozenset[str]]:
-    """The ways to satisfy an expression: each a set of labels that hold together. Empty for none.
+#: Ways of one expression that are listed at most; its names are whole.
+WAYS = 64
+
+
+def evaluate(expression: str) -> tuple[list[frozenset[str]], frozenset[str]]:
+    """The ways to satisfy an expression, each a set of labels that hold together, and all labels in it.
 
     ``or`` offers the ways of both sides, ``and`` joins each with each, ``with`` adds the exception's
-    name to the licence before it. An operator without its operands ends the evaluation.
+    name to the licence before it. An operator without its operands ends the evaluation. The ways
+    multiply with every ``and``, so only the first WAYS are listed; the labels are never cut.
     """
-    stack: list[list[frozenset[str]]] = []
+    stack: list[tuple[list[frozenset[str]], frozenset[str]]] = []
     for token in to_postfix(expression):
         if token not in _RANK:
-            stack.append([frozenset([IDENTIFIERS.get(token, token)])])
+            one = frozenset([IDENTIFIERS.get(token, token)])
+            stack.append(([one], one))
             continue
         if len(stack) < 2:
             break
-        right, left = stack.pop(), stack.pop()
-        if token == "or":
-            both = left + right
-        elif token == "and":
-            both = [a | b for a in left for b in right]
+        (right, right_names), (left, left_names) = stack.pop(), stack.pop()
+        if token == "with":
+            joined = lambda names, e=min(right_names): frozenset(f"{x} with {e}" for x in names)
+            stack.append((list(map(joined, left)), joined(left_names)))
         else:
-            both = [frozenset(f"{x} with {next(iter(right[0]))}" if i == 0 else x for i, x in enumerate(sorted(a))) for a in left]
-        stack.append(list(dict.fromkeys(both))[:64])
-    return stack[0] if stack else []
+            both = left + right if token == "or" else [a | b for a in left for b in right]
+            stack.append((list(dict.fromkeys(both))[:WAYS], left_names | right_names))
+    return stack[0] if stack else ([], frozenset())
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -124,14 +129,17 @@ def scan(text: str, found: ahocorasick.Automaton) -> dict:
         else:
             more.add(label)
     tagged: list[frozenset[str]] = []
+    named: set[str] = set()
     low = raw.lower().decode("utf-8", "surrogatepass")
     at = low.find(TAG)
     while at >= 0:
         at += len(TAG)
         stop = low.find("\n", at)
-        tagged += choices(low[at : stop if stop >= 0 else len(low)])
+        ways, names = evaluate(low[at : stop if stop >= 0 else len(low)])
+        tagged += ways
+        named |= names
         at = low.find(TAG, at)
-    names = base | more | {x for way in tagged for x in way}
+    names = base | more | named
     doubt = 0.1 ** len(base) * 0.3 ** len(more - base) * (0.05 if tagged else 1.0)
     return {"n_words": len(words), "places": places, "base": base, "labels": names, "score": 0.0 if not names else 1.0 - doubt, "ways": [sorted(w) for w in tagged]}
 

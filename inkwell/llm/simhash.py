@@ -28,6 +28,10 @@ RING = 8
 EXACT_HEADS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4))
 #: Shorter heads, for routing fingerprints whose links are decided by a wider sketch.
 ROUTING_HEADS = ((0, 1, 2), (0, 1, 3))
+#: Rings that route a text by its words, and 64-bit lanes of the sketch that decides.
+RINGS, LANES = 2, 8
+#: Estimates this far below the asked similarity still link: a sketch errs by its bits' spread, and a missed copy weighs more.
+SLACK = 0.06
 #: From this many fingerprints under one key, the group is cut once more before it is compared.
 DENSE = 4096
 
@@ -82,13 +86,13 @@ def fingerprints(df: DataFrame, width: int = 3, id_col: str = "doc_id", text_col
     return df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t")).mapInArrow(batches, "id long, fp long")
 
 
-def sketches(df: DataFrame, width: int = 5, lanes: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, route0, route1, s0..): two routing fingerprints over words and a wide one over shingles.
+def sketches(df: DataFrame, width: int = 5, lanes: int = LANES, id_col: str = "doc_id", text_col: str = "text", rings: int = RINGS) -> DataFrame:
+    """(id, route0.., s0..): routing fingerprints over words and a wide one over shingles.
 
     Words are counted once each in the routing fingerprints: an edit touches one word but ``width``
     shingles, so close texts agree in long runs of routing bits. The sketch has 64 * ``lanes`` bits.
     """
-    names = ["id", "route0", "route1", *(f"s{k}" for k in range(lanes))]
+    names = ["id", *(f"route{k}" for k in range(rings)), *(f"s{k}" for k in range(lanes))]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -97,10 +101,10 @@ def sketches(df: DataFrame, width: int = 5, lanes: int = 4, id_col: str = "doc_i
                 words = words_of(t.as_py())
                 single = shingle_hashes(list(set(words)), 1)
                 runs = shingle_hashes(words, width)
-                for k in range(2):
+                for k in range(rings):
                     rows[k].append(majority_bits(remixed(single, k)))
                 for k in range(lanes):
-                    rows[2 + k].append(majority_bits(remixed(runs, k)))
+                    rows[rings + k].append(majority_bits(remixed(runs, k)))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(_signed(r)) for r in rows)], names)
 
     schema = "id long, " + ", ".join(f"{n} long" for n in names[1:])
@@ -255,21 +259,24 @@ def hamming_limit(similarity: float, bits: int) -> int:
     return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
 
 
-def near_duplicate_classes(df: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_classes(
+    df: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = LANES, id_col: str = "doc_id", text_col: str = "text", rings: int = RINGS, slack: float = SLACK
+) -> DataFrame:
     """(id, component): classes of texts whose sketches over ``width``-word shingles are similar enough.
 
+    The similarity is an estimate: texts link whose sketches tell ``similarity`` less ``slack`` or more.
     Null and empty texts form one class of their own only with other texts without words. Rows with
     a null id are left out; repeated ids share a class.
     """
-    parts = [f"s{k}" for k in range(lanes)]
-    made = materialize(sketches(df, width, lanes, id_col, text_col).where("id IS NOT NULL"), "sketches")
-    shape = ["route0", "route1", *parts]
+    parts, routes = [f"s{k}" for k in range(lanes)], [f"route{k}" for k in range(rings)]
+    made = materialize(sketches(df, width, lanes, id_col, text_col, rings).where("id IS NOT NULL"), "sketches")
+    shape = [*routes, *parts]
     classes = materialize(made.groupBy(*shape).agg(F.min("id").alias("node")), "sketch-classes")
-    keys = F.concat(head_keys("route0", ROUTING_HEADS, 0), head_keys("route1", ROUTING_HEADS, 1))
+    keys = F.concat(*(head_keys(r, ROUTING_HEADS, k) for k, r in enumerate(routes)))
     keyed = classes.select(F.explode(keys).alias("key"), F.col("node").alias("id"), *parts)
-    found = components(group_links(keyed, parts, hamming_limit(similarity, 64 * lanes), chain=False))
+    found = components(group_links(keyed, parts, hamming_limit(similarity - slack, 64 * lanes), chain=False))
     named = materialize(classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node"), "sketch-named")
-    return made.join(named, shape).select("id", "component")
+    return made.join(named.hint("merge"), shape).select("id", "component")
 
 
 def op3_simhash_neardup(spark, sf_dir: str) -> DataFrame:
