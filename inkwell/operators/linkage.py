@@ -26,8 +26,8 @@ def near_identical(df: DataFrame, id_col: str, text_col: str, least: int = SHARE
     Copies are collapsed first, so a group of copies makes no pairs among itself. Of the rest only
     shingles met in two or more texts take part in the join.
     """
-    texts = df.groupBy(F.sha2(F.col(text_col), 256).alias("d")).agg(F.min(id_col).alias("id"))
-    one = df.join(texts.select("id"), df[id_col] == F.col("id"), "left_semi")
+    texts = df.groupBy(F.sha2(F.col(text_col), 256).alias("d")).agg(F.min(id_col).alias("_lowest"))
+    one = df.join(texts.select("_lowest"), F.col(id_col) == F.col("_lowest"), "left_semi")
     rows = shingle_rows(one, id_col, text_col)
     met = rows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
     rows = rows.join(met, "h", "left_semi")
