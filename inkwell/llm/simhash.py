@@ -163,22 +163,25 @@ def _forest(sketch: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links_of_group(ids: np.ndarray, sketch: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Spanning links inside one key's group. A large group of one-lane fingerprints is cut by a further pigeonhole step."""
-    if len(ids) <= DENSE or sketch.shape[1] > 1:
-        p, f = _forest(sketch, limit)
-        return [(ids[p], ids[f])] if len(p) else []
-    out = []
-    for segment in range(RING):  # at most `limit` (< RING) segments differ: some segment is equal
-        value = (sketch[:, 0] >> np.uint64(8 * segment)) & np.uint64(255)
-        order = np.argsort(value, kind="stable")
-        cuts = np.flatnonzero(np.diff(value[order])) + 1
-        if len(cuts) == 0:  # the key's own segment: says nothing
-            continue
-        for part in np.split(order, cuts):
-            p, f = _forest(sketch[part], limit)
-            if len(p):
-                out.append((ids[part[p]], ids[part[f]]))
-    return out
+    """Spanning links inside one key's group. A large group of one-lane fingerprints is cut by a further pigeonhole step.
+
+    The bits that vary in the group are cut into ``limit`` + 1 pieces: fingerprints at most ``limit`` bits
+    apart agree in one of them at least, so every link lies inside a part of equal pieces.
+    """
+    if len(ids) > DENSE and sketch.shape[1] == 1:
+        fp = sketch[:, 0]
+        varying = np.flatnonzero(np.unpackbits(np.array([np.bitwise_or.reduce(fp ^ fp[0])], np.uint64).view(np.uint8), bitorder="little"))
+        if len(varying) > limit:  # else a piece is empty, and its part the whole group
+            out = []
+            for bits in np.array_split(varying, limit + 1):
+                value = fp & np.bitwise_or.reduce(np.uint64(1) << bits.astype(np.uint64))
+                order = np.argsort(value, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
+                    if len(part) > 1:
+                        out += _links_of_group(ids[part], sketch[part], limit)
+            return out
+    p, f = _forest(sketch, limit)
+    return [(ids[p], ids[f])] if len(p) else []
 
 
 def _runs(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:

@@ -120,6 +120,32 @@ def test_op3_finds_every_link_of_three_bits():
         assert any(simhash._chain_ok(np.array([d], np.uint64), np.array([8 * s], np.uint64), 3)[0] for s in heads), (a, d)
 
 
+@pytest.mark.parametrize("constant", [4, 5, 6, 7])
+def test_op3_cuts_of_large_groups_lose_no_link(monkeypatch, constant):
+    """Groups above DENSE give the classes of all compared pairs, however many segments are equal in the whole group."""
+    rng = np.random.default_rng(constant)
+    free = 64 - 8 * constant
+    base = rng.integers(0, 1 << free, 60).tolist()
+    near = [b ^ sum(1 << int(x) for x in rng.choice(free, rng.integers(1, 5), replace=False)) for b in base for _ in range(3)]
+    if constant == 5:  # one bit in each of the three segments that vary
+        near += [base[0] ^ (1 << 3 | 1 << 11 | 1 << 19)]
+    fp = np.unique(np.array(base + near, np.uint64) << np.uint64(8 * constant) | np.uint64(0x5A))
+    ids = np.arange(len(fp))
+
+    def classes(links):
+        root = ids.copy()
+        for u, v in links:
+            for x, y in zip(u.tolist(), v.tolist(), strict=True):
+                root[root == max(root[x], root[y])] = min(root[x], root[y])
+        return root.tolist()
+
+    pairs = [(np.array([i]), np.array([j])) for i in ids for j in ids[:i] if int(fp[i] ^ fp[j]).bit_count() <= 3]
+    monkeypatch.setattr(simhash, "DENSE", 8)
+    links = simhash._links_of_group(ids, fp[:, None], 3)
+    assert all(int(fp[x] ^ fp[y]).bit_count() <= 3 for u, v in links for x, y in zip(u, v, strict=True))
+    assert classes(links) == classes(pairs)
+
+
 def test_op4_deviates_less_than_a_block(spark):
     weights = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}
     parts = mixing.shares(weights)
