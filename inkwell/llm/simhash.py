@@ -26,10 +26,11 @@ RING = 8
 #: Heads of chains for a distance of 3 over 8 segments. The budgets are 0, 0, 1, 1, 1, 2, 2, 3: two
 #: equal segments, then at most one difference in three, so two of these three are equal as well.
 EXACT_HEADS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4))
-#: Shorter heads, for routing fingerprints whose links are decided by a wider sketch.
-ROUTING_HEADS = ((0, 1, 2), (0, 1, 3))
-#: Rings that route a text by its words, and 64-bit lanes of the sketch that decides.
-RINGS, LANES = 2, 8
+#: Keys that route a text, each over so many minima of its shingle hashes. Two texts of Jaccard similarity j share
+#: none with the probability (1 - j ** ROWS) ** BANDS, wherever they differ: 0.00005 at 0.8.
+BANDS, ROWS = 25, 5
+#: 64-bit lanes of the sketch that is compared.
+LANES = 8
 #: Estimates this far below the asked similarity still link: a sketch errs by its bits' spread, and a missed copy weighs more.
 SLACK = 0.06
 #: From this many fingerprints under one key, the group is cut once more before it is compared.
@@ -86,28 +87,35 @@ def fingerprints(df: DataFrame, width: int = 3, id_col: str = "doc_id", text_col
     return df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t")).mapInArrow(batches, "id long, fp long")
 
 
-def sketches(df: DataFrame, width: int = 5, lanes: int = LANES, id_col: str = "doc_id", text_col: str = "text", rings: int = RINGS) -> DataFrame:
-    """(id, route0.., s0..): routing fingerprints over words and a wide one over shingles.
+_MULTIPLIERS = (remixed(np.arange(BANDS * ROWS, dtype=np.uint64), 77) | np.uint64(1))[:, None]
 
-    Words are counted once each in the routing fingerprints: an edit touches one word but ``width``
-    shingles, so close texts agree in long runs of routing bits. The sketch has 64 * ``lanes`` bits.
-    """
-    names = ["id", *(f"route{k}" for k in range(rings)), *(f"s{k}" for k in range(lanes))]
+
+def band_keys(hashes: np.ndarray, block: int = 1 << 12) -> np.ndarray:
+    """BANDS keys of a set of hashes, each of ROWS minima under hash functions of its own; one key for no hashes."""
+    if not len(hashes):
+        return np.zeros(1, np.int64)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for i in range(0, len(hashes), block):
+        least = np.minimum(least, (hashes[None, i : i + block] * _MULTIPLIERS).min(1))
+    rows = np.ascontiguousarray(least.reshape(BANDS, ROWS))
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def sketches(df: DataFrame, width: int = 5, lanes: int = LANES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, keys, s0..): routing keys and a SimHash sketch of 64 * ``lanes`` bits over the set of ``width``-word shingles."""
+    names = ["id", "keys", *(f"s{k}" for k in range(lanes))]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows: list[list[int]] = [[] for _ in names[1:]]
+            keys, rows = [], [[] for _ in range(lanes)]
             for t in b.column(1):
-                words = words_of(t.as_py())
-                single = shingle_hashes(list(set(words)), 1)
-                runs = shingle_hashes(words, width)
-                for k in range(rings):
-                    rows[k].append(majority_bits(remixed(single, k)))
+                runs = np.unique(shingle_hashes(words_of(t.as_py()), width))
+                keys.append(band_keys(runs))
                 for k in range(lanes):
-                    rows[rings + k].append(majority_bits(remixed(runs, k)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(_signed(r)) for r in rows)], names)
+                    rows[k].append(majority_bits(remixed(runs, k)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64())), *(pa.array(_signed(r)) for r in rows)], names)
 
-    schema = "id long, " + ", ".join(f"{n} long" for n in names[1:])
+    schema = "id long, keys array<long>, " + ", ".join(f"{n} long" for n in names[2:])
     return df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t")).mapInArrow(batches, schema)
 
 
@@ -263,7 +271,7 @@ def hamming_limit(similarity: float, bits: int) -> int:
 
 
 def near_duplicate_classes(
-    df: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = LANES, id_col: str = "doc_id", text_col: str = "text", rings: int = RINGS, slack: float = SLACK
+    df: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = LANES, id_col: str = "doc_id", text_col: str = "text", slack: float = SLACK
 ) -> DataFrame:
     """(id, component): classes of texts whose sketches over ``width``-word shingles are similar enough.
 
@@ -271,15 +279,13 @@ def near_duplicate_classes(
     Null and empty texts form one class of their own only with other texts without words. Rows with
     a null id are left out; repeated ids share a class.
     """
-    parts, routes = [f"s{k}" for k in range(lanes)], [f"route{k}" for k in range(rings)]
-    made = materialize(sketches(df, width, lanes, id_col, text_col, rings).where("id IS NOT NULL"), "sketches")
-    shape = [*routes, *parts]
-    classes = materialize(made.groupBy(*shape).agg(F.min("id").alias("node")), "sketch-classes")
-    keys = F.concat(*(head_keys(r, ROUTING_HEADS, k) for k, r in enumerate(routes)))
-    keyed = classes.select(F.explode(keys).alias("key"), F.col("node").alias("id"), *parts)
+    parts = [f"s{k}" for k in range(lanes)]
+    made = materialize(sketches(df, width, lanes, id_col, text_col).where("id IS NOT NULL"), "sketches")
+    classes = materialize(made.groupBy(*parts).agg(F.min("id").alias("node"), F.first("keys").alias("keys")), "sketch-classes")
+    keyed = classes.select(F.explode("keys").alias("key"), F.col("node").alias("id"), *parts)
     found = components(group_links(keyed, parts, hamming_limit(similarity - slack, 64 * lanes), chain=False))
-    named = materialize(classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node"), "sketch-named")
-    return made.join(named.hint("merge"), shape).select("id", "component")
+    named = materialize(classes.drop("keys").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node"), "sketch-named")
+    return made.drop("keys").join(named.hint("merge"), parts).select("id", "component")
 
 
 def op3_simhash_neardup(spark, sf_dir: str) -> DataFrame:
