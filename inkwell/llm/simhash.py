@@ -31,8 +31,10 @@ EXACT_HEADS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4))
 BANDS, ROWS = 25, 5
 #: 64-bit lanes of the sketch that is compared.
 LANES = 8
-#: Estimates this far below the asked similarity still link: a sketch errs by its bits' spread, and a missed copy weighs more.
+#: Estimates this far above the asked similarity are tried first. Each link is checked exactly.
 SLACK = 0.06
+#: Pairs are candidates up to this many standard deviations of a sketch's error beyond the asked similarity's distance.
+DEVIATIONS = 4
 #: From this many fingerprints under one key, the group is cut once more before it is compared.
 DENSE = 4096
 
@@ -102,20 +104,26 @@ def band_keys(hashes: np.ndarray, block: int = 1 << 12) -> np.ndarray:
 
 
 def sketches(df: DataFrame, width: int = 5, lanes: int = LANES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, keys, s0..): routing keys and a SimHash sketch of 64 * ``lanes`` bits over the set of ``width``-word shingles."""
-    names = ["id", "keys", *(f"s{k}" for k in range(lanes))]
+    """(id, c, n, keys, s0..): a hash and the size of the set of ``width``-word shingles, routing keys and a SimHash sketch of it.
+
+    Equal sets have equal hashes ``c``; a sketch has 64 * ``lanes`` bits.
+    """
+    names = ["id", "c", "n", "keys", *(f"s{k}" for k in range(lanes))]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            keys, rows = [], [[] for _ in range(lanes)]
+            sums, sizes, keys, rows = [], [], [], [[] for _ in range(lanes)]
             for t in b.column(1):
                 runs = np.unique(shingle_hashes(words_of(t.as_py()), width))
+                sums.append(xxhash.xxh3_64_intdigest(runs.tobytes()))
+                sizes.append(len(runs))
                 keys.append(band_keys(runs))
                 for k in range(lanes):
                     rows[k].append(majority_bits(remixed(runs, k)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64())), *(pa.array(_signed(r)) for r in rows)], names)
+            made = [pa.array(_signed(sums)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *(pa.array(_signed(r)) for r in rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], names)
 
-    schema = "id long, keys array<long>, " + ", ".join(f"{n} long" for n in names[2:])
+    schema = "id long, c long, n long, keys array<long>, " + ", ".join(f"{n} long" for n in names[4:])
     return df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t")).mapInArrow(batches, schema)
 
 
@@ -270,22 +278,100 @@ def hamming_limit(similarity: float, bits: int) -> int:
     return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
 
 
+def group_pairs(keyed: DataFrame, lanes: list[str], limit: int, block: int = 256) -> DataFrame:
+    """(key, id, label, lanes...) → (u, v): all pairs of each key's group within ``limit`` bits whose labels differ.
+
+    Rows of the group's largest label are compared with the others only, so a group that is one
+    class but for a few rows costs little.
+    """
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, (ids, labels, *cols) in _runs(it):
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.concatenate([starts, [len(key)]]))
+            sketch = np.stack([c.view(np.uint64) for c in cols], axis=1)
+            for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+                label, sk, names = labels[s : s + n], sketch[s : s + n], ids[s : s + n]
+                values, counts = np.unique(label, return_counts=True)
+                few = np.flatnonzero(label != values[counts.argmax()])
+                for i in range(0, len(few), block):
+                    part = few[i : i + block]
+                    apart = sum(np.bitwise_count(sk[part, k][:, None] ^ sk[None, :, k]).astype(np.int32) for k in range(sk.shape[1]))
+                    x, y = np.nonzero((apart <= limit) & (label[part][:, None] != label[None, :]))
+                    if len(x):
+                        u, v = names[part[x]], names[y]
+                        pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+    dealt = keyed.select("key", "id", "label", *lanes).repartition("key").sortWithinPartitions("key", "id")
+    return dealt.mapInArrow(batches, "u long, v long").distinct()
+
+
+def hash_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(c, t) → (c, hashes): the sorted shingle hashes of each text whose set hashes to ``c``, as bytes."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for at in range(0, whole.num_rows, 500):
+                rows = []
+                for c, t in zip(*(x.to_pylist() for x in whole.slice(at, 500).columns), strict=True):
+                    data = np.unique(shingle_hashes(words_of(t), width)).tobytes()
+                    if _signed([xxhash.xxh3_64_intdigest(data)])[0] == c:
+                        rows.append((c, data))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["c", "hashes"])
+
+    return texts.select("c", "t").mapInArrow(batches, "c long, hashes binary").dropDuplicates(["c"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (u, v) whose hash sets have an exact Jaccard similarity of ``similarity`` or more; sets are joined by pair."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                p, q = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                shared = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= similarity * max(len(p), len(q)) else 0
+                keep.append(shared >= similarity * (len(p) + len(q) - shared))
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    first, second = (sets.select(F.col("c").alias(n), F.col("hashes").alias(f"h{n}")).hint("merge") for n in ("u", "v"))
+    return pairs.join(first, "u").join(second, "v").select("u", "v", "hu", "hv").mapInArrow(batches, "u long, v long")
+
+
 def near_duplicate_classes(
     df: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = LANES, id_col: str = "doc_id", text_col: str = "text", slack: float = SLACK
 ) -> DataFrame:
-    """(id, component): classes of texts whose sketches over ``width``-word shingles are similar enough.
+    """(id, component): classes of texts that links of an exact Jaccard similarity of ``similarity`` or more join.
 
-    The similarity is an estimate: texts link whose sketches tell ``similarity`` less ``slack`` or more.
-    Null and empty texts form one class of their own only with other texts without words. Rows with
-    a null id are left out; repeated ids share a class.
+    Candidates share a routing key and are near by their sketches; each link is confirmed on the sets of
+    shingle hashes. Surely near texts are linked first by spanning links, then every candidate pair
+    that these leave in different classes is checked. Null and empty texts form one class of their
+    own only with other texts without words. Rows with a null id are left out.
     """
-    parts = [f"s{k}" for k in range(lanes)]
+    parts, bits = [f"s{k}" for k in range(lanes)], 64 * lanes
+    at = hamming_limit(similarity, bits)
+    wide = int(at + DEVIATIONS * np.sqrt(at * (1 - at / bits)))
     made = materialize(sketches(df, width, lanes, id_col, text_col).where("id IS NOT NULL"), "sketches")
-    classes = materialize(made.groupBy(*parts).agg(F.min("id").alias("node"), F.first("keys").alias("keys")), "sketch-classes")
-    keyed = classes.select(F.explode("keys").alias("key"), F.col("node").alias("id"), *parts)
-    found = components(group_links(keyed, parts, hamming_limit(similarity - slack, 64 * lanes), chain=False))
-    named = materialize(classes.drop("keys").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node"), "sketch-named")
-    return made.drop("keys").join(named.hint("merge"), parts).select("id", "component")
+    firsts = [F.first(x).alias(x) for x in ("n", "keys", *parts)]
+    classes = materialize(made.groupBy("c").agg(F.min(F.struct("id")).alias("_node"), *firsts).select("c", F.col("_node.id").alias("node"), "n", "keys", *parts), "sketch-classes")
+    keyed = classes.where("n > 0").select(F.explode("keys").alias("key"), F.col("c").alias("id"), *parts)
+    near = materialize(group_links(keyed, parts, wide, chain=False).distinct(), "sketch-near")
+    ends = near.select(F.explode(F.array("u", "v")).alias("c")).distinct()
+    some = materialize(classes.join(ends.hint("merge"), "c", "left_semi"), "sketch-some")
+    texts = df.select(F.col(id_col).cast("long").alias("node"), text_or_empty(text_col).alias("t"))
+    sets = materialize(hash_sets(texts.join(some.select("c", "node").hint("merge"), "node"), width), "sketch-sets")
+    again = some.select(F.explode("keys").alias("key"), F.col("c").alias("id"), *parts)
+    sure = group_links(again, parts, hamming_limit(min(1.0, similarity + slack), bits), chain=False).distinct()
+    sure = materialize(confirmed(sure, sets, similarity), "sketch-sure")
+    labels = materialize(some.select("c").join(components(sure), F.col("c") == F.col("node"), "left").select("c", F.coalesce("component", "c").alias("label")), "sketch-labels")
+    labelled = some.join(labels, "c").select(F.explode("keys").alias("key"), F.col("c").alias("id"), "label", *parts)
+    more = materialize(confirmed(group_pairs(labelled, parts, wide), sets, similarity), "sketch-more")
+    found = components(sure.unionByName(more)).select(F.col("node").alias("c"), F.col("component").alias("root"))
+    rooted = materialize(classes.select("c", "node").join(found, "c", "left").withColumn("root", F.coalesce("root", "c")), "sketch-rooted")
+    least = rooted.groupBy("root").agg(F.min("node").alias("component"))
+    named = materialize(rooted.join(least.hint("merge"), "root").select("c", "component"), "sketch-named")
+    return made.select("id", "c").join(named.hint("merge"), "c").select("id", "component")
 
 
 def op3_simhash_neardup(spark, sf_dir: str) -> DataFrame:

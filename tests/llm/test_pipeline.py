@@ -124,3 +124,21 @@ def test_block_edits_are_found(spark):
     near = [(i, i - i % 10) for i in sets if i % 10 and len(sets[i] & sets[i - i % 10]) >= 0.8 * len(sets[i] | sets[i - i % 10])]
     missed = [p for p in near if cls[p[0]] != cls[p[1]]]
     assert len(near) >= 290 and len(missed) <= 0.02 * len(near), (len(missed), len(near))
+
+
+def test_links_are_exact(spark):
+    """Classes are those of all pairs with an exact Jaccard similarity of 0.8 or more, with copies near it on both sides."""
+    rng, rows = random.Random(6), []
+    for k in range(40):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(100, 600))]
+        rows += [(100 * k + i, " ".join(w[: int(len(w) * share)])) for i, share in enumerate((1.0, 0.92, 0.86, 0.82, 0.78, 0.74, 0.7, 0.55))][:: rng.choice((1, 3, 4, 5))]
+    rows += [(9000, ""), (9001, None), (9002, "a b"), (9003, "a b"), (9004, "a b c")]
+    sets = {i: set(simhash.shingle_hashes(simhash.words_of(t or ""), 5).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if j < i and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                x, y = root[i], root[j]
+                root = {n: min(x, y) if r in (x, y) else r for n, r in root.items()}
+    cls = {r.id: r.component for r in simhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert cls == root
