@@ -112,6 +112,21 @@ def op9(docs, length=400):
     return out
 
 
+def passage_words(docs, length=51):
+    """Words of each document inside a run of ``length`` words that another document holds too."""
+    words = {i: (t or "").encode().split() for i, t in docs}
+    seen = {}
+    for i, w in words.items():
+        for k in range(len(w) - length + 1):
+            seen.setdefault(tuple(w[k : k + length]), []).append((i, k))
+    cover = {i: set() for i in words}
+    for places in seen.values():
+        if len({i for i, _ in places}) > 1:
+            for i, k in places:
+                cover[i].update(range(k, k + length))
+    return {i: len(c) for i, c in cover.items()}
+
+
 def op10(docs):
     keys, out = {}, {}
     for i, t in docs:

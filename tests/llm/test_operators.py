@@ -253,11 +253,44 @@ def test_op8_scores_awkward_texts(frame):
     assert len(rows) == frame.count() and all(0 <= r.score <= 1 for r in rows)
 
 
-def test_op9_bytes(spark, frame, small):
-    cols = lambda r: (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept)))
-    assert {r.id: cols(r) for r in passages.remove_repeats(frame).collect()} == brute.op9(pairs(awkward()))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op9_repeated_passages"](spark, SF).collect()}
-    assert got == brute.op9(small)
+def cols9(r, sha):
+    return (r.n_bytes, r.n_removed, r.n_spans, sha), r.n_passage_words
+
+
+@pytest.mark.parametrize("hot", [passages.HOT, 2])
+def test_op9_bytes(spark, frame, small, hot):
+    rng = random.Random(4)
+    passage = " ".join(f"p{rng.randrange(99)}" for _ in range(60))  # over 50 words, under 400 bytes
+    rows = [*pairs(awkward()), *((500 + k, f"own {k} start {passage} own {k} end") for k in range(4)), (600, f"{passage} {passage}"[:330]), (601, "x" * 3000), (602, "xy" * 900 + "x" * 500), (603, "abc" * 700), (None, "n" * 500)]
+    made = passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
+    got = {r.id: cols9(r, brute.sha(bytes(r.kept))) for r in made}
+    plain, shared = brute.op9(rows), brute.passage_words(rows)
+    assert got == {i: (plain[i], shared[i]) for i in plain}
+    assert all(shared[500 + k] >= 60 and plain[500 + k][1] == 0 for k in range(4))
+
+
+def test_op9_query(spark, small):
+    got = {r.doc_id: cols9(r, r.kept_sha256) for r in QUERIES["op9_repeated_passages"](spark, SF).collect()}
+    plain, shared = brute.op9(small), brute.passage_words(small)
+    assert got == {i: (plain[i], shared[i]) for i in plain}
+
+
+def test_op9_bytes_decide_where_hashes_collide():
+    """Windows that share a hash but not their bytes are no repeats."""
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 900).astype(np.uint8)
+    data[500:900] = data[:400]
+    start = np.arange(501)
+    hit = passages.equal_windows(np.zeros(501, np.uint64), start, data, 400)
+    strings = [data[s : s + 400].tobytes() for s in start]
+    assert hit.tolist() == [strings.count(x) > 1 for x in strings] and hit.sum() == 2
+
+
+def test_op9_periodic_text_has_few_spans():
+    data = np.full(100_000, 120, np.uint8)
+    first, last, _, tie = passages.spans_of(data, np.array([len(data)]), passages.Hasher())
+    assert len(first) < 800 and tie.all() and (last - first).max() <= 336
+    assert first[0] == 0 and last[-1] == len(data) - 400 and (first[1:] == last[:-1] + 1).all()
 
 
 def test_op10_lines(spark, frame, small):
