@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -146,6 +148,44 @@ def test_op3_cuts_of_large_groups_lose_no_link(monkeypatch, constant):
     assert classes(links) == classes(pairs)
 
 
+def plain_schedule(rows, weights, block, period):
+    """(source, block, release, deadline, slot) of each (id, source), slot by slot for as long as there are rows."""
+    parts, order = mixing.shares(weights, period), {}
+    period = sum(parts.values())
+    for i, s in rows:
+        order.setdefault(s or "", []).append((hashlib.md5(str(i).encode()).hexdigest(), i))
+    blocks = {s: [sorted(x)[k : k + block] for k in range(0, len(x), block)] for s, x in order.items()}
+    out, done, slot = {}, dict.fromkeys(parts, 0), 0
+    while any(done[s] < len(b) for s, b in blocks.items()):
+        due = []
+        for s, k in parts.items():
+            j = done[s]
+            if j * period // k <= slot:
+                due.append((-(-(j + 1) * period // k), s, j, j * period // k))
+        deadline, s, j, release = min(due)
+        for h, i in blocks.get(s, [])[j : j + 1] and blocks[s][j]:
+            out[i] = (s, j, release, deadline, slot, h)
+        done[s] += 1
+        slot += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}, {"a": 3.0, "b": 1.0, "c": 1.0, "d": 0.001}])
+def test_op4_equals_a_plain_schedule(spark, weights):
+    rows = [(i, s) for i, s in enumerate(["a"] * 900 + ["b"] * 600 + ["c"] * 400 + ["d"] * 130)]
+    made = mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=10).collect()
+    got = {r.doc_id: (r.mix_source, r.mix_block, r.mix_release, r.mix_deadline, r.mix_slot, r.mix_order) for r in made}
+    assert got == plain_schedule(rows, weights, 10, None)
+
+
+def test_op4_query_equals_a_plain_schedule(spark):
+    docs = [(r.doc_id, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    counts = Counter(s or "" for _, s in docs)
+    want = plain_schedule(docs, {s: n**0.5 for s, n in counts.items()}, mixing.BLOCK, None)
+    got = {r.doc_id: (r.source or "", r.block, r.release, r.deadline, r.slot, r.order) for r in QUERIES["op4_mixing"](spark, SF).collect()}
+    assert got == want
+
+
 def test_op4_deviates_less_than_a_block(spark):
     weights = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}
     parts = mixing.shares(weights)
@@ -154,17 +194,47 @@ def test_op4_deviates_less_than_a_block(spark):
         assert release <= slot < deadline
         run[source] += 1
         assert all(abs(run[s] - (slot + 1) * k / period) < 1 for s, k in parts.items())
-    rows = [(i, s, None) for i, s in enumerate(["a"] * 900 + ["b"] * 600 + ["c"] * 400 + ["d"] * 130)] + [(5000, "d", 1), (5000, "d", 1), (None, "d", 1)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, nth long")
-    made = mixing.schedule(df.drop("nth"), weights, block=10).collect()
+    rows = [(i, s) for i, s in enumerate(["a"] * 90 + ["b"] * 60 + ["c"] * 40 + ["d"] * 13)] + [(5000, "d"), (5000, "d"), (None, "d"), (None, "d"), (None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    made = mixing.schedule(df, weights, block=10).collect()
     assert len(made) == len(rows)
     slots = {}
     for r in made:
         slots.setdefault(r.mix_slot, []).append(r)
     assert all(len({x.source for x in v}) == 1 and len(v) <= 10 for v in slots.values())
-    assert mixing.mixed(df.drop("nth").where("false"), weights).count() == 0
+    assert mixing.mixed(df.where("false"), weights).count() == 0
     with pytest.raises(ValueError):
-        mixing.schedule(df.drop("nth"), {"a": 1.0})
+        mixing.schedule(df, {"a": 1.0})
+
+
+def test_op4_shares_follow_the_weights():
+    """Hundreds of sources have their true shares, and small ones a slot at least."""
+    weights = {f"s{k}": float(k + 1) for k in range(700)}
+    parts = mixing.shares(weights)
+    total, period = sum(weights.values()), sum(parts.values())
+    assert all(abs(parts[s] / period - w / total) <= 1.01 / period for s, w in weights.items())
+    assert min(mixing.shares({"a": 1e9, "b": 1.0}).values()) == 1
+
+
+def test_op4_any_number_of_sources(spark, monkeypatch):
+    """Sources beyond STREAMS share one stream; no row is lost and none raises."""
+    monkeypatch.setattr(mixing, "STREAMS", 5)
+    rows = [(i, f"s{i % 40}") for i in range(400)] + [(1000 + i, "s1") for i in range(50)]
+    made = mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string"), block=4).collect()
+    assert sorted((r.doc_id, r.source) for r in made) == sorted(rows)
+    assert {r.mix_source for r in made} == {"s0", "s1", "s10", "s11", "s12", mixing.REST}
+
+
+@pytest.mark.parametrize("name", ["nth", "_lane", "_r", "_s", "_k", "row", "mix_block", "mix_slot", "_id", "_all", "_share", "_own"])
+def test_op4_clashing_names(spark, name):
+    rows = [(i, f"s{i % 3}", 6) for i in range(60)]
+    df = spark.createDataFrame(rows, f"doc_id long, source string, {name} int")
+    got = mixing.mixed(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == rows
+    made = mixing.schedule(df, block=5)
+    assert made.where("mix_slot IS NOT NULL").count() == 60
+    if not name.startswith("mix_"):
+        assert {r[name] for r in made.collect()} == {6}
 
 
 def test_op4_keeps_every_row(spark, frame):
