@@ -37,6 +37,8 @@ SLACK = 0.06
 DEVIATIONS = 4
 #: From this many fingerprints under one key, the group is cut once more before it is compared.
 DENSE = 4096
+#: Keys with more rows than this are split: their rows are dealt to blocks of half as many, and every two blocks meet in a task of their own.
+HOT = 8192
 
 
 def words_of(text: str) -> list[bytes]:
@@ -128,10 +130,10 @@ def sketches(df: DataFrame, width: int = 5, lanes: int = LANES, id_col: str = "d
 
 
 def head_keys(ring: str, heads: tuple[tuple[int, ...], ...], tag: int = 0):
-    """All chain heads of a 64-bit ring as an array of long keys.
+    """All chain heads of a 64-bit ring as an array of (key, start).
 
     A key holds the equal segments (eight bits each, four at most) below, and which ring, start and
-    head they belong to above.
+    head they belong to above; ``start`` is the chain's first segment.
     """
     segment = [F.shiftrightunsigned(F.col(ring), 8 * i).bitwiseAND(F.lit(255)) for i in range(RING)]
     keys = []
@@ -140,10 +142,27 @@ def head_keys(ring: str, heads: tuple[tuple[int, ...], ...], tag: int = 0):
             key = F.lit((tag * RING + start) * len(heads) + which).cast("long")
             for offset in head:
                 key = F.shiftleft(key, 8).bitwiseOR(segment[(start + offset) % RING])
-            keys.append(key)
+            keys.append(F.struct(key.alias("key"), F.lit(start).alias("start")))
     return F.array(*keys)
 
 
+def split_hot(keyed: DataFrame, hot: int = HOT) -> DataFrame:
+    """(key, id, ...) with the keys of more than ``hot`` rows replaced by keys of pairs of blocks.
+
+    The rows of such a key go to blocks by a hash of their id, and a row to every pair that its block
+    is part of, so any two of them still meet, in a task that holds about ``hot`` rows.
+    """
+    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > hot), "hot-keys")
+    if sizes.isEmpty():
+        return keyed
+    sizes = sizes.select(F.col("key").alias("_key"), F.ceil(2 * F.col("_n") / hot).cast("int").alias("_blocks"))
+    joined = keyed.join(sizes, F.col("key") == F.col("_key"), "left")
+    block = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
+    others = joined.withColumn("_block", block).withColumn("_other", F.explode_outer(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    pair = F.xxhash64("key", F.least("_block", "_other"), F.greatest("_block", "_other"))
+    return others.withColumn("key", F.coalesce(F.when(F.col("_key").isNotNull(), pair), F.col("key"))).drop("_key", "_blocks", "_block", "_other")
+
+
 def _chain_ok(diff: np.ndarray, start: np.ndarray, budget: int) -> np.ndarray:
     """Whether the ring's chain from ``start`` stays within its proportional budgets at each length."""
     turned = (diff >> start) | (diff << ((np.uint64(64) - start) & np.uint64(63)))
@@ -154,9 +173,10 @@ def _chain_ok(diff: np.ndarray, start: np.ndarray, budget: int) -> np.ndarray:
     return ok
 
 
-def _forest(sketch: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(sketch: np.ndarray, limit: int, start: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that span each connected class of rows at most ``limit`` bits apart.
 
+    With ``start``, pairs pass the chain from there first; only what it leaves gets the full check.
     Each row is removed from the pool when it is reached, so a dense group costs little, and at
     most n - 1 links leave, never all pairs.
     """
@@ -166,7 +186,12 @@ def _forest(sketch: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
         frontier, left = [left[0]], left[1:]
         while frontier and len(left):
             at = frontier.pop()
-            near = np.bitwise_count(sketch[left] ^ sketch[at]).sum(1) <= limit
+            diff = sketch[left] ^ sketch[at]
+            if start is None:
+                near = np.bitwise_count(diff).sum(1) <= limit
+            else:
+                near = _chain_ok(diff[:, 0], np.uint64(8 * start), limit)
+                near[near] = np.bitwise_count(diff[near, 0]) <= limit
             if near.any():
                 hit = left[near]
                 parents.append(np.full(len(hit), at))
@@ -178,7 +203,7 @@ def _forest(sketch: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parents), np.concatenate(found)
 
 
-def _links_of_group(ids: np.ndarray, sketch: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _links_of_group(ids: np.ndarray, sketch: np.ndarray, limit: int, start: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """Spanning links inside one key's group. A large group of one-lane fingerprints is cut by a further pigeonhole step.
 
     The bits that vary in the group are cut into ``limit`` + 1 pieces: fingerprints at most ``limit`` bits
@@ -194,9 +219,9 @@ def _links_of_group(ids: np.ndarray, sketch: np.ndarray, limit: int) -> list[tup
                 order = np.argsort(value, kind="stable")
                 for part in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
                     if len(part) > 1:
-                        out += _links_of_group(ids[part], sketch[part], limit)
+                        out += _links_of_group(ids[part], sketch[part], limit, start)
             return out
-    p, f = _forest(sketch, limit)
+    p, f = _forest(sketch, limit, start)
     return [(ids[p], ids[f])] if len(p) else []
 
 
@@ -216,16 +241,16 @@ def _runs(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.nd
         yield held[0], held[1:]
 
 
-def group_links(keyed: DataFrame, lanes: list[str], limit: int, chain: bool) -> DataFrame:
+def group_links(keyed: DataFrame, lanes: list[str], limit: int, chain: bool, hot: int = HOT) -> DataFrame:
     """(key, id, lanes...) → (u, v): spanning links of every key's group of fingerprints within ``limit`` bits.
 
-    Pairs are compared inside tasks over sorted partitions; groups of two take the vectorised path.
-    ``chain``: keys are those of EXACT_HEADS over the single lane, and the chain is checked first.
+    Pairs are compared inside tasks over sorted partitions; groups of two take the vectorised path,
+    and the groups of hot keys are split. ``chain``: a column ``start`` names each key's chain over
+    the single lane, and the chain is checked before the full distance.
     """
-    n_heads = len(EXACT_HEADS)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, (ids, *cols) in _runs(it):
+        for key, (ids, begins, *cols) in _runs(it):
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(key)]]))
             sketch = np.stack([c.view(np.uint64) for c in cols], axis=1)
@@ -234,14 +259,13 @@ def group_links(keyed: DataFrame, lanes: list[str], limit: int, chain: bool) ->
             if len(two):
                 diff = sketch[two] ^ sketch[two + 1]
                 if chain:
-                    start = ((key[two].view(np.uint64) >> np.uint64(32)) // np.uint64(n_heads)) * np.uint64(8)
-                    ok = _chain_ok(diff[:, 0], start, limit)
+                    ok = _chain_ok(diff[:, 0], begins[two].astype(np.uint64) * np.uint64(8), limit)
                     two, diff = two[ok], diff[ok]
                 ok = np.bitwise_count(diff).sum(1) <= limit
                 us.append(ids[two[ok]])
                 vs.append(ids[two[ok] + 1])
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                for u, v in _links_of_group(ids[s : s + n], sketch[s : s + n], limit):
+                for u, v in _links_of_group(ids[s : s + n], sketch[s : s + n], limit, int(begins[s]) if chain else None):
                     us.append(u)
                     vs.append(v)
             if us:
@@ -249,11 +273,11 @@ def group_links(keyed: DataFrame, lanes: list[str], limit: int, chain: bool) ->
                 pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
-    dealt = keyed.select("key", "id", *lanes).repartition("key").sortWithinPartitions("key", "id")
-    return dealt.mapInArrow(batches, "u long, v long")
+    rows = split_hot(keyed.select("key", "id", "start" if chain else F.lit(0).alias("start"), *lanes), hot)
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(batches, "u long, v long")
 
 
-def hamming_components(df: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def hamming_components(df: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id, fp, component): classes of fingerprints that 3 or fewer differing bits link, at any remove.
 
     Equal fingerprints are collapsed before candidates are sought, so copies never meet as pairs.
@@ -263,8 +287,8 @@ def hamming_components(df: DataFrame, width: int = 3, id_col: str = "doc_id", te
     limit = 3
     fps = materialize(fingerprints(df, width, id_col, text_col), "fingerprints")
     classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("node")), "classes")
-    keyed = classes.where("node IS NOT NULL").select(F.explode(head_keys("fp", EXACT_HEADS)).alias("key"), F.col("node").alias("id"), "fp")
-    found = components(group_links(keyed, ["fp"], limit, chain=True))
+    keyed = classes.where("node IS NOT NULL").select(F.explode(head_keys("fp", EXACT_HEADS)).alias("k"), F.col("node").alias("id"), "fp").select("k.*", "id", "fp")
+    found = components(group_links(keyed, ["fp"], limit, chain=True, hot=hot))
     named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     return fps.join(materialize(named, "named"), "fp", "left").select("id", "fp", "component")
 
@@ -278,7 +302,7 @@ def hamming_limit(similarity: float, bits: int) -> int:
     return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
 
 
-def group_pairs(keyed: DataFrame, lanes: list[str], limit: int, block: int = 256) -> DataFrame:
+def group_pairs(keyed: DataFrame, lanes: list[str], limit: int, block: int = 256, hot: int = HOT) -> DataFrame:
     """(key, id, label, lanes...) → (u, v): all pairs of each key's group within ``limit`` bits whose labels differ.
 
     Rows of the group's largest label are compared with the others only, so a group that is one
@@ -303,7 +327,7 @@ def group_pairs(keyed: DataFrame, lanes: list[str], limit: int, block: int = 256
                         pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
                         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
-    dealt = keyed.select("key", "id", "label", *lanes).repartition("key").sortWithinPartitions("key", "id")
+    dealt = split_hot(keyed.select("key", "id", "label", *lanes), hot).repartition("key").sortWithinPartitions("key", "id")
     return dealt.mapInArrow(batches, "u long, v long").distinct()
 
 
@@ -340,14 +364,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def near_duplicate_classes(
-    df: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = LANES, id_col: str = "doc_id", text_col: str = "text", slack: float = SLACK
+    df: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = LANES, id_col: str = "doc_id", text_col: str = "text", slack: float = SLACK, hot: int = HOT
 ) -> DataFrame:
     """(id, component): classes of texts that links of an exact Jaccard similarity of ``similarity`` or more join.
 
     Candidates share a routing key and are near by their sketches; each link is confirmed on the sets of
     shingle hashes. Surely near texts are linked first by spanning links, then every candidate pair
     that these leave in different classes is checked. Null and empty texts form one class of their
-    own only with other texts without words. Rows with a null id are left out.
+    own only with other texts without words. Rows with a null id are left out: no id tells them apart.
+    ``hot`` bounds the rows of a routing key that meet in one task.
     """
     parts, bits = [f"s{k}" for k in range(lanes)], 64 * lanes
     at = hamming_limit(similarity, bits)
@@ -356,17 +381,17 @@ def near_duplicate_classes(
     firsts = [F.first(x).alias(x) for x in ("n", "keys", *parts)]
     classes = materialize(made.groupBy("c").agg(F.min(F.struct("id")).alias("_node"), *firsts).select("c", F.col("_node.id").alias("node"), "n", "keys", *parts), "sketch-classes")
     keyed = classes.where("n > 0").select(F.explode("keys").alias("key"), F.col("c").alias("id"), *parts)
-    near = materialize(group_links(keyed, parts, wide, chain=False).distinct(), "sketch-near")
+    near = materialize(group_links(keyed, parts, wide, chain=False, hot=hot).distinct(), "sketch-near")
     ends = near.select(F.explode(F.array("u", "v")).alias("c")).distinct()
     some = materialize(classes.join(ends.hint("merge"), "c", "left_semi"), "sketch-some")
     texts = df.select(F.col(id_col).cast("long").alias("node"), text_or_empty(text_col).alias("t"))
     sets = materialize(hash_sets(texts.join(some.select("c", "node").hint("merge"), "node"), width), "sketch-sets")
     again = some.select(F.explode("keys").alias("key"), F.col("c").alias("id"), *parts)
-    sure = group_links(again, parts, hamming_limit(min(1.0, similarity + slack), bits), chain=False).distinct()
+    sure = group_links(again, parts, hamming_limit(min(1.0, similarity + slack), bits), chain=False, hot=hot).distinct()
     sure = materialize(confirmed(sure, sets, similarity), "sketch-sure")
     labels = materialize(some.select("c").join(components(sure), F.col("c") == F.col("node"), "left").select("c", F.coalesce("component", "c").alias("label")), "sketch-labels")
     labelled = some.join(labels, "c").select(F.explode("keys").alias("key"), F.col("c").alias("id"), "label", *parts)
-    more = materialize(confirmed(group_pairs(labelled, parts, wide), sets, similarity), "sketch-more")
+    more = materialize(confirmed(group_pairs(labelled, parts, wide, hot=hot), sets, similarity), "sketch-more")
     found = components(sure.unionByName(more)).select(F.col("node").alias("c"), F.col("component").alias("root"))
     rooted = materialize(classes.select("c", "node").join(found, "c", "left").withColumn("root", F.coalesce("root", "c")), "sketch-rooted")
     least = rooted.groupBy("root").agg(F.min("node").alias("component"))

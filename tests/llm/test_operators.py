@@ -111,6 +111,17 @@ def test_op3_fingerprints_and_components(spark, frame, small):
     assert got == brute.op3(small)
 
 
+def test_op3_hot_keys_are_split(spark, small):
+    """Keys of more rows than ``hot`` meet by pairs of blocks and give the same classes."""
+    base = " ".join(f"w{k}" for k in range(400)).split()
+    rows = [(i, " ".join(base[: 5 * (i % 60)] + ["x" * (i % 60)] + base[5 * (i % 60) :])) for i in range(120)] + [(1000 + i, t) for i, t in small[:80]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: (f"{r.fp & (1 << 64) - 1:016x}", r.component) for r in simhash.hamming_components(df, hot=4).collect()}
+    assert got == brute.op3(rows)
+    wide = lambda hot: sorted((r.id, r.component) for r in simhash.near_duplicate_classes(df, hot=hot).collect())
+    assert wide(4) == wide(simhash.HOT)
+
+
 def test_op3_finds_every_link_of_three_bits():
     """Every pair of three differing bits at most shares a chain head and passes its chain."""
     rng = np.random.default_rng(2)
