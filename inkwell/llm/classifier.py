@@ -23,7 +23,7 @@ WIDTH, STRIDE = 8, 2
 EMBED, FILTERS = 8, 24
 #: The fit reads at most this many labelled rows, the first by a hash of their id.
 FIT_ROWS = 1500
-#: Bytes of one fitted row used in an epoch: that many chunks, spread evenly over the whole text.
+#: Chunks of one fitted row, at most, spread evenly over the whole text. A parameter of the fit; scores read whole texts.
 FIT_CHUNKS = 12
 #: Chunks that pass through the network at once when scoring; bounds a task's memory.
 SCORE_CHUNKS = 256

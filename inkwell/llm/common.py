@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A folder of its own is set only where the session names none, as in local tests.
+    A folder of its own is set only where a local session, whose executors are the driver, names none;
+    on a cluster that raises, as executors can't see a folder of the driver's machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="inkwell-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

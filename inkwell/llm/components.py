@@ -20,7 +20,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(u, v) links between long ids → (node, component), the component being its smallest node.
 
     Only nodes with a link to another node are returned. Null ends, self links and repeated links
-    are ignored; an empty table gives an empty table.
+    are ignored; an empty table gives an empty table. Links that are not settled after ``max_rounds``
+    raise: no unfinished result is returned (the rounds grow with the logarithm of the longest path).
     """
     shared_root(links.sparkSession)
     edges = (
@@ -47,5 +48,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(roots)

@@ -16,7 +16,9 @@ from .common import documents, materialize, text_or_empty
 #: Most ranges that successor() cuts the ids into; what is broadcast has a row for each at most.
 MAX_RANGES = 65_536
 #: Fewest ids to a range.
-MIN_WIDTH = 1024
+MIN_WIDTH = 128
+#: Ranges of rows without an id.
+NULL_RANGES = 64
 
 
 def canonical(text: Column) -> Column:
@@ -33,13 +35,19 @@ def digest(form: Column) -> Column:
     return F.concat(half(F.xxhash64(form)), half(F.xxhash64(F.lit("second"), form)))
 
 
-def duplicate_buckets(df: DataFrame, form_col: str = "form", digest_col: str = "digest") -> DataFrame:
-    """(digest, n_forms, n_rows): the byte-distinct canonical forms inside every equal digest.
+def duplicate_forms(df: DataFrame, form_col: str = "form", digest_col: str = "digest") -> DataFrame:
+    """(digest, form_sha256, n_rows): the byte-distinct canonical forms inside every equal digest.
 
-    A hot group of copies is collapsed by the map-side aggregation before anything is shuffled.
+    The grouping compares the forms' bytes. A hot group of copies is collapsed by the map-side
+    aggregation before anything is shuffled.
     """
-    forms = df.groupBy(digest_col, form_col).agg(F.count("*").alias("n"))
-    return forms.groupBy(digest_col).agg(F.count("*").alias("n_forms"), F.sum("n").alias("n_rows"))
+    forms = df.groupBy(digest_col, form_col).agg(F.count("*").alias("n_rows"))
+    return forms.select(digest_col, F.sha2(F.col(form_col), 256).alias("form_sha256"), "n_rows")
+
+
+def shared_digests(forms: DataFrame) -> DataFrame:
+    """(digest): digests of more than one form; as good as always none."""
+    return forms.groupBy("digest").agg(F.count("*").alias("n_forms")).where("n_forms > 1").select("digest")
 
 
 def successor(df: DataFrame, id_col: str, carried: list[str], prefix: str = "next_") -> DataFrame:
@@ -48,18 +56,19 @@ def successor(df: DataFrame, id_col: str, carried: list[str], prefix: str = "nex
     After the last row comes the first. Ids are cut into ranges of equal width; a window runs inside
     each range, and the first row of a range is copied into the range before it, so no row waits for
     another partition. The range table has MAX_RANGES rows at most, which bounds the broadcast.
-    Equal ids follow each other in the order of their carried values; null ids come last.
+    Equal ids follow each other in the order of their carried values; rows without an id come last,
+    in NULL_RANGES ranges of a hash of their values.
     """
     bounds = df.agg(F.min(id_col), F.max(id_col)).first()
     low, high = (bounds[0] or 0, bounds[1] or 0)
     width = max(MIN_WIDTH, (high - low) // (MAX_RANGES - 2) + 1)
-    ranged = df.withColumn("_range", F.coalesce(F.expr(f"({id_col} - {low}L) div {width}L"), F.lit(-1).cast("long")))
+    ranged = df.withColumn("_range", F.coalesce(F.expr(f"({id_col} - {low}L) div {width}L"), -1 - F.pmod(F.xxhash64(*carried), F.lit(NULL_RANGES))))
+    rank = [F.desc_nulls_last(id_col), *(F.asc_nulls_first(c) for c in carried)]
     heads = ranged.groupBy("_range").agg(F.max(id_col).alias("_head"))
     order = Window.orderBy(F.desc("_range"))
     before = F.coalesce(F.lag("_range").over(order), F.min("_range").over(Window.partitionBy()))
     heads = heads.select(F.col("_range").alias("_own"), before.alias("_before"), "_head")
-    # The copied row is the first of its range: of rows with its id, the first in order.
-    rank = [F.desc_nulls_last(id_col), *(F.asc_nulls_first(c) for c in carried)]
+    # Rows of the largest id of a range: the first among them is found by the window they are copied into.
     copies = ranged.join(F.broadcast(heads), (F.col("_range") == F.col("_own")) & F.col(id_col).eqNullSafe(F.col("_head")))
     copies = copies.select(*df.columns, F.col("_before").alias("_range"), F.lit(1).alias("_copy"))
     both = ranged.select(*df.columns, "_range", F.lit(0).alias("_copy")).unionByName(copies)
@@ -77,7 +86,7 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
 def op2_canonical_digest(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness (1 for equal forms, else 0).
 
-    ``n_copies`` counts the rows of the document's digest after the byte comparison.
+    ``n_copies`` counts the rows of the document's canonical form.
     """
     docs = documents(spark, sf_dir).select("doc_id", text_or_empty().alias("text"))
     line = successor(docs, "doc_id", ["text"])
@@ -94,15 +103,16 @@ def op2_canonical_digest(spark, sf_dir: str) -> DataFrame:
     same = lambda c: F.when(F.col("form") == F.col(c), 1.0).otherwise(0.0)
     rows = materialize(
         made.select(
-            "doc_id", "n_chars", "edited_sha256", digest(F.col("form")).alias("digest"), digest(F.col("edited_form")).alias("edited_fingerprint"),
-            same("edited_form").alias("near_edited"), same("next_form").alias("near_next"), F.sha2("form", 256).alias("form_sha256"),
+            "doc_id", "n_chars", "edited_sha256", digest(F.col("form")).alias("digest"), digest(F.col("edited_form")).alias("edited_digest"),
+            same("edited_form").alias("near_edited"), same("next_form").alias("near_next"), F.sha2("form", 256).alias("form_sha256"), F.sha2("edited_form", 256).alias("edited_sha"),
         ),
         "digests",
     )
-    buckets = duplicate_buckets(fingerprint_documents(docs)).withColumnRenamed("digest", "bucket")
-    joined = rows.join(materialize(buckets, "buckets"), F.col("digest") == F.col("bucket"), "left")
-    suffix = F.when(F.col("n_forms") > 1, F.concat(F.lit(":"), "form_sha256")).otherwise("")
-    return joined.select(
-        "doc_id", "n_chars", "edited_sha256", F.concat("digest", suffix).alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next",
-        F.when(F.col("n_forms") > 1, F.lit(None)).otherwise(F.col("n_rows")).alias("n_copies"),
-    )
+    forms = materialize(duplicate_forms(fingerprint_documents(docs)), "forms")
+    many = materialize(shared_digests(forms), "shared-digests")
+    counted = rows.join(forms, ["digest", "form_sha256"], "left")
+    # Both texts' digests get their form's hash where the documents hold two forms of the digest, so equal texts stay equal.
+    for c, sha in (("digest", "form_sha256"), ("edited_digest", "edited_sha")):
+        at = many.select(F.col("digest").alias("_d"))
+        counted = counted.join(at, F.col(c) == F.col("_d"), "left").withColumn(c, F.when(F.col("_d").isNull(), F.col(c)).otherwise(F.concat(F.col(c), F.lit(":"), sha))).drop("_d")
+    return counted.select("doc_id", "n_chars", "edited_sha256", F.col("digest").alias("fingerprint"), F.col("edited_digest").alias("edited_fingerprint"), "near_edited", "near_next", F.col("n_rows").alias("n_copies"))

@@ -78,33 +78,41 @@ def to_postfix(expression: str) -> list[str]:
     return out
 
 
-#: Ways of one expression that are listed at most; its names are whole.
-WAYS = 64
+def labels_of(postfix: list[str]) -> frozenset[str]:
+    """All labels of an expression: its licences, those under ``with`` joined to the exception's name."""
+    stack: list[frozenset[str]] = []
+    for token in postfix:
+        if token not in _RANK:
+            stack.append(frozenset([IDENTIFIERS.get(token, token)]))
+            continue
+        if len(stack) < 2:
+            break
+        right, left = stack.pop(), stack.pop()
+        stack.append(frozenset(f"{x} with {min(right)}" for x in left) if token == "with" else left | right)
+    return stack[0] if stack else frozenset()
 
 
-def evaluate(expression: str) -> tuple[list[frozenset[str]], frozenset[str]]:
-    """The ways to satisfy an expression, each a set of labels that hold together, and all labels in it.
+def satisfied(postfix: list[str], allowed: set[str]) -> bool:
+    """Whether an expression holds when just the ``allowed`` labels may be used.
 
-    ``or`` offers the ways of both sides, ``and`` joins each with each, ``with`` adds the exception's
-    name to the licence before it. An operator without its operands ends the evaluation. The ways
-    multiply with every ``and``, so only the first WAYS are listed; the labels are never cut.
+    ``or`` needs one side, ``and`` both, ``with`` the licence joined to the exception's name. An operator
+    without its operands ends the evaluation.
     """
-    stack: list[tuple[list[frozenset[str]], frozenset[str]]] = []
-    for token in to_postfix(expression):
+    stack: list[tuple[bool, frozenset[str]]] = []
+    for token in postfix:
         if token not in _RANK:
-            one = frozenset([IDENTIFIERS.get(token, token)])
-            stack.append(([one], one))
+            name = IDENTIFIERS.get(token, token)
+            stack.append((name in allowed, frozenset([name])))
             continue
         if len(stack) < 2:
             break
         (right, right_names), (left, left_names) = stack.pop(), stack.pop()
         if token == "with":
-            joined = lambda names, e=min(right_names): frozenset(f"{x} with {e}" for x in names)
-            stack.append((list(map(joined, left)), joined(left_names)))
+            names = frozenset(f"{x} with {min(right_names)}" for x in left_names)
+            stack.append((bool(names) and names <= allowed, names))
         else:
-            both = left + right if token == "or" else [a | b for a in left for b in right]
-            stack.append((list(dict.fromkeys(both))[:WAYS], left_names | right_names))
-    return stack[0] if stack else ([], frozenset())
+            stack.append(((left or right) if token == "or" else (left and right), left_names | right_names))
+    return bool(stack) and stack[0][0]
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -128,28 +136,28 @@ def scan(text: str, found: ahocorasick.Automaton) -> dict:
             base.add(label)
         else:
             more.add(label)
-    tagged: list[frozenset[str]] = []
+    tagged: list[str] = []
     named: set[str] = set()
     low = raw.lower().decode("utf-8", "surrogatepass")
     at = low.find(TAG)
     while at >= 0:
         at += len(TAG)
         stop = low.find("\n", at)
-        ways, names = evaluate(low[at : stop if stop >= 0 else len(low)])
-        tagged += ways
-        named |= names
+        if postfix := to_postfix(low[at : stop if stop >= 0 else len(low)]):
+            tagged.append(" ".join(postfix))
+            named |= labels_of(postfix)
         at = low.find(TAG, at)
     names = base | more | named
     doubt = 0.1 ** len(base) * 0.3 ** len(more - base) * (0.05 if tagged else 1.0)
-    return {"n_words": len(words), "places": places, "base": base, "labels": names, "score": 0.0 if not names else 1.0 - doubt, "ways": [sorted(w) for w in tagged]}
+    return {"n_words": len(words), "places": places, "base": base, "labels": names, "score": 0.0 if not names else 1.0 - doubt, "expressions": tagged}
 
 
 def scan_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licence labels of every whole text.
 
-    Returns (id, n_words, n_base, first_word, last_word, base_labels, labels, score, ways), ``ways``
-    being the alternatives of the text's tagged expressions. Null and empty texts have no words, no
-    labels and score 0; ids may repeat or be null.
+    Returns (id, n_words, n_base, first_word, last_word, base_labels, labels, score, expressions), the
+    last being the text's tagged expressions in postfix order, for ``satisfied``. Null and empty texts
+    have no words, no labels and score 0; ids may repeat or be null.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +173,13 @@ def scan_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 "base_labels": pa.array([",".join(sorted(r["base"])) for r in rows], pa.string()),
                 "labels": pa.array([",".join(sorted(r["labels"])) for r in rows], pa.string()),
                 "score": pa.array([r["score"] for r in rows], pa.float64()),
-                "ways": pa.array([r["ways"] for r in rows], pa.list_(pa.list_(pa.string()))),
+                "expressions": pa.array([r["expressions"] for r in rows], pa.list_(pa.string())),
             })
 
-    schema = "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, ways array<array<string>>"
+    schema = "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>"
     return df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t")).mapInArrow(batches, schema)
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document."""
-    return scan_documents(documents(spark, sf_dir)).drop("ways").withColumnRenamed("id", "doc_id")
+    return scan_documents(documents(spark, sf_dir)).drop("expressions").withColumnRenamed("id", "doc_id")

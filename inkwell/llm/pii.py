@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and a character BiLSTM with CRF transitions that adds spans.
 
 The network is trained in numpy from labelled spans: those the patterns find in a bounded sample of
-the corpus, and disguised forms of them. It reads overlapping windows; the scores of windows that
-overlap are averaged, and one Viterbi pass decodes each whole stretch of adjoining windows. All four
-kinds hold a digit or an ``@``, so a window without either can hold no span and is not read.
+the corpus, disguised forms of them, and values set after words such as "token" (a fifth kind, secret,
+which has no pattern among the fixed ones). It reads overlapping windows; the scores of windows that
+overlap are averaged, and one Viterbi pass decodes each whole stretch of adjoining windows. Windows are
+read where a digit, an ``@`` or a spelled-out "at" or "dot" stands, as every kind has one of these.
 """
 
 from __future__ import annotations
@@ -20,13 +21,17 @@ from pyspark.sql import functions as F
 
 from .common import documents, text_or_empty
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds of the fixed patterns, and one that only the network finds.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 #: Tags: 0 outside, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
 WINDOW, STEP = 64, 32
 EMBED, HIDDEN = 12, 20
-#: The fit reads at most this many texts with a trigger character, the first by a hash of their id.
-FIT_ROWS = 1200
+#: The fit draws this many rows, the first by a hash of their id, and learns from those of them that hold a trigger.
+FIT_ROWS = 4800
+#: Triggers of a drawn text that the fit learns from, at most.
+FIT_PIECES = 8
 FIT_WINDOWS = 2400
 #: Passes over the fitted texts at most, until there are so many windows.
 FIT_PASSES = 60
@@ -37,7 +42,10 @@ _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_SECRET = re.compile(r"""(?i)\b(?:token|secret|password|passwd|key)["']?\s*[:=]\s*["']?([A-Za-z0-9+/_.-]{16,})""")
+#: A digit, an at sign, or "at" or "dot" in brackets or "dot" between spaces.
+TRIGGER = r"[0-9@]|[\[({]\s*(?:at|dot)\s*[\])}]|\sdot\s"
+_TRIGGER = re.compile(TRIGGER)
 
 
 def luhn(digits: str) -> bool:
@@ -71,6 +79,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def labelled_spans(text: str) -> list[tuple[int, int, int]]:
+    """The patterns' spans and, apart from these, values set after words for secrets."""
+    base = base_spans(text)
+    more = [(m.start(1), 4, m.end(1)) for m in _SECRET.finditer(text)] if _TRIGGER.search(text) else []
+    return sorted([x for x in base if not any(s < x[2] and x[0] < e for s, _, e in more)] + more)
+
+
 def shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
@@ -238,7 +253,10 @@ def disguised(kind: int, value: str, rng: random.Random) -> str:
     digits = _digits(value)
     if kind == 0:
         user, _, host = value.partition("@")
-        return rng.choice([f"{user} @ {host}", f"{user}[at]{host}@", f"{user}@{host.replace('.', ' . ')}", f"{user}@{host.replace('.', '[.]')}"])
+        spelled = host.replace(".", " dot ")
+        return rng.choice([f"{user} @ {host}", f"{user}[at]{host}", f"{user} [at] {host.replace('.', ' [dot] ')}", f"{user} (at) {host}", f"{user} at {spelled}", f"{user}@{host.replace('.', ' . ')}", f"{user}@{host.replace('.', '[.]')}"])
+    if kind == 4:
+        return value
     if kind == 1:
         return value.replace(".", rng.choice(["[.]", " . ", "(.)"]))
     if kind == 2:
@@ -247,10 +265,18 @@ def disguised(kind: int, value: str, rng: random.Random) -> str:
     return rng.choice([f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"00{digits[:1]} {d[:3]} {d[3:6]} {d[6:]}"])
 
 
+def redrawn(kind: int, value: str, rng: random.Random) -> str:
+    """A value of the same form with other digits; a secret is drawn anew, often as hex digits."""
+    if kind == 4:
+        of = rng.choice(["0123456789abcdef", "0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])
+        return "".join(rng.choice(of) for _ in range(len(value) if rng.random() < 0.6 else rng.randrange(20, 48)))
+    return "".join(rng.choice("0123456789") if c in "0123456789" else c for c in value)
+
+
 def decoy(rng: random.Random) -> str:
     """Digits that are no personal data: years, amounts, times, versions, ordinals."""
     n = rng.randrange
-    return rng.choice([f" {n(1900, 2030)} ", f" {n(1, 200)} ", f" {n(1, 99)}.{n(10)} ", f" {n(1, 24)}:{n(10, 60)} ", f" {n(1, 10)},{n(100, 999)} ", f" v{n(1, 9)}.{n(20)}.{n(20)} ", f" {n(1, 99)}-{n(1, 99)} ", f" {n(2000, 2030)}-{n(10, 13)}-{n(10, 29)} ", " @ "])
+    return rng.choice([f" {n(1900, 2030)} ", f" {n(1, 200)} ", f" {n(1, 99)}.{n(10)} ", f" {n(1, 24)}:{n(10, 60)} ", f" {n(1, 10)},{n(100, 999)} ", f" v{n(1, 9)}.{n(20)}.{n(20)} ", f" {n(1, 99)}-{n(1, 99)} ", f" {n(2000, 2030)}-{n(10, 13)}-{n(10, 29)} ", " @ ", " dot ", " (at) ", f" {n(10**6)} "])
 
 
 def training_windows(texts: list[str], limit: int = FIT_WINDOWS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -259,14 +285,14 @@ def training_windows(texts: list[str], limit: int = FIT_WINDOWS, seed: int = 5)
     On each pass the digits of every span are drawn anew, half of the spans are disguised, and decoys are put between words.
     """
     rng, chars, tags = random.Random(seed), [], []
-    known = [(t, s) for t in texts if (s := base_spans(t))]
+    known = [(t, s) for t in texts if (s := labelled_spans(t))]
     for turn in range(FIT_PASSES):
-        for text, spans in known if turn else [(t, base_spans(t)) for t in texts]:
+        for text, spans in known if turn else [(t, labelled_spans(t)) for t in texts]:
             pieces, at, marks, n = [], 0, [], 0
             for s, k, e in spans:
                 if s < at:
                     continue
-                value = "".join(rng.choice("0123456789") if c in "0123456789" else c for c in text[s:e])
+                value = redrawn(k, text[s:e], rng)
                 value = value if rng.random() < 0.5 else disguised(k, value, rng)
                 before = text[at:s] if rng.random() < 0.6 else decoy(rng).join(text[at:s].rsplit(" ", rng.randrange(1, 3)))
                 pieces += [before, value]
@@ -372,47 +398,54 @@ def plausible(kind: int, value: str) -> bool:
     if value != value.strip() or "\n" in value:
         return False
     if kind == 0:
-        return "@" in value and len(value) >= 6
+        return len(value) >= 6 and ("@" in value or re.search(r"(?i)\bat\b", value) is not None)
+    if kind == 4:
+        return len(value) >= 16 and n >= 3 and not any(c.isspace() for c in value)
     return (4 <= n <= 12, 12 <= n <= 19, 7 <= n <= 15)[kind - 1] and not any(c.isalpha() for c in value)
 
 
 def find_spans(df: DataFrame, network: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Personal data in every whole text.
 
-    Returns (id, n_email, n_ip, n_card, n_phone, base_sha256, spans): counts and digest of the
-    patterns' spans, and all spans as kind:start:end, the network's where they overlap none of the
-    patterns'. Null and empty texts have none; ids may repeat or be null.
+    Returns (id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans): counts and digest of
+    the patterns' spans, and all spans as kind:start:end, the network's where they overlap none of
+    the patterns', and their number. Null and empty texts have none; ids may repeat or be null.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts = [t.as_py() for t in b.column(1)]
             rows = [base_spans(t) for t in texts]
-            shows, counts = [], []
+            shows, counts, totals = [], [], []
             for base, more in zip(rows, network_spans(network, texts, rows), strict=True):
                 shows.append((shown(base), shown(sorted(base + more))))
-                counts.append([sum(k == kind for _, k, _ in base) for kind in range(len(KINDS))])
-            table = np.array(counts, np.int64).reshape(-1, len(KINDS))
+                counts.append([sum(k == kind for _, k, _ in base) for kind in range(len(BASE_KINDS))])
+                totals.append(len(base) + len(more))
+            table = np.array(counts, np.int64).reshape(-1, len(BASE_KINDS))
             yield pa.RecordBatch.from_pydict({
-                "id": b.column(0), **{f"n_{k}": pa.array(table[:, j]) for j, k in enumerate(KINDS)},
+                "id": b.column(0), **{f"n_{k}": pa.array(table[:, j]) for j, k in enumerate(BASE_KINDS)},
                 "base_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x, _ in shows], pa.string()),
-                "spans": pa.array([y for _, y in shows], pa.string()),
+                "spans": pa.array([y for _, y in shows], pa.string()), "n_spans": pa.array(totals, pa.int64()),
             })
 
-    schema = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
     return df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t")).mapInArrow(batches, schema)
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> dict:
-    """Fit on at most ``rows`` of the texts that hold a trigger character, the first by a hash of their id."""
-    sample = df.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t")).where(F.col("t").rlike("[0-9@]"))
-    # Pieces around the triggers are enough to learn from, and bound what reaches the driver.
-    pieces = sample.select("i", F.slice(F.regexp_extract_all("t", F.lit(r"(?s).{0,48}[0-9@].{0,80}"), F.lit(0)), 1, 4).alias("p"))
-    got = pieces.orderBy(F.xxhash64("i"), "i").limit(rows).collect()
+    """Fit on pieces around the triggers of at most ``rows`` texts, the first by a hash of their id.
+
+    The ids are drawn first, so that neither the scan for triggers nor what reaches the driver grows
+    with the corpus: a task sends the pieces of drawn texts only.
+    """
+    drawn = df.select(F.col(id_col).alias("_drawn")).where("_drawn IS NOT NULL").orderBy(F.xxhash64("_drawn"), "_drawn").limit(rows).distinct()
+    texts = df.join(F.broadcast(drawn), F.col(id_col) == F.col("_drawn")).select(F.col("_drawn").alias("i"), text_or_empty(text_col).alias("t"))  # ``rows`` ids
+    pieces = texts.select("i", F.slice(F.regexp_extract_all("t", F.lit(r"(?s).{0,64}(?:" + TRIGGER + r").{0,96}"), F.lit(0)), 1, FIT_PIECES).alias("p"))
+    got = pieces.where(F.size("p") > 0).orderBy(F.xxhash64("i"), "i", "p").limit(rows).collect()
     return fit(*training_windows([x for r in got for x in r.p]))
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans of every document."""
     docs = documents(spark, sf_dir)
     return find_spans(docs, train(docs)).withColumnRenamed("id", "doc_id")

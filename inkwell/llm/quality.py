@@ -84,17 +84,17 @@ def host_rates(rows: DataFrame, host_col: str = "host", failed_col: str = "base_
     )
 
 
-def verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_rate: float = HOST_RATE) -> DataFrame:
-    """Every row's figures with ``base_failed``, the host's ``shrunk_rate`` and ``kept``.
+def verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_rate: float = HOST_RATE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every row's figures with ``base_failed``, the host's ``shrunk_rate`` and ``kept``, and the columns of ``carry``.
 
     The host is ``host_col`` (null: ''). Ids may repeat or be null; each row has its own verdict.
     An empty table gives none. ``host`` tables join back on (host, salt), so the rows of a host with
     a third of all documents go to SALTS tasks.
     """
-    rows = figures(df.select(id_col, text_col, F.coalesce(F.col(host_col), F.lit("")).alias("host")), id_col, text_col)
+    rows = figures(df.select(id_col, text_col, *carry, F.coalesce(F.col(host_col), F.lit("")).alias("host")), id_col, text_col)
     rows = materialize(rows.withColumn("base_failed", base_failed()), "figures")
     rates = host_rates(rows).select(F.col("host").alias("_host"), "shrunk_rate", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(id_col, "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
     joined = salted.join(rates, (F.col("host") == F.col("_host")) & (F.col("salt") == F.col("_salt")), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("shrunk_rate") < host_rate)).drop("_host", "_salt", "salt")
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import random
 
-import numpy as np
 import pytest
 import sentencepiece
 
@@ -22,13 +21,9 @@ def rows_of(df):
 
 
 def plain_classes(rows):
-    """Smallest id of each class of texts whose sketches are near, all pairs compared."""
-    sketch = {}
-    for i, t in rows:
-        runs = simhash.shingle_hashes(simhash.words_of(t or ""), 5)
-        sketch[i] = np.array([simhash.majority_bits(simhash.remixed(runs, k)) for k in range(simhash.LANES)], np.uint64)
-    ids, root = sorted(sketch), {i: i for i in sketch}
-    limit = simhash.hamming_limit(0.8 - simhash.SLACK, 64 * simhash.LANES)
+    """Smallest id of each class of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, all pairs compared."""
+    sets = {i: frozenset(simhash.shingle_hashes(simhash.words_of(t or ""), 5).tolist()) for i, t in rows}
+    ids, root = sorted(sets), {i: i for i in sets}
 
     def find(x):
         while root[x] != x:
@@ -37,9 +32,10 @@ def plain_classes(rows):
 
     for a, i in enumerate(ids):
         for j in ids[:a]:
-            if np.bitwise_count(sketch[i] ^ sketch[j]).sum() <= limit:
-                x, y = sorted((find(i), find(j)))
-                root[y] = x
+            x, y = sets[i], sets[j]
+            if x == y or (min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y)):
+                p, q = sorted((find(i), find(j)))
+                root[q] = p
     return {find(i) for i in ids}
 
 
@@ -85,12 +81,27 @@ def test_run_applies_the_stages(spark):
 
 
 def test_odd_rows(spark):
-    odd = [(None, None, None, None, None), (None, "a text without an id " * 9, None, None, 1), (1, None, None, None, None), (1, "word one two three four five six " * 8, "en", None, 3), (1, "word one two three four five six " * 8, "en", None, 3)]
+    """Null ids, null and repeated rows: each stage's result is the one its docstring states."""
+    good = "word one two three four five six seven eight nine ten " + " ".join(f"w{k}" for k in range(40))
+    other = " ".join(f"other{k}" for k in range(60))
+    odd = [(None, None, None, None, None), (None, good, None, None, 1), (None, good, "fr", None, 1), (1, None, None, None, None), (1, good, "en", None, 3), (1, good, "en", None, 3), (2, other, None, "s", 4), (2, "short", None, "s", 4)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    for rows in ([], odd):
-        docs = spark.createDataFrame(rows, schema)
-        for _, stage in pipeline.STAGES:
-            assert stage(spark, docs, SF).count() <= len(rows)
+    empty = spark.createDataFrame([], schema)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+    docs = spark.createDataFrame(odd, schema)
+    key = lambda df: sorted((r.doc_id or -1, r.text or "") for r in df.collect())
+    stages = dict(pipeline.STAGES)
+    kept = stages["quality rules"](spark, docs, SF)
+    assert key(kept) == sorted([(-1, good), (-1, good), (1, good), (1, good), (2, other)])
+    lines = stages["line dedup"](spark, docs, SF)
+    assert key(lines) == key(docs)  # no line is in five documents
+    near = stages["SimHash near-dedup"](spark, docs, SF)
+    assert key(near) == key(docs)  # rows without an id stay; rows of one id go or stay together
+    near = stages["SimHash near-dedup"](spark, docs.unionByName(spark.createDataFrame([(7, good, None, None, None)], schema)).where("text IS NOT NULL"), SF)
+    assert (7, good) not in key(near) and (1, good) in key(near)
+    assert key(stages["mixing sources to target weights"](spark, docs, SF)) == key(docs)
+    assert stages["SentencePiece encoding and decoding"](spark, docs, SF).count() == len(odd)
 
 
 def test_near_duplicates_are_found(spark):
