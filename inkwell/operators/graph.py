@@ -92,7 +92,8 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component): connected components named by their smallest node, from (a, b).
 
     Each round hooks every node to the least label among its neighbours and then jumps pointers, so
-    long chains take few rounds; every round is checkpointed.
+    long chains take few rounds; every round is checkpointed. Labels that still move after
+    ``max_rounds`` raise: no unfinished result is returned.
     """
     both = checkpointed(links.where("a <> b").select("a", "b").union(links.where("a <> b").select("b", "a")).distinct())
     label = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
@@ -105,4 +106,4 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         if not step.where("component <> old").limit(1).count():
             return step.select("node", "component")
         label = step.select("node", "component")
-    return label
+    raise RuntimeError(f"components are not settled after {max_rounds} rounds")

@@ -63,21 +63,25 @@ def prune(rows: DataFrame, key: str, age: str, days: int, protected: DataFrame)
     return rows.join(old.select(key), key, "left_anti"), old.select(key)
 
 
-def forwarded(pointers: DataFrame, rounds: int = 32) -> DataFrame:
+def forwarded(pointers: DataFrame) -> DataFrame:
     """(id, target): where chains of (id → merged_into) end, by pointer doubling.
 
-    Each round halves the chains, so 2**rounds is their longest length; a chain that turns in a
-    circle ends at its smallest id. Every round is checkpointed.
+    Each round doubles the steps that a row has gone and the least id it met on them. Chains that end
+    stop moving; what still moves after as many rounds as the number of pointers has binary digits goes
+    round in a circle, has gone round it in full, and ends at the circle's smallest id. An id has one
+    pointer. Every round is checkpointed.
     """
-    now = pointers.select("id", F.col("merged_into").alias("target"))
-    for _ in range(rounds):
-        after = now.select(F.col("id").alias("target"), F.col("target").alias("next"))
-        step = now.join(after, "target", "left").select("id", F.coalesce("next", "target").alias("target"), (F.col("next").isNotNull() & (F.col("next") != F.col("target"))).alias("moved"))
-        step = checkpointed(step)
-        if not step.where("moved").limit(1).count():
-            return step.select("id", "target")
-        now = step.select("id", "target")
-    return now
+    now = checkpointed(pointers.select("id", F.col("merged_into").alias("target"), F.col("merged_into").alias("least")))
+    for _ in range(now.count().bit_length() + 1):
+        after = now.select(F.col("id").alias("target"), F.col("target").alias("next"), F.col("least").alias("beyond"))
+        step = now.join(after, "target", "left")
+        step = checkpointed(step.select("id", F.coalesce("next", "target").alias("target"), F.least("least", "beyond").alias("least"), F.col("next").isNotNull().alias("moved")))
+        now = step.drop("moved")
+        if step.where("moved").isEmpty():
+            return now.select("id", "target")
+    # Rows that still move stand inside a circle; the least id on their way round it is the circle's.
+    inside = now.select(F.col("id").alias("target"), F.col("least").alias("ring"))
+    return now.join(inside, "target", "left").select("id", F.coalesce("ring", "target").alias("target"))
 
 
 def edition_changes(before: DataFrame, now: DataFrame, limit: int = 5) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
-from .windows import first_rows
+from .windows import first_rows, ordered_fold
 
 # Candidates of one query and picks of one list: features of the operators.
 MAX_CANDIDATES, MAX_PICKS = 500, 50
@@ -160,19 +160,13 @@ def limited(df: DataFrame, keys: list[str], at: str, windows: tuple[tuple[int, i
     Whether a row passes depends on earlier passes, so it is a fold per key; what it keeps is the times of
     the last n accepted, not the history.
     """
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(at).alias("t"), F.col("id").alias("id")))).alias("s"))
     longest = max(n for n, _ in windows)
 
-    def step(acc, x):
-        ok = F.lit(True)
-        for n, seconds in windows:
-            ok = ok & _under(acc["recent"], x["t"], n, seconds)
-        recent = F.when(ok, F.slice(F.concat(F.array(x["t"]), acc["recent"]), 1, longest)).otherwise(acc["recent"])
-        return F.struct(recent.alias("recent"), F.when(ok, F.concat(acc["out"], F.array(x["id"]))).otherwise(acc["out"]).alias("out"))
+    def step(recent, row):
+        now = row[0]
+        if all(sum(t > now - seconds for t in recent) < n for n, seconds in windows):
+            return (now, *recent)[:longest], (True,)
+        return recent, None
 
-    zero = F.expr("named_struct('recent', CAST(array() AS array<bigint>), 'out', CAST(array() AS array<bigint>))")
-    return rows.select(*keys, F.explode(F.aggregate("s", zero, step, lambda acc: acc["out"])).alias("id"))
-
-
-def _under(recent: Column, now: Column, n: int, seconds: int) -> Column:
-    return F.size(F.filter(recent, lambda t: t > now - seconds)) < n
+    rows = df.select(*keys, F.col(at).alias("_at"), "id")
+    return ordered_fold(rows, keys, ["_at", "id"], ["_at", "id"], step, (), "passed boolean").select(*keys, "id")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import half_life_alpha, saturating
+from .windows import ordered_fold
 
 # Evaluated momentum parameters, in seconds.
 MOMENTUM = {"bucket": 300, "short": 1800, "long": 10800, "signal": 1800, "window": 3600, "reports": 3, "origins": 2}
@@ -87,31 +88,55 @@ def day_index(raw: Column, status: Column) -> Column:
 
 
 def smoothed(df: DataFrame, keys: list[str], day: str, value: str, alpha: float = 0.25) -> DataFrame:
-    """(keys, day, value, smoothed): exponential mean over days; a gap has none and the last value is carried across it."""
-    series = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(day).alias("d"), F.col(value).cast("double").alias("v")))).alias("s"))
+    """(keys, day, value, smoothed): exponential mean over days; a gap has none and the last value is carried across it.
+
+    A fold over each key's rows in order; only the last mean is held.
+    """
+
+    def step(last, row):
+        v = row[1]
+        if v is None:
+            return last, (None,)
+        now = v if last is None else last + alpha * (v - last)
+        return now, (now,)
+
+    rows = df.select(*keys, day, F.col(value).cast("double").alias(value))
+    return ordered_fold(rows, keys, [day], [day, value], step, None, "smoothed double")
 
-    def step(acc, x):
-        now = F.when(x["v"].isNull(), acc["last"]).when(acc["last"].isNull(), x["v"]).otherwise(acc["last"] + alpha * (x["v"] - acc["last"]))
-        row = F.struct(x["d"].alias("d"), x["v"].alias("v"), F.when(x["v"].isNotNull(), now).alias("e"))
-        return F.struct(now.alias("last"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    kind = df.schema[day].dataType.simpleString()
-    zero = F.expr(f"named_struct('last', CAST(NULL AS DOUBLE), 'out', CAST(array() AS array<struct<d:{kind},v:double,e:double>>))")
-    rows = series.select(*keys, F.explode(F.aggregate("s", zero, step, lambda acc: acc["out"])).alias("r"))
-    return rows.select(*keys, F.col("r.d").alias(day), F.col("r.v").alias(value), F.col("r.e").alias("smoothed"))
+def displayed(df: DataFrame, keys: list[str], day: str, score: str, alpha: float = 0.25, days: int = 7, step: int = 3, cap: int = 9) -> DataFrame:
+    """(keys, day, score, shown): the score shown for each day that has one.
+
+    An exponential mean, seeded by the first, over the days within ``days`` calendar days, rounded, plus
+    ``step`` for each rise in a row up to the day, ``cap`` at most. A rise counts between neighbouring
+    calendar days only and inside the same window, so a gap ends a run of rises. Frames hold ``days`` rows at most.
+    """
+    number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
+    frame = Window.partitionBy(*keys).orderBy("_n").rangeBetween(-(days - 1), 0)
+    rows = df.where(F.col(score).isNotNull()).withColumn("_n", number)
+    rows = rows.withColumn("_w", F.sort_array(F.collect_list(F.struct(F.col("_n").alias("n"), F.col(score).cast("double").alias("v"))).over(frame)))
+    mean = F.aggregate("_w", F.lit(None).cast("double"), lambda m, x: F.when(m.isNull(), x["v"]).otherwise(alpha * x["v"] + (1 - alpha) * m))
+    before = lambda i: F.get(F.col("_w"), i - 1)
+    up = F.transform("_w", lambda x, i: (i > 0) & (x["n"] - before(i)["n"] <= 1) & (x["v"] > before(i)["v"]))
+    run = F.aggregate(up, F.lit(0), lambda n, u: F.when(F.coalesce(u, F.lit(False)), n + 1).otherwise(0))
+    shown = F.floor(mean + 0.5) + F.least(F.lit(cap), step * run)
+    return rows.select(*keys, day, score, F.least(F.lit(100), F.greatest(F.lit(0), shown)).cast("long").alias("shown"))
 
 
 def halved_counters(df: DataFrame, keys: list[str], order: str, success: str, latency: str, at: int = 200) -> DataFrame:
-    """(keys, attempts, successes, latency): counters that are halved whenever attempts reach ``at``, folded in order."""
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(success).cast("double").alias("ok"), F.col(latency).cast("double").alias("l")))).alias("s"))
+    """(keys, attempts, successes, latency): counters that are halved whenever attempts reach ``at``, folded in order.
+
+    Each row is given the counters after it, and the last row's are kept: one row of state a key.
+    """
 
-    def step(acc, x):
-        full = acc["attempts"] >= at
-        keep = F.when(full, 0.5).otherwise(1.0)
-        return F.struct((acc["attempts"] * keep + 1).alias("attempts"), (acc["successes"] * keep + x["ok"]).alias("successes"), (acc["latency"] * keep + x["ok"] * x["l"]).alias("latency"))
+    def step(now, row):
+        attempts, successes, spent = now
+        keep = 0.5 if attempts >= at else 1.0
+        now = (attempts * keep + 1, successes * keep + row[0], spent * keep + row[0] * row[1])
+        return now, now
 
-    zero = F.struct(*(F.lit(0.0).alias(c) for c in ("attempts", "successes", "latency")))
-    return rows.select(*keys, F.aggregate("s", zero, step).alias("c")).select(*keys, "c.*")
+    rows = df.select(*keys, order, F.col(success).cast("double").alias("_ok"), F.col(latency).cast("double").alias("_l"))
+    return ordered_fold(rows, keys, [order], ["_ok", "_l"], step, (0.0, 0.0, 0.0), "attempts double, successes double, latency double", last=True)
 
 
 def gap_filled(df: DataFrame, keys: list[str], day: str, first: Column, last: Column, value: str) -> DataFrame:

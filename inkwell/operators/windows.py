@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,3 +43,41 @@ def rises(df: DataFrame, keys: list[str], order: str, value: str, cap: int = 9,
 def trailing(keys: list[str], seconds: str, length: int):
     """The window of the last ``length`` seconds up to each row."""
     return Window.partitionBy(*keys).orderBy(seconds).rangeBetween(-length, 0)
+
+
+def ordered_fold(df: DataFrame, keys: list[str], order: list[str], given: list[str], step: Callable, zero, schema: str, last: bool = False) -> DataFrame:
+    """(keys, given, ``schema``): a fold over each key's rows in order, for what depends on earlier outcomes.
+
+    ``step(state, values of given)`` returns the next state and the row's new values; None for these
+    drops the row. With ``last`` only the keys and the last row's new values come out. Keys are dealt to tasks and
+    sorted there, so a task streams its rows and holds one state, however long a key's history is.
+    """
+    names = [*keys, *given]
+    kept = keys if last else names
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    types = dict(df.dtypes)
+    out = ", ".join([*(f"`{c}` {types[c]}" for c in kept), *(f"`{n}` {t}" for n, t in fields)])
+    made_schema = df.select(*kept).limit(0).selectExpr("*", *(f"CAST(NULL AS {t}) AS `{n}`" for n, t in fields)).toArrow().schema
+    n_keys = len(keys)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, held = None, None, None
+        for b in it:
+            rows = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:n_keys] != key:
+                    if last and key is not None:
+                        rows.append((*key, *held))
+                    key, state = row[:n_keys], zero
+                state, new = step(state, row[n_keys:])
+                if last:
+                    held = new
+                elif new is not None:
+                    rows.append((*row, *new))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), made_schema, strict=True)], schema=made_schema)
+        if last and key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*key, *held), made_schema, strict=True)], schema=made_schema)
+
+    dealt = df.repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys, *order)
+    return dealt.select(*names).mapInArrow(batches, out)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import containment, cosine_of_sets, dice, jaccard, shingles, words
 from ..operators.graph import components
-from ..operators.linkage import admitted, best_event, common_terms, conflict, credits, near_identical, override_links, pair_score, shingle_rows, wire_attribution
+from ..operators.linkage import admitted, best_event, common_terms, credits, near_identical, override_links, shingle_rows, wire_attribution
 from ..registry import query
 from ..sources.tables import articles, table
 
@@ -75,19 +75,6 @@ def benchmark_containment(spark, sf_dir):
     return c.where("shared >= 0.5 * n").select("item_id", "doc_id", F.round(F.col("shared") / F.col("n"), 6).alias("contained"))
 
 
-@query()
-def pair_assessment(spark, sf_dir):
-    """Score and first conflict of pairs near in time; keywords and names are capitalized-word proxies."""
-    a = table(spark, sf_dir, "documents").select("doc_id", "lang", F.expr("doc_id div 60").alias("hour"), F.array_distinct(F.slice(words(F.col("text")), 1, 30)).alias("keys"), F.array_distinct(F.slice(F.regexp_extract_all("text", F.lit(r"\b(\p{Lu}\p{L}{5,})"), F.lit(1)), 1, 10)).alias("names"))
-    x = a.select(F.col("doc_id").alias("a"), F.col("lang").alias("la"), F.col("keys").alias("ka"), F.col("names").alias("na"), F.explode("names").alias("name"))
-    y = a.select(F.col("doc_id").alias("b"), F.col("lang").alias("lb"), F.col("keys").alias("kb"), F.col("names").alias("nb"), F.explode("names").alias("name"))
-    pairs = x.join(y, "name").where("a < b AND b - a <= 2880").dropDuplicates(["a", "b"])
-    gap = (F.col("b") - F.col("a")) / 60.0
-    what, entity, score = pair_score(F.col("ka"), F.col("kb"), F.col("na"), F.col("nb"), gap)
-    rule = conflict([("language", F.col("la") != F.col("lb")), ("gap", gap > 36), ("names", F.size(F.array_intersect("na", "nb")) == 0)])
-    return pairs.select("a", "b", F.round(what, 6).alias("what"), F.round(entity, 6).alias("entity"), F.round(score, 6).alias("score"), rule.alias("conflict"))
-
-
 ADMIT = """p AS (SELECT l_partkey AS article, l_suppkey % 40 AS event, l_discount * 10 AS score, l_quantity > 20 AS matched, l_tax <= 0.06 AS compatible, l_linenumber <= 6 AS specific, l_returnflag = 'R' AND l_quantity > 48 AS bad FROM lineitem),
 g AS (SELECT article, event, round(avg(score), 9) AS mean FROM p GROUP BY 1, 2 HAVING count(*) < 100 AND NOT bool_or(bad) AND bool_and(specific) AND bool_or(matched) AND count(*) FILTER (WHERE compatible) >= ceil(2 * count(*) / 3.0) AND round(avg(score), 9) >= 0.45)"""
 
@@ -127,21 +114,6 @@ def common_term_filter(spark, sf_dir):
     return common_terms(li.join(p, F.col("l_partkey") == F.col("p_partkey")).select("event", "term"))
 
 
-@query("""WITH t AS (SELECT DISTINCT o_custkey AS event, l_suppkey AS term, min(o_orderdate) OVER (PARTITION BY o_custkey) AS d FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 1)
-SELECT a.event AS a, b.event AS b, count(*)::BIGINT AS shared FROM t a JOIN t b ON a.term = b.term AND a.event < b.event AND abs(epoch(a.d) - epoch(b.d)) <= 90 * 86400 GROUP BY 1, 2 HAVING count(*) >= 3""")
-def fragment_merge(spark, sf_dir):
-    """Events that share terms and are near in time; the join is on term and time bucket."""
-    width = 90 * 86_400
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 1").select("o_orderkey", F.col("o_custkey").alias("event"), F.unix_timestamp("o_orderdate").alias("at"))
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("term"))
-    reports = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("event", "term").agg(F.min("at").alias("at"))
-    first = reports.groupBy("event").agg(F.min("at").alias("at"))
-    t = reports.select("event", "term").join(first, "event").withColumn("bucket", F.expr(f"at div {width}"))
-    a = t.select(F.col("event").alias("a"), "term", F.col("at").alias("aa"), F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1)).alias("bucket"))
-    b = t.select(F.col("event").alias("b"), "term", F.col("at").alias("ba"), "bucket")
-    return a.join(b, ["term", "bucket"]).where(f"a < b AND abs(aa - ba) <= {width}").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 3")
-
-
 @query("SELECT o_custkey AS story, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS event FROM orders GROUP BY 1")
 def story_naming(spark, sf_dir):
     """A story is named by its earliest event."""

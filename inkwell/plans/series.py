@@ -6,8 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.casualties import classify_facts
-from ..operators.series import MOMENTUM, coverage_status, day_index, event_score, gap_filled, halved_counters, health, independent_reports, macd, smoothed
-from ..operators.windows import rises
+from ..operators.series import MOMENTUM, coverage_status, day_index, displayed, event_score, gap_filled, halved_counters, health, independent_reports, macd, smoothed
 from ..registry import query
 from ..sources.tables import table
 
@@ -134,12 +133,14 @@ def tension_days(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), "o_orderpriority", "o_orderstatus")
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    per = li.groupBy("l_orderkey").agg(F.max("l_quantity").alias("deaths"), F.sum("l_quantity").alias("affected"), F.collect_set("l_suppkey").alias("feeds"), F.collect_set("n_regionkey").alias("rs"))
+    per = li.groupBy("l_orderkey").agg(F.max("l_quantity").alias("deaths"), F.sum("l_quantity").alias("affected"), F.count_distinct("n_regionkey").alias("regions"))
     ev = o.join(per, F.col("o_orderkey") == F.col("l_orderkey"))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.left("o_orderpriority", F.lit(1)).cast("int"))
     esc = F.when(F.col("o_orderstatus") == "F", "deescalating").when(F.col("o_orderstatus") == "O", "escalating").otherwise("noSignal")
-    scored = ev.select("day", "feeds", "rs", event_score(kind, F.col("deaths"), F.col("affected"), esc, F.size("rs")).alias("score"))
-    d = scored.groupBy("day").agg(F.sum("score").alias("raw"), F.size(F.array_distinct(F.flatten(F.collect_list("feeds")))).cast("long").alias("n_feeds"), F.size(F.array_distinct(F.flatten(F.collect_list("rs")))).cast("long").alias("n_regions"))
+    scored = ev.select("day", event_score(kind, F.col("deaths"), F.col("affected"), esc, F.col("regions")).alias("score")).groupBy("day").agg(F.sum("score").alias("raw"))
+    # A day's feeds are distinct (day, feed, region) rows first: no list of a day is gathered.
+    seen = o.select("o_orderkey", "day").join(li.select("l_orderkey", "l_suppkey", "n_regionkey"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("day", "l_suppkey", "n_regionkey").agg(F.lit(1).alias("met"))
+    d = scored.join(seen.groupBy("day").agg(F.count_distinct("l_suppkey").alias("n_feeds"), F.count_distinct("n_regionkey").alias("n_regions")), "day")
     d = d.withColumn("status", coverage_status(F.col("n_feeds"), F.col("n_regions")))
     return d.withColumn("idx", day_index(F.col("raw"), F.col("status")))
 
@@ -165,17 +166,17 @@ def tension_smoothed(spark, sf_dir):
     return smoothed(d.select("series", "day", "idx"), ["series"], "day", "idx").select(F.col("day").cast("string").alias("day"), F.round("smoothed", 4).alias("smoothed"))
 
 
-@query(f"""WITH {DAYS}, s AS (SELECT day, idx, avg(idx) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS mean, coalesce((idx > lag(idx) OVER (ORDER BY day))::INT, 0) AS up FROM di WHERE idx IS NOT NULL),
-r AS (SELECT *, sum(1 - up) OVER (ORDER BY day) AS run FROM s), b AS (SELECT day, mean, least(9, 3 * sum(up) OVER (PARTITION BY run ORDER BY day)) AS bonus FROM r)
-SELECT day::VARCHAR AS day, least(100, greatest(0, round(mean) + bonus))::BIGINT AS shown, CASE WHEN round(mean) + bonus < 20 THEN 'calm' WHEN round(mean) + bonus < 40 THEN 'low' WHEN round(mean) + bonus < 60 THEN 'elevated' WHEN round(mean) + bonus < 80 THEN 'high' ELSE 'severe' END AS level FROM b""")
+@query(f"""WITH {DAYS}, s AS (SELECT day, round(idx) AS v FROM di WHERE idx IS NOT NULL),
+p AS (SELECT a.day, b.day AS d, b.v, row_number() OVER (PARTITION BY a.day ORDER BY b.day) AS k, row_number() OVER (PARTITION BY a.day ORDER BY b.day DESC) AS r, lag(b.v) OVER (PARTITION BY a.day ORDER BY b.day) AS bv, lag(b.day) OVER (PARTITION BY a.day ORDER BY b.day) AS bd FROM s a JOIN s b ON b.day <= a.day AND b.day > a.day - INTERVAL 7 DAY),
+m AS (SELECT day, sum(v * CASE WHEN k = 1 THEN pow(0.75, r - 1) ELSE 0.25 * pow(0.75, r - 1) END) AS mean, min(r) FILTER (WHERE bv IS NULL OR NOT (date_diff('day', bd, d) <= 1 AND v > bv)) - 1 AS run FROM p GROUP BY 1),
+b AS (SELECT day, least(100, greatest(0, floor(mean + 0.5) + least(9, 3 * run))) AS x FROM m)
+SELECT day::VARCHAR AS day, x::BIGINT AS shown, CASE WHEN x < 20 THEN 'calm' WHEN x < 40 THEN 'low' WHEN x < 60 THEN 'elevated' WHEN x < 80 THEN 'high' ELSE 'severe' END AS level FROM b""")
 def tension_display(spark, sf_dir):
-    """Seven-day mean, plus three a rise up to nine, in bands of twenty."""
-    d = tension_days(spark, sf_dir).where("idx IS NOT NULL").withColumn("series", F.lit("world"))
-    d = rises(d, ["series"], "day", "idx")
-    mean = F.round(F.avg("idx").over(Window.partitionBy("series").orderBy("day").rowsBetween(-6, 0)))
-    shown = d.select("day", (mean + F.col("bonus")).alias("x"))
-    level = F.when(F.col("x") < 20, "calm").when(F.col("x") < 40, "low").when(F.col("x") < 60, "elevated").when(F.col("x") < 80, "high").otherwise("severe")
-    return shown.select(F.col("day").cast("string").alias("day"), F.least(F.lit(100), F.greatest(F.lit(0), F.col("x"))).cast("long").alias("shown"), level.alias("level"))
+    """The mean of seven calendar days that carries on from the first, plus three a rise up to nine, in bands of twenty."""
+    d = tension_days(spark, sf_dir).select("day", F.lit("world").alias("series"), F.round("idx").alias("score"))
+    shown, x = displayed(d, ["series"], "day", "score"), F.col("shown")
+    level = F.when(x < 20, "calm").when(x < 40, "low").when(x < 60, "elevated").when(x < 80, "high").otherwise("severe")
+    return shown.select(F.col("day").cast("string").alias("day"), "shown", level.alias("level"))
 
 
 @query(f"WITH {DAYS} SELECT day::VARCHAR AS day, round(idx - avg(idx) OVER (ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), 4) AS change FROM di WHERE idx IS NOT NULL")

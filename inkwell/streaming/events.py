@@ -6,7 +6,6 @@ checkpoint lets the next run go on from there.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,15 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.storage import shared_root
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 #: Files of a micro-batch.
 FILES = 64
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkwell-")
-    return f"{root.rstrip('/')}/inkwell-{label}-{uuid.uuid4().hex}"
+    """A new folder under the folder that driver and executors share."""
+    return f"{shared_root(spark)}/inkwell-{label}-{uuid.uuid4().hex}"
 
 
 def read_events(spark: SparkSession, glob: str, files: int = FILES) -> DataFrame:
