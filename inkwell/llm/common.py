@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +46,10 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def in_parts(it: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches of a task cut to ``rows`` rows, so that what Python makes of one at a time stays small."""
+    for b in it:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

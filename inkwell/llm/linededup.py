@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, text_or_empty
+from .common import documents, in_parts, materialize, text_or_empty
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS = 40
@@ -168,7 +168,7 @@ def apply_bitmaps(df: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_c
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in in_parts(it):
             rows = [kept_text(t.as_py(), k) for t, k in zip(b.column(1), b.column(2).to_pylist(), strict=True)]
             made = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), *made, *b.columns[3:]], ["id", "kept", "n_lines", "n_dropped", *carry])

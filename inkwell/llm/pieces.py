@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty
+from .common import documents, in_parts, text_or_empty
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -94,7 +94,7 @@ def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", tex
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
-        for b in it:
+        for b in in_parts(it):
             if table is None:
                 table = ChunkTable(model_path)
                 first, last = (i.to_bytes(4, "little") for i in (table.model.bos_id(), table.model.eos_id()))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, text_or_empty
+from .common import documents, in_parts, materialize, text_or_empty
 from .components import components
 
 SEED = 42
@@ -113,7 +113,7 @@ def sketches(df: DataFrame, width: int = 5, lanes: int = LANES, id_col: str = "d
     names = ["id", "c", "n", "keys", *(f"s{k}" for k in range(lanes))]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in in_parts(it):
             sums, sizes, keys, rows = [], [], [], [[] for _ in range(lanes)]
             for t in b.column(1):
                 runs = np.unique(shingle_hashes(words_of(t.as_py()), width))
@@ -351,7 +351,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     """The (u, v) whose hash sets have an exact Jaccard similarity of ``similarity`` or more; sets are joined by pair."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in in_parts(it):
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 p, q = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
