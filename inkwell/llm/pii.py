@@ -10,6 +10,7 @@ read where a digit, an ``@`` or a spelled-out "at" or "dot" stands, as every kin
 from __future__ import annotations
 
 import hashlib
+import io
 import random
 import re
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty
+from .common import documents, in_parts, text_or_empty
 
 #: The kinds of the fixed patterns, and one that only the network finds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -101,6 +102,25 @@ def codes(text: str) -> np.ndarray:
 PAD = 130
 
 
+#: Multiplications of a matrix product up to which numpy's library starts no threads. Tasks share a machine's cores,
+#: and threads that wait for each other made the fit ten times slower there.
+ALONE = 1 << 18
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b in blocks of rows that start no threads."""
+    step = max(1, ALONE // max(1, b.size))
+    if len(a) <= step:
+        return a @ b
+    return np.concatenate([a[i : i + step] @ b for i in range(0, len(a), step)])
+
+
+def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b, summed over blocks of rows that start no threads."""
+    step = max(1, ALONE // max(1, a.shape[1] * b.shape[1]))
+    return sum(a[i : i + step].T @ b[i : i + step] for i in range(0, len(a), step))
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
@@ -109,10 +129,10 @@ def _lstm(x, w, u, b):
     """x: (T, B, E) → hidden states (T, B, H) and what the backward pass needs."""
     steps, rows, hidden = len(x), x.shape[1], u.shape[0]
     h, c = np.zeros((rows, hidden), np.float32), np.zeros((rows, hidden), np.float32)
-    given = (x.reshape(steps * rows, -1) @ w + b).reshape(steps, rows, 4 * hidden)
+    given = (_times(x.reshape(steps * rows, -1), w) + b).reshape(steps, rows, 4 * hidden)
     hs, gates, cells = np.empty((steps, rows, hidden), np.float32), np.empty((steps, rows, 4 * hidden), np.float32), np.empty((steps, rows, hidden), np.float32)
     for t in range(steps):
-        z = given[t] + h @ u
+        z = given[t] + _times(h, u)
         g = gates[t]
         g[:, : 3 * hidden] = _sigmoid(z[:, : 3 * hidden])
         g[:, 3 * hidden :] = np.tanh(z[:, 3 * hidden :])
@@ -138,10 +158,10 @@ def _lstm_back(d_hs, x, hs, gates, cells, w, u):
         z[:, 2 * hidden : 3 * hidden] = dh * tc * o * (1 - o)
         z[:, 3 * hidden :] = dc * i * (1 - g * g)
         dc = dc * f
-        dh = z @ u.T
+        dh = _times(z, u.T)
     flat = dz.reshape(steps * rows, -1)
     shifted = np.concatenate([np.zeros((1, rows, hidden), np.float32), hs[:-1]]).reshape(steps * rows, -1)
-    return (flat @ w.T).reshape(x.shape), x.reshape(steps * rows, -1).T @ flat, shifted.T @ flat, flat.sum(0)
+    return _times(flat, w.T).reshape(x.shape), _inner(x.reshape(steps * rows, -1), flat), _inner(shifted, flat), flat.sum(0)
 
 
 def emissions(p: dict, chars: np.ndarray, keep: bool = False):
@@ -150,7 +170,7 @@ def emissions(p: dict, chars: np.ndarray, keep: bool = False):
     fwd = _lstm(x, p["wf"], p["uf"], p["bf"])
     bwd = _lstm(x[::-1], p["wb"], p["ub"], p["bb"])
     both = np.concatenate([fwd[0], bwd[0][::-1]], axis=2)
-    scores = both @ p["out"] + p["out_b"]
+    scores = (_times(both.reshape(-1, 2 * HIDDEN), p["out"]) + p["out_b"]).reshape(*both.shape[:2], TAGS)
     return (scores, x, fwd, bwd, both) if keep else scores
 
 
@@ -203,12 +223,12 @@ def fit(chars: np.ndarray, tags: np.ndarray, epochs: int = 6, batch: int = 24, s
             _, d, pair = crf_gradient(scores, tags[rows], p["trans"])
             d = d.astype(f32)
             flat = d.reshape(-1, TAGS)
-            d_both = d @ p["out"].T
+            d_both = _times(flat, p["out"].T).reshape(*d.shape[:2], 2 * HIDDEN)
             dxf, gwf, guf, gbf = _lstm_back(np.ascontiguousarray(d_both[:, :, :HIDDEN]), x, *fwd, p["wf"], p["uf"])
             dxb, gwb, gub, gbb = _lstm_back(np.ascontiguousarray(d_both[::-1, :, HIDDEN:]), x[::-1], *bwd, p["wb"], p["ub"])
             d_embed = np.zeros_like(p["embed"])
             np.add.at(d_embed, chars[rows].T.ravel(), (dxf + dxb[::-1]).reshape(-1, EMBED))
-            g = {"embed": d_embed, "wf": gwf, "uf": guf, "bf": gbf, "wb": gwb, "ub": gub, "bb": gbb, "out": both.reshape(-1, 2 * HIDDEN).T @ flat, "out_b": flat.sum(0), "trans": pair.astype(f32)}
+            g = {"embed": d_embed, "wf": gwf, "uf": guf, "bf": gbf, "wb": gwb, "ub": gub, "bb": gbb, "out": _inner(both.reshape(-1, 2 * HIDDEN), flat), "out_b": flat.sum(0), "trans": pair.astype(f32)}
             size = sum(float((q * q).sum()) for q in g.values()) ** 0.5
             step += 1
             for k, q in p.items():
@@ -413,7 +433,7 @@ def find_spans(df: DataFrame, network: dict, id_col: str = "doc_id", text_col: s
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in in_parts(it):
             texts = [t.as_py() for t in b.column(1)]
             rows = [base_spans(t) for t in texts]
             shows, counts, totals = [], [], []
@@ -432,6 +452,18 @@ def find_spans(df: DataFrame, network: dict, id_col: str = "doc_id", text_col: s
     return df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t")).mapInArrow(batches, schema)
 
 
+def pieces_of(text: str, most: int = FIT_PIECES) -> list[str]:
+    """The surroundings of a text's first triggers, apart from each other."""
+    out, at = [], 0
+    for m in _TRIGGER.finditer(text):
+        if m.start() >= at:
+            at = m.end() + 96
+            out.append(text[max(0, m.start() - 64) : at])
+            if len(out) == most:
+                break
+    return out
+
+
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> dict:
     """Fit on pieces around the triggers of at most ``rows`` texts, the first by a hash of their id.
 
@@ -440,9 +472,23 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: i
     """
     drawn = df.select(F.col(id_col).alias("_drawn")).where("_drawn IS NOT NULL").orderBy(F.xxhash64("_drawn"), "_drawn").limit(rows).distinct()
     texts = df.join(F.broadcast(drawn), F.col(id_col) == F.col("_drawn")).select(F.col("_drawn").alias("i"), text_or_empty(text_col).alias("t"))  # ``rows`` ids
-    pieces = texts.select("i", F.slice(F.regexp_extract_all("t", F.lit(r"(?s).{0,64}(?:" + TRIGGER + r").{0,96}"), F.lit(0)), 1, FIT_PIECES).alias("p"))
-    got = pieces.where(F.size("p") > 0).orderBy(F.xxhash64("i"), "i", "p").limit(rows).collect()
-    return fit(*training_windows([x for r in got for x in r.p]))
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_parts(it):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pieces_of(t.as_py()) for t in b.column(1)], pa.list_(pa.string()))], ["i", "p"])
+
+    kind = dict(texts.dtypes)["i"]
+    sample = texts.mapInArrow(cut, f"i {kind}, p array<string>").where(F.size("p") > 0).orderBy(F.xxhash64("i"), "i", "p").limit(rows).select("p").coalesce(1)
+
+    def learned(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [x for b in it for row in b.column(0).to_pylist() for x in row]
+        out = io.BytesIO()
+        np.savez(out, **fit(*training_windows(found)))
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["network"])
+
+    # The sample is bounded, so one task fits it; what comes back are the weights.
+    made = np.load(io.BytesIO(bytes(sample.mapInArrow(learned, "network binary").first().network)))
+    return {k: made[k] for k in made.files}
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
