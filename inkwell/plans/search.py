@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..operators.search import bm25, fuse, inverted_index, nearest, ranked, snippet
+from ..operators.index import Term, index_of, ranked_matches
+from ..operators.search import fuse, inverted_index, nearest, ranked, snippet
 from ..operators.spelling import corrections
 from ..registry import query
 from ..sources.tables import table
@@ -23,8 +24,13 @@ arms AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM lex
 top AS (SELECT * FROM arms WHERE rank <= 500), fused AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM top GROUP BY 1)"""
 
 
+def documents_index(spark, sf_dir):
+    """The stored index of the documents; the first query of an application builds it."""
+    return index_of(table(spark, sf_dir, "documents"), "doc_id", ["text"])
+
+
 def _lexical(spark, sf_dir):
-    return bm25(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS)
+    return ranked_matches(documents_index(spark, sf_dir), [Term(t) for t in TERMS])
 
 
 def _semantic(spark, sf_dir):
@@ -74,6 +80,41 @@ def index_terms(spark, sf_dir):
     return i.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 10")
 
 
+BM25 = """ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))"""
+
+
+@query(f"""WITH t AS (SELECT doc_id AS id, {WORDS} AS w FROM documents), c AS (SELECT id, len(w) AS length, len(list_filter(w, lambda x: starts_with(x, 'licen'))) AS tf FROM t), k AS (SELECT count(*) AS n, avg(length) AS mean, count(*) FILTER (WHERE tf > 0) AS df FROM c)
+SELECT id, round({BM25}, 6) AS score FROM c, k WHERE tf > 0""")
+def prefix_search(spark, sf_dir):
+    """Words that begin with a prefix."""
+    return ranked_matches(documents_index(spark, sf_dir), [Term("licen", prefix=True)]).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH t AS (SELECT doc_id AS id, {WORDS} AS w FROM documents), c AS (SELECT id, len(w) AS length, len(list_filter(range(1, len(w) - 1), lambda i: w[i] = 'under' AND w[i + 1] = 'the' AND w[i + 2] = 'mit')) AS tf FROM t), k AS (SELECT count(*) AS n, avg(length) AS mean, count(*) FILTER (WHERE tf > 0) AS df FROM c)
+SELECT id, round({BM25}, 6) AS score FROM c, k WHERE tf > 0""")
+def phrase_search(spark, sf_dir):
+    """Words that follow each other."""
+    return ranked_matches(documents_index(spark, sf_dir), [Term("under the MIT")]).select("id", F.round("score", 6).alias("score"))
+
+
+@query(r"""WITH t AS (SELECT page_id AS id, list_filter(string_split_regex(lower(url), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS u, list_filter(string_split_regex(lower(html), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS h FROM pages),
+c AS (SELECT id, len(u) + len(h) AS length, len(list_filter(u, lambda x: x = 'utm')) AS tf, len(list_filter(h, lambda x: starts_with(x, 'nav'))) + len(list_filter(u, lambda x: starts_with(x, 'nav'))) AS tg FROM t), k AS (SELECT count(*) AS n, avg(length) AS mean, count(*) FILTER (WHERE tf > 0) AS df, count(*) FILTER (WHERE tg > 0) AS dg FROM c)
+SELECT id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) + ln(1 + (n - dg + 0.5) / (dg + 0.5)) * tg * 2.2 / (tg + 1.2 * (0.25 + 0.75 * length / mean)), 6) AS score FROM c, k WHERE tf > 0 AND tg > 0""".replace("\\\\", "\\"))
+def field_search(spark, sf_dir):
+    """A word of one field and a prefix in any of two."""
+    i = index_of(table(spark, sf_dir, "pages"), "page_id", ["url", "html"])
+    return ranked_matches(i, [Term("utm", field="url"), Term("nav", prefix=True)]).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH t AS (SELECT conv_id * 1000 + turn AS id, {WORDS} AS w FROM conversations), c AS (SELECT id, len(w) AS length, len(list_filter(w, lambda x: starts_with(x, 'th'))) AS tf, len(list_filter(w, lambda x: starts_with(x, 'an'))) AS tg FROM t), k AS (SELECT count(*) AS n, avg(length) AS mean, count(*) FILTER (WHERE tf > 0) AS df, count(*) FILTER (WHERE tg > 0) AS dg FROM c)
+SELECT id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) + ln(1 + (n - dg + 0.5) / (dg + 0.5)) * tg * 2.2 / (tg + 1.2 * (0.25 + 0.75 * length / mean)), 6) AS score FROM c, k WHERE tf > 0 AND tg > 0 ORDER BY score DESC, id LIMIT 200""")
+def note_search(spark, sf_dir):
+    """Notes (turns) that hold words beginning with each of the given ones, best first."""
+    notes = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    i = index_of(notes, "id", ["text"])
+    return ranked_matches(i, [Term("th", prefix=True), Term("an", prefix=True)]).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(200)
+
+
 @query()
 def snippets(spark, sf_dir):
     """Fifteen words around the first match."""
@@ -106,7 +147,7 @@ def blocking_candidates(spark, sf_dir):
 @query(f"""WITH t AS (SELECT conv_id, turn, text, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM conversations)
 SELECT a.conv_id, a.turn, max(b.turn) AS earlier FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn < a.turn AND len(list_intersect(a.w, b.w)) >= 3 GROUP BY 1, 2""".replace("\\\\", "\\"))
 def earlier_passages(spark, sf_dir):
-    """For each turn, the latest earlier passage of its conversation with three shared terms."""
+    """For each turn, the latest earlier passage of its conversation with three shared terms."""
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(words(F.col("text"))).alias("w"))
     a, b = t.alias("a"), t.alias("b")
     near = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("b.turn") < F.col("a.turn")) & (F.size(F.array_intersect("a.w", "b.w")) >= 3))
