@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import words
+
 
 def ndcg(df: DataFrame, key: str, score: str, grade: str, id_col: str, k: int = 10) -> DataFrame:
     """(key, ndcg) with gains 2^grade - 1; null where no row has a grade."""
@@ -62,3 +67,38 @@ def random_unit(seed: str, *parts: Column) -> Column:
     """A reproducible number in [0, 1) from a hash of the parts."""
     raw = F.sha2(F.concat_ws("|", F.lit(seed), *(p.cast("string") for p in parts)), 256)
     return F.conv(F.left(raw, F.lit(13)), 16, 10).cast("double") / float(16**13)
+
+
+def shared_run(a: list[str], b: list[str]) -> int:
+    """The length of the longest run of words that stands in both lists."""
+    best, row = 0, {}
+    at: dict[str, list[int]] = {}
+    for j, w in enumerate(b):
+        at.setdefault(w, []).append(j)
+    for w in a:
+        now = {}
+        for j in at.get(w, ()):
+            now[j] = row.get(j - 1, 0) + 1
+            best = max(best, now[j])
+        row = now
+    return best
+
+
+def longest_run(df: DataFrame, id_cols: list[str], text: str, source: str) -> DataFrame:
+    """(ids, run, verbatim): the longest run of words of a text that its source holds too, and that run's share of the text."""
+    n = len(id_cols)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = [(shared_run(x, y), len(x)) for x, y in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([r for r, _ in rows], pa.int32()), pa.array([r / k if k else 0.0 for r, k in rows], pa.float64())], [*id_cols, "run", "verbatim"])
+
+    rows = df.select(*id_cols, words(F.coalesce(F.col(text), F.lit(""))).alias("_t"), words(F.coalesce(F.col(source), F.lit(""))).alias("_s"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*id_cols).dtypes)
+    return rows.mapInArrow(batches, schema + ", run int, verbatim double")
+
+
+def top_overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """(shared): how much of the top ``k`` of two lists (id, score) is the same, over k; one row."""
+    top = lambda x: x.orderBy(F.desc("score"), "id").limit(k).select("id")
+    return top(a).join(top(b), "id").agg((F.count("*") / float(k)).alias("shared"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine_of_sets, shingles, words
+from ..functions.text import cosine_of_sets, words
+from .storage import written
 
 #: Words of a shingle, shingles two copies share at least, and their least containment.
 WIDTH, SHARED, CONTAINED = 8, 10, 0.8
@@ -13,28 +14,39 @@ WIDTH, SHARED, CONTAINED = 8, 10, 0.8
 
 def shingle_rows(df: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
     """(id, h, n): distinct shingles as 64-bit hashes with the document's number of them."""
-    # The words are a column of their own: inside the shingles' lambda the split would run for every shingle.
-    rows = df.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).select("id", shingles(F.col("w"), width).alias("s"))
+    # The words are a column of their own: inside the shingles' lambda the split would run for every shingle. A run is hashed as
+    # an array of words; no string is made of it.
+    rows = df.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - (width - 1)), lambda i: F.xxhash64(F.slice("w", i, width)))
+    rows = rows.select("id", F.when(F.size("w") >= width, F.array_distinct(runs)).alias("s"))
     # The outer form: a plain explode adds a size filter below the words column, which puts the split back into the lambda.
-    exploded = rows.select("id", F.size("s").alias("n"), F.explode_outer("s").alias("g")).where("g IS NOT NULL")
-    return exploded.select("id", "n", F.xxhash64("g").alias("h"))
+    return rows.select("id", F.size("s").alias("n"), F.explode_outer("s").alias("h")).where("h IS NOT NULL")
 
 
 def near_identical(df: DataFrame, id_col: str, text_col: str, least: int = SHARED, contained: float = CONTAINED) -> DataFrame:
     """(a, b, shared): pairs of different texts that share enough shingles; equal texts are represented by their smallest id.
 
-    Copies are collapsed first, so a group of copies makes no pairs among itself. Of the rest only
-    shingles met in two or more texts take part in the join.
+    Copies are collapsed first, so a group of copies makes no pairs among itself. The smaller text of a
+    pair has to share ``contained`` of its n shingles, so one of its n - ceil(contained n) + 1 rarest is shared: only
+    these seek partners, among the shingles of texts of its size or more. The most frequent shingles, of
+    boilerplate, hardly ever are among them. Candidate pairs are then counted exactly, each once.
     """
     texts = df.groupBy(F.sha2(F.col(text_col), 256).alias("d")).agg(F.min(id_col).alias("_lowest"))
     one = df.join(texts.select("_lowest"), F.col(id_col) == F.col("_lowest"), "left_semi")
-    rows = shingle_rows(one, id_col, text_col)
-    met = rows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    rows = rows.join(met, "h", "left_semi")
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")))
-    counted = pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("shared"), F.first("a.n").alias("na"), F.first("b.n").alias("nb"))
-    return counted.where((F.col("shared") >= least) & (F.col("shared") >= contained * F.least("na", "nb"))).select("a", "b", "shared")
+    rows = written(shingle_rows(one, id_col, text_col), "shingles")
+    met = rows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    rows = written(rows.join(met, "h"), "met-shingles")
+    # Shingles that no other text has are the rarest: they come first and find nothing.
+    kept = rows.withColumn("_met", F.count("*").over(Window.partitionBy("id"))).withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("k", "h")))
+    seek = kept.where(F.col("_r") <= F.col("n") - F.ceil(contained * F.col("n")) + 1 - (F.col("n") - F.col("_met"))).select(F.col("id").alias("x"), F.col("n").alias("nx"), "h")
+    pairs = seek.join(rows.select(F.col("id").alias("y"), F.col("n").alias("ny"), "h"), "h").where("ny > nx OR (ny = nx AND y > x)")
+    pairs = written(pairs.where((F.col("nx") >= least)).select("x", "y").distinct(), "shingle-pairs")
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    sets = written(rows.join(ends, "id").groupBy("id").agg(F.collect_list("h").alias("s"), F.first("n").alias("n")), "shingle-sets")
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
+    counted = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("shared", F.size(F.array_intersect("sx", "sy")).cast("long"))
+    good = counted.where((F.col("shared") >= least) & (F.col("shared") >= contained * F.least("nx", "ny")))
+    return good.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
 
 
 def time_score(gap_hours: Column) -> Column:

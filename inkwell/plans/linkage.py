@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from ..functions.text import containment, cosine_of_sets, dice, jaccard, shingles, words
 from ..operators.graph import components
 from ..operators.linkage import admitted, best_event, common_terms, credits, near_identical, override_links, shingle_rows, wire_attribution
+from ..operators.storage import written
 from ..registry import query
 from ..sources.tables import articles, table
 
+#: Rows of (item, number, hash) that a broadcast holds at most, some 32 MB.
+BROADCAST_ROWS = 1_000_000
 W = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 S8 = f"""d AS (SELECT min(doc_id) AS id, any_value(text) AS text FROM documents GROUP BY sha256(text)), t AS (SELECT id, {W} AS w FROM d),
 g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(list_slice(w, i, i + 7), ' '))) AS h FROM t WHERE len(w) >= 8), n AS (SELECT id, count(*) AS n FROM g GROUP BY 1)"""
@@ -49,14 +52,14 @@ def publisher_title_window_dedup(spark, sf_dir):
     return a.withColumn("before", before).where("before IS NULL OR published - before > 43200").select(F.col("id").alias("doc_id"))
 
 
-PAIRS = r"""a AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(regexp_extract(text, '^[^.!?\n]*')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id < 300), p AS (SELECT a.id AS a, b.id AS b, list_distinct(a.w) AS x, list_distinct(b.w) AS y FROM a JOIN a b ON b.id = a.id + 8 WHERE len(a.w) > 0 AND len(b.w) > 0),
+PAIRS = r"""a AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(regexp_extract(text, '^[^.!?\n]*')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents), p AS (SELECT a.id AS a, b.id AS b, list_distinct(a.w) AS x, list_distinct(b.w) AS y FROM a JOIN a b ON b.id = a.id + 8 WHERE len(a.w) > 0 AND len(b.w) > 0),
 q AS (SELECT *, len(list_intersect(x, y)) AS i FROM p)"""
 
 
 @query(f"WITH {PAIRS} SELECT a, b, round(i / (len(x) + len(y) - i), 6) AS jaccard, round(i / least(len(x), len(y)), 6) AS contained, round(2 * i / (len(x) + len(y)), 6) AS dice, round(i / sqrt(len(x) * len(y)), 6) AS cosine FROM q")
 def title_jaccard(spark, sf_dir):
     """Similarities of titles eight rows apart."""
-    a = articles(spark, sf_dir).where("id < 300").select("id", F.array_distinct(words(F.col("title"))).alias("w")).where(F.size("w") > 0)
+    a = articles(spark, sf_dir).select("id", F.array_distinct(words(F.col("title"))).alias("w")).where(F.size("w") > 0)
     p = a.alias("a").join(a.alias("b"), F.col("b.id") == F.col("a.id") + 8)
     x, y = F.col("a.w"), F.col("b.w")
     made = {"jaccard": jaccard(x, y), "contained": containment(x, y), "dice": dice(x, y), "cosine": cosine_of_sets(x, y)}
@@ -71,7 +74,10 @@ def benchmark_containment(spark, sf_dir):
     """Benchmark items that documents contain at least half of."""
     q = shingle_rows(table(spark, sf_dir, "benchmark"), "item_id", "text").select(F.col("id").alias("item_id"), "n", "h")
     g = shingle_rows(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "h")
-    c = q.join(g, "h").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    # The benchmark's shingles are broadcast while they are few; beyond that the join is by shuffle.
+    q = written(q, "benchmark-shingles")
+    few = q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    c = g.join(F.broadcast(q) if few else q, "h").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
     return c.where("shared >= 0.5 * n").select("item_id", "doc_id", F.round(F.col("shared") / F.col("n"), 6).alias("contained"))
 
 
@@ -128,14 +134,15 @@ def related_acts(spark, sf_dir):
     return e.groupBy(F.col("x").alias("event")).agg(F.min("y").alias("first_related"), F.count("*").alias("n"))
 
 
-@query("""WITH m AS (SELECT event_id AS article, user_id AS event, row_number() OVER (ORDER BY event_id) AS pos FROM events WHERE event_id < 500) SELECT event, min(pos)::BIGINT AS pos, arg_min(article, pos) AS lead, count(*)::BIGINT AS n FROM m GROUP BY 1""")
+@query("""WITH m AS (SELECT event_id AS article, user_id AS event, row_number() OVER (PARTITION BY ts::DATE ORDER BY event_id) AS pos, ts::DATE AS page FROM events) SELECT page::VARCHAR AS page, event, min(pos)::BIGINT AS pos, arg_min(article, pos) AS lead, count(*)::BIGINT AS n FROM m GROUP BY 1, 2""")
 def feed_cards(spark, sf_dir):
-    """A list as cards, each at its first member's place; places are the ids' order in the page."""
+    """Lists as cards, each at its first member's place; a day's list is in the order of its ids."""
     from pyspark.sql import Window
 
-    page = table(spark, sf_dir, "events").where("event_id < 500").orderBy("event_id").limit(500).select(F.col("event_id").alias("article"), F.col("user_id").alias("event"))
-    m = page.withColumn("pos", F.row_number().over(Window.orderBy("article")))  # one page
-    return m.groupBy("event").agg(F.min("pos").cast("long").alias("pos"), F.min_by("article", "pos").alias("lead"), F.count("*").alias("n"))
+    e = table(spark, sf_dir, "events").select(F.to_date("ts").alias("page"), F.col("event_id").alias("article"), F.col("user_id").alias("event"))
+    m = e.withColumn("pos", F.row_number().over(Window.partitionBy("page").orderBy("article")))
+    g = m.groupBy("page", "event").agg(F.min("pos").cast("long").alias("pos"), F.min_by("article", "pos").alias("lead"), F.count("*").alias("n"))
+    return g.select(F.col("page").cast("string").alias("page"), "event", "pos", "lead", "n")
 
 
 @query("""SELECT o_custkey AS story, count(*)::BIGINT AS members, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS seen, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS opening FROM orders GROUP BY 1""")

@@ -137,8 +137,8 @@ def priority_overflow(spark, sf_dir):
 def embedding_profile_decay(spark, sf_dir):
     """Decayed unit profiles of readers."""
     e = table(spark, sf_dir, "events").where("event_type IN ('click', 'purchase', 'error')")
-    n = F.lit(500)
-    v = table(spark, sf_dir, "embeddings").where("vec_id < 500").select(F.col("vec_id"), F.col("embedding").alias("vector"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("vector"))
+    n = F.lit((v.agg(F.max("vec_id")).first()[0] or 0) + 1)  # every vector stands for as many events
     a = e.select("user_id", (F.col("event_id") % n).alias("id"), F.when(F.col("event_type") == "click", "click").when(F.col("event_type") == "purchase", "save").otherwise("skip").alias("action"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
     return profiles(a.join(v, F.col("id") == F.col("vec_id")).drop("vec_id"))
 
@@ -174,7 +174,7 @@ def topic_classification(spark, sf_dir):
 
 @query()
 def extractive_summary(spark, sf_dir):
-    """Two sentences of each document by position, overlap with the title and length."""
+    """Two sentences of each document by position, overlap with the title and length."""
     from ..functions.text import sentences, words
 
     d = table(spark, sf_dir, "documents").select("doc_id", words(F.regexp_extract("text", r"^[^.!?\n]*", 0)).alias("title"), F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
@@ -185,7 +185,7 @@ def extractive_summary(spark, sf_dir):
 
 @query()
 def passage_alignment(spark, sf_dir):
-    """Each turn's best counterpart in the same conversation, with consensus from 0.82 and divergence below 0.40."""
+    """Each turn's best counterpart in the same conversation, with consensus from 0.82 and divergence below 0.40."""
     from ..functions.text import cosine_of_sets, words
 
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.array_distinct(words(F.col("text"))).alias("w")).where("turn < 40")  # a comparison takes forty passages
