@@ -302,65 +302,64 @@ def hamming_limit(similarity: float, bits: int) -> int:
     return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
 
 
-def group_pairs(keyed: DataFrame, lanes: list[str], limit: int, block: int = 256, hot: int = HOT) -> DataFrame:
-    """(key, id, label, lanes...) → (u, v): all pairs of each key's group within ``limit`` bits whose labels differ.
+def group_pairs(keyed: DataFrame, lanes: list[str], limit: int, similarity: float, block: int = 256, hot: int = HOT) -> DataFrame:
+    """(key, id, label, n, lanes...) → (u, v): all pairs of each key's group within ``limit`` bits whose labels differ.
+
+    Sets whose sizes ``n`` are too far apart for the similarity make no pair.
 
     Rows of the group's largest label are compared with the others only, so a group that is one
     class but for a few rows costs little.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, (ids, labels, *cols) in _runs(it):
+        for key, (ids, labels, sizes_of, *cols) in _runs(it):
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(key)]]))
             sketch = np.stack([c.view(np.uint64) for c in cols], axis=1)
             for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-                label, sk, names = labels[s : s + n], sketch[s : s + n], ids[s : s + n]
+                label, sk, names, size = labels[s : s + n], sketch[s : s + n], ids[s : s + n], sizes_of[s : s + n]
                 values, counts = np.unique(label, return_counts=True)
                 few = np.flatnonzero(label != values[counts.argmax()])
                 for i in range(0, len(few), block):
                     part = few[i : i + block]
                     apart = sum(np.bitwise_count(sk[part, k][:, None] ^ sk[None, :, k]).astype(np.int32) for k in range(sk.shape[1]))
                     x, y = np.nonzero((apart <= limit) & (label[part][:, None] != label[None, :]))
+                    fits = np.minimum(size[part[x]], size[y]) >= similarity * np.maximum(size[part[x]], size[y])
+                    x, y = x[fits], y[fits]
                     if len(x):
                         u, v = names[part[x]], names[y]
                         pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
                         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
-    dealt = split_hot(keyed.select("key", "id", "label", *lanes), hot).repartition("key").sortWithinPartitions("key", "id")
+    dealt = split_hot(keyed.select("key", "id", "label", "n", *lanes), hot).repartition("key").sortWithinPartitions("key", "id")
     return dealt.mapInArrow(batches, "u long, v long").distinct()
 
 
 def hash_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(c, t) → (c, hashes): the sorted shingle hashes of each text whose set hashes to ``c``, as bytes."""
+    """(c, hashes): the shingle hashes of each text (c, t) whose set hashes to ``c``, as an array."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in it:
-            for at in range(0, whole.num_rows, 500):
-                rows = []
-                for c, t in zip(*(x.to_pylist() for x in whole.slice(at, 500).columns), strict=True):
-                    data = np.unique(shingle_hashes(words_of(t), width)).tobytes()
-                    if _signed([xxhash.xxh3_64_intdigest(data)])[0] == c:
-                        rows.append((c, data))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["c", "hashes"])
+        for part in in_parts(it, 200):
+            rows = []
+            for c, t in zip(*(x.to_pylist() for x in part.columns), strict=True):
+                found = np.unique(shingle_hashes(words_of(t), width))
+                if _signed([xxhash.xxh3_64_intdigest(found.tobytes())])[0] == c:
+                    rows.append((c, found.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["c", "hashes"])
 
-    return texts.select("c", "t").mapInArrow(batches, "c long, hashes binary").dropDuplicates(["c"])
+    return texts.select("c", "t").mapInArrow(batches, "c long, hashes array<long>").dropDuplicates(["c"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The (u, v) whose hash sets have an exact Jaccard similarity of ``similarity`` or more; sets are joined by pair."""
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_parts(it):
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                shared = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= similarity * max(len(p), len(q)) else 0
-                keep.append(shared >= similarity * (len(p) + len(q) - shared))
-            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+    """The (u, v) whose hash sets have an exact Jaccard similarity of ``similarity`` or more; sets are joined by pair.
 
+    The sets are compared in the JVM: a family of near copies has very many pairs, and none of their sets is copied to Python.
+    """
     first, second = (sets.select(F.col("c").alias(n), F.col("hashes").alias(f"h{n}")).hint("merge") for n in ("u", "v"))
-    return pairs.join(first, "u").join(second, "v").select("u", "v", "hu", "hv").mapInArrow(batches, "u long, v long")
+    met = pairs.join(first, "u").join(second, "v")
+    p, q = F.size("hu"), F.size("hv")
+    shared = F.when(F.least(p, q) >= similarity * F.greatest(p, q), F.size(F.array_intersect("hu", "hv"))).otherwise(-1)
+    return met.select("u", "v", shared.alias("shared"), (p + q).alias("both")).where((F.col("shared") >= 0) & (F.col("shared") >= similarity * (F.col("both") - F.col("shared")))).select("u", "v")
 
 
 def near_duplicate_classes(
@@ -390,8 +389,8 @@ def near_duplicate_classes(
     sure = group_links(again, parts, hamming_limit(min(1.0, similarity + slack), bits), chain=False, hot=hot).distinct()
     sure = materialize(confirmed(sure, sets, similarity), "sketch-sure")
     labels = materialize(some.select("c").join(components(sure), F.col("c") == F.col("node"), "left").select("c", F.coalesce("component", "c").alias("label")), "sketch-labels")
-    labelled = some.join(labels, "c").select(F.explode("keys").alias("key"), F.col("c").alias("id"), "label", *parts)
-    more = materialize(confirmed(group_pairs(labelled, parts, wide, hot=hot), sets, similarity), "sketch-more")
+    labelled = some.join(labels, "c").select(F.explode("keys").alias("key"), F.col("c").alias("id"), "label", "n", *parts)
+    more = materialize(confirmed(group_pairs(labelled, parts, wide, similarity, hot=hot), sets, similarity), "sketch-more")
     found = components(sure.unionByName(more)).select(F.col("node").alias("c"), F.col("component").alias("root"))
     rooted = materialize(classes.select("c", "node").join(found, "c", "left").withColumn("root", F.coalesce("root", "c")), "sketch-rooted")
     least = rooted.groupBy("root").agg(F.min("node").alias("component"))
