@@ -51,11 +51,11 @@ def reconciliation(spark, sf_dir):
     return d.join(keep, "h").where("doc_id <> survivor").select(F.col("doc_id").alias("duplicate"), "survivor")
 
 
-@query(r"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, len(w)::INT AS n, md5(array_to_string(list_slice(w, 1, 50), ' ')) AS head FROM t""")
+@query(r"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, len(w)::INT AS n, md5(array_to_string(w, ' ')) AS head FROM t""")
 def folded_titles(spark, sf_dir):
     """Words with diacritics folded."""
     w = folded_words(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(w).alias("n"), F.md5(F.array_join(F.slice(w, 1, 50), " ")).alias("head"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(w).alias("n"), F.md5(F.array_join(w, " ")).alias("head"))
 
 
 @query(r"""SELECT c_custkey, 'person:' || array_to_string(list_filter(string_split_regex(strip_accents(lower(c_name)), '[^\p{L}\p{N}]+'), lambda x: x <> ''), '-') AS slug FROM customer""")

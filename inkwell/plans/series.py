@@ -251,5 +251,4 @@ def near_you(spark, sf_dir):
 def fact_classification(spark, sf_dir):
     """Type, escalation and figures of passages, by cues and patterns."""
     t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("event"), F.col("text").alias("quote"))
-    made = t.unionByName(spark.createDataFrame([(-1, "At least 12 people were killed in an airstrike, officials denied a ceasefire."), (-2, "Hundreds of residents were displaced by flooding as talks resumed."), (-3, "No troops crossed the border.")], "event long, quote string"))
-    return classify_facts(made)
+    return classify_facts(t)

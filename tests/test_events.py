@@ -213,3 +213,11 @@ def test_regrouping_of_an_event(spark):
     s = ev.State(spark.createDataFrame([(1, 1, None, None)], "event long, version long, merged_into long, seen_version long"), members.select("article", "event", F.lit(1).cast("long").alias("joined_version")), state(spark).verdicts)
     held, e = seen(ev.apply_regrouping(s, parts, lambda event, part: event * 100 + part))
     assert held == {1: {1, 2}, 101: {3, 4}} and e[1] == (2, None)
+
+
+def test_facts_by_cues_and_figures(spark):
+    from inkwell.operators.casualties import classify_facts
+
+    facts = [(1, "At least 12 people were killed in an airstrike, officials denied a ceasefire."), (2, "Hundreds of residents were displaced by flooding as talks resumed."), (3, "No troops crossed the border."), (4, None)]
+    got = {r.event: (r.type, r.deaths, r.affected) for r in classify_facts(spark.createDataFrame(facts, "event long, quote string")).collect()}
+    assert got == {1: ("armedConflict", 12, 0), 2: ("disaster", 0, 200), 3: (None, 0, 0), 4: (None, 0, 0)}

@@ -1,4 +1,4 @@
-"""Every query with SQL agrees with DuckDB over the smallest tables; the others give rows."""
+"""Every query with SQL agrees with DuckDB over the smallest tables; the others run and are held to plain versions elsewhere."""
 
 import pytest
 
@@ -22,10 +22,15 @@ def test_agrees_with_sql(spark, con, name):
     assert difference(QUERIES[name](spark, SF), con, ORACLE_SQL[name]) == ""
 
 
+#: The smallest tables hold no attributed quote and no stated day; their operators are tested on planted texts.
+EMPTY = {"attributed_quotes", "event_timelines"}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_gives_rows(spark, name):
+    """Values are held in the other modules; here a query runs over its tables and gives rows."""
     df = QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+    assert df.columns and (df.count() > 0) == (name not in EMPTY)
 
 
 def test_entry_has_a_stable_schema(spark):
