@@ -24,3 +24,9 @@ def unit(a: Column) -> Column:
 
 def cosine_of_units(a: Column, b: Column) -> Column:
     return dot(a, b)
+
+
+def great_circle(lat: Column, lon: Column, other_lat: Column, other_lon: Column) -> Column:
+    """Kilometres between two places on a sphere of the Earth's mean radius."""
+    half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), 2)
+    return 2 * 6371.0 * F.asin(F.sqrt(half(lat, other_lat) + F.cos(F.radians(lat)) * F.cos(F.radians(other_lat)) * half(lon, other_lon)))

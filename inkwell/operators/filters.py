@@ -26,7 +26,7 @@ class SearchSpec:
 
 
 def parse_search(raw: str) -> SearchSpec:
-    """``source:x category:y is:read is:unread is:saved "a phrase" term``; ``source:ft`` is short for the Financial Times."""
+    """``source:x category:y is:read is:unread is:saved "a phrase" term``; ``source:ft``, or ``ft`` alone, is short for the Financial Times."""
     spec = SearchSpec()
     for quoted, token in re.findall(r'("[^"]*"?)|([^\s"]+)', raw):
         low = token.lower()
@@ -34,8 +34,9 @@ def parse_search(raw: str) -> SearchSpec:
             if term := quoted.replace('"', "").strip().lower():
                 spec.phrases.add(len(spec.terms))
                 spec.terms.append(term)
-        elif low.startswith("source:"):
-            spec.source = "financial times" if low[7:] == "ft" else low[7:]
+        elif low == "ft" or low.startswith("source:"):
+            name = low.removeprefix("source:")
+            spec.source = "financial times" if name == "ft" else name
         elif low.startswith("category:"):
             spec.category = low[9:]
         elif low in ("is:read", "is:unread"):

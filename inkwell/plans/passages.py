@@ -174,3 +174,73 @@ def sql_cosine(spark, sf_dir):
     register(spark)
     table(spark, sf_dir, "embeddings").createOrReplaceTempView("inkwell_embeddings")
     return spark.sql("SELECT a.vec_id, round(ink_cosine(CAST(a.embedding AS ARRAY<DOUBLE>), CAST(q.embedding AS ARRAY<DOUBLE>)), 6) AS cosine FROM inkwell_embeddings a CROSS JOIN (SELECT embedding FROM inkwell_embeddings WHERE vec_id = 7) q")  # one row
+
+
+@query("""SELECT doc_id, contains(text, '100%') OR contains(text, 'a_b') AS held FROM documents""")
+def like_literals(spark, sf_dir):
+    """T4: substrings with LIKE's own wildcards, taken as they are."""
+    from ..functions.text import like_escaped
+
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", (t.like("%" + like_escaped("100%") + "%") | t.like("%" + like_escaped("a_b") + "%")).alias("held"))
+
+
+@query("""WITH s AS (SELECT doc_id AS id, (n_chars % 97) / 96.0 AS a, (n_chars % 53) / 52.0 AS b FROM documents), x AS (SELECT id FROM s ORDER BY a DESC, id LIMIT 100), y AS (SELECT id FROM s ORDER BY b DESC, id LIMIT 100) SELECT count(*) / 100.0 AS shared FROM x JOIN y USING (id)""")
+def top_list_overlap(spark, sf_dir):
+    """Q5: how much of two lists' first hundred is the same."""
+    from ..operators.evaluation import top_overlap
+
+    d = table(spark, sf_dir, "documents")
+    side = lambda n: d.select(F.col("doc_id").alias("id"), ((F.col("n_chars") % n) / float(n - 1)).alias("score"))
+    return top_overlap(side(97), side(53), 100)
+
+
+@query(r"""WITH a AS (SELECT doc_id, source, doc_id // 100 AS grp, list_distinct(list_filter(string_split_regex(lower(regexp_extract(text, '^[^.!?\n]*')), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM documents),
+p AS (SELECT a.grp, a.source, len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0)::DOUBLE AS j FROM a JOIN a b ON a.grp = b.grp AND a.source = b.source AND a.doc_id < b.doc_id) SELECT grp, source, round(least(0.95, 0.5 + 1.25 * coalesce(avg(j), 0)), 6) AS confidence FROM p GROUP BY 1, 2""".replace("\\\\", "\\"))
+def grouping_confidence(spark, sf_dir):
+    """How sure a group of titles is, by the mean Jaccard similarity of its pairs; a group is a source's part of a hundred documents."""
+    from ..functions.text import jaccard, words
+
+    a = table(spark, sf_dir, "documents").select("doc_id", "source", F.expr("doc_id div 100").alias("grp"), F.array_distinct(words(F.regexp_extract("text", r"^[^.!?\n]*", 0))).alias("w"))
+    b = a.select(F.col("doc_id").alias("other"), "source", "grp", F.col("w").alias("v"))
+    p = a.join(b, ["grp", "source"]).where("doc_id < other")
+    return p.groupBy("grp", "source").agg(F.round(F.least(F.lit(0.95), 0.5 + 1.25 * F.coalesce(F.avg(jaccard(F.col("w"), F.col("v"))), F.lit(0.0))), 6).alias("confidence"))
+
+
+#: Region anchors (latitude, longitude), by region key: Nairobi, Chicago, Singapore, Frankfurt, Dubai.
+ANCHORS = ((0, -1.3, 36.8), (1, 41.9, -87.6), (2, 1.35, 103.8), (3, 50.1, 8.7), (4, 25.2, 55.3))
+
+
+@query(f"""WITH n AS (SELECT n_nationkey, (n_nationkey * 37 % 140 - 70)::DOUBLE AS lat, (n_nationkey * 53 % 360 - 180)::DOUBLE AS lon FROM nation), a(anchor, alat, alon) AS (VALUES {", ".join(map(str, ANCHORS))}),
+d AS (SELECT n_nationkey, anchor, 2 * 6371.0 * asin(sqrt(pow(sin(radians(alat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(alat)) * pow(sin(radians(alon - lon) / 2), 2))) AS km FROM n, a)
+SELECT n_nationkey, arg_min(anchor, (km, anchor))::INT AS anchor, round(min(km), 3) AS km FROM d GROUP BY 1""")
+def nearest_anchors(spark, sf_dir):
+    """The nearest region anchor of each place and how far it is; the anchors are a few literals, so no join is made."""
+    from ..functions.vectors import great_circle
+
+    lat, lon = ((F.col("n_nationkey") * 37 % 140 - 70).cast("double"), (F.col("n_nationkey") * 53 % 360 - 180).cast("double"))
+    away = F.array_min(F.array(*(F.struct(great_circle(lat, lon, F.lit(a), F.lit(o)).alias("km"), F.lit(k).alias("anchor")) for k, a, o in ANCHORS)))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", away.alias("x"))
+    return n.select("n_nationkey", F.col("x.anchor").alias("anchor"), F.round("x.km", 3).alias("km"))
+
+
+@query("""SELECT c.conv_id, c.turn, (c.turn + c.conv_id % 5) AS cited, EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = c.conv_id AND b.turn = c.turn + c.conv_id % 5) AS stands FROM conversations c""")
+def citations_exist(spark, sf_dir):
+    """Whether the passage that a citation names exists; turns cite a turn some places on."""
+    c = _turns(spark, sf_dir).select("conv_id", "turn", (F.col("turn") + F.col("conv_id") % 5).alias("cited"))
+    held = _turns(spark, sf_dir).select("conv_id", F.col("turn").alias("cited"), F.lit(True).alias("met")).distinct()
+    return c.join(held, ["conv_id", "cited"], "left").select("conv_id", "turn", "cited", F.coalesce("met", F.lit(False)).alias("stands"))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS k, list(DISTINCT l_returnflag) AS a, list(DISTINCT l_linestatus) AS b FROM lineitem GROUP BY 1) SELECT k, len(list_distinct(list_concat(a, b)))::INT AS both, len(list_intersect(a, b))::INT AS shared, len(list_filter(a, lambda x: NOT list_contains(b, x)))::INT AS only, list_has_any(a, b) AS meets FROM s""")
+def set_algebra(spark, sf_dir):
+    """Union, intersection, difference and overlap of an order's flag sets."""
+    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_returnflag").alias("a"), F.collect_set("l_linestatus").alias("b"))
+    return s.select("k", F.size(F.array_union("a", "b")).alias("both"), F.size(F.array_intersect("a", "b")).alias("shared"), F.size(F.array_except("a", "b")).alias("only"), F.arrays_overlap("a", "b").alias("meets"))
+
+
+@query("""WITH t AS (SELECT user_id, event_type AS field, event_id, 'v' || event_id AS value FROM events) SELECT user_id, field, arg_max(value, event_id) AS token FROM t GROUP BY 1, 2""")
+def tag_tokens(spark, sf_dir):
+    """Of a reader's tokens for one field the latest counts."""
+    t = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("field"), "event_id")
+    return t.groupBy("user_id", "field").agg(F.concat(F.lit("v"), F.max("event_id").cast("string")).alias("token"))
