@@ -37,6 +37,8 @@ SLACK = 0.06
 DEVIATIONS = 4
 #: From this many fingerprints under one key, the group is cut once more before it is compared.
 DENSE = 4096
+#: Hashes (eight bytes each) of all sets together up to which the sets are broadcast; beyond, they are joined by shuffle.
+BROADCAST_HASHES = 4_000_000
 #: Keys with more rows than this are split: their rows are dealt to blocks of half as many, and every two blocks meet in a task of their own.
 HOT = 8192
 
@@ -353,9 +355,11 @@ def hash_sets(texts: DataFrame, width: int) -> DataFrame:
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The (u, v) whose hash sets have an exact Jaccard similarity of ``similarity`` or more; sets are joined by pair.
 
-    The sets are compared in the JVM: a family of near copies has very many pairs, and none of their sets is copied to Python.
+    The sets are compared in the JVM: a family of near copies has very many pairs, and none of their sets is copied to Python,
+    nor, while all sets are small together, through a shuffle for every pair.
     """
-    first, second = (sets.select(F.col("c").alias(n), F.col("hashes").alias(f"h{n}")).hint("merge") for n in ("u", "v"))
+    few = (sets.agg(F.sum(F.size("hashes"))).first()[0] or 0) <= BROADCAST_HASHES
+    first, second = (sets.select(F.col("c").alias(n), F.col("hashes").alias(f"h{n}")).hint("broadcast" if few else "merge") for n in ("u", "v"))
     met = pairs.join(first, "u").join(second, "v")
     p, q = F.size("hu"), F.size("hv")
     shared = F.when(F.least(p, q) >= similarity * F.greatest(p, q), F.size(F.array_intersect("hu", "hv"))).otherwise(-1)
