@@ -12,10 +12,27 @@ from .pieces import op1_sentencepiece
 from .pii import op5_pii
 from .quality import op6_quality_rules
 from .simhash import op3_simhash_neardup
+from .tokencounts import op11_token_counts
+from .variants import op12_spelling_variants
+from .vectorcodes import op13_vector_codes
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_canonical_digest, op3_simhash_neardup, op4_mixing, op5_pii, op6_quality_rules, op7_license_scan, op8_quality_classifier, op9_repeated_passages, op10_line_dedup)
+    for f in (
+        op1_sentencepiece,
+        op2_canonical_digest,
+        op3_simhash_neardup,
+        op4_mixing,
+        op5_pii,
+        op6_quality_rules,
+        op7_license_scan,
+        op8_quality_classifier,
+        op9_repeated_passages,
+        op10_line_dedup,
+        op11_token_counts,
+        op12_spelling_variants,
+        op13_vector_codes,
+    )
 }
 
 #: Empty where SQL can't express a query: those are tested against brute force in tests/llm.
