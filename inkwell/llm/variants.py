@@ -4,13 +4,12 @@ One edit leaves the first or the second half of a word as it is, at its place co
 or the end. Every word therefore puts its two segments into shards; a shard is an Aho-Corasick
 automaton over the segments dealt to it. A word can only hold a segment at a compatible offset and
 length if its own prefix or suffix of one of two lengths is that segment, so it is scanned by the
-shards of these four strings and by no other. A segment that more words share than a shard takes is
+shards of these four strings and by no other. A segment that a large part of a shard's words share is
 dealt over several shards, and the words that hold it are scanned by each of them.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import documents, materialize
 
 #: Segments of a shard, about; bounds an automaton's memory.
-SHARD_SEGMENTS = 60_000
+SHARD_SEGMENTS = 16_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,17 +69,19 @@ class Shard:
 
     def __init__(self):
         self.automaton = ahocorasick.Automaton()
-        self.owners: dict[tuple[int, str], dict[tuple, list[tuple[str, int]]]] = defaultdict(lambda: defaultdict(list))
+        self.n: dict[str, int] = {}
+        # (kind, segment, length of the owner, 0 or 1, that half of what is left of it): its owners. The edit is in one
+        # of the two halves of what is left, so an owner is found by the other.
+        self.owners: dict[tuple, list[str]] = {}
 
     def add(self, word: str, n: int, kind: int) -> None:
         half = len(word) // 2
         segment, rest = (word[:half], word[half:]) if kind == 0 else (word[half:], word[:half])
         self.automaton.add_word(segment, segment)
-        # what is left is halved again: the edit is in one of these halves, so owners are looked up by the other
+        self.n[word] = n
         cut = len(rest) // 2
-        own = self.owners[kind, segment]
-        own[len(word), 0, rest[:cut]].append((word, n))
-        own[len(word), 1, rest[cut:]].append((word, n))
+        for side, part in enumerate((rest[:cut], rest[cut:])):
+            self.owners.setdefault((kind, segment, len(word), side, part), []).append(word)
 
     def close(self) -> None:
         self.automaton.make_automaton()
@@ -98,24 +99,22 @@ class Shard:
                 yield from self._verified(word, size, 1, segment, word[:start])
 
     def _verified(self, word: str, size: int, kind: int, segment: str, rest: str) -> Iterator[tuple[str, int]]:
-        own = self.owners.get((kind, segment))
-        if own is None:
-            return
         for m in (size - 1, size, size + 1):
             left = m - len(segment)
             # lengths are compatible where the segment is this half of a word of m code points
             if left < 0 or len(segment) != (m // 2 if kind == 0 else m - m // 2):
                 continue
             cut = left // 2
-            first, last = rest[:cut], rest[len(rest) - (left - cut) :] if len(rest) >= left - cut else None
-            for other, n in own.get((m, 0, first), ()):
+            first = rest[:cut]
+            found = self.owners.get((kind, segment, m, 0, first), ())
+            if len(rest) >= left - cut:
+                begins = m // 2 if kind == 0 else 0
+                # owners with the same first half of the rest are found above
+                found = [*found, *(o for o in self.owners.get((kind, segment, m, 1, rest[len(rest) - (left - cut) :]), ()) if o[begins : begins + cut] != first)]
+            for other in found:
+                # a word that holds both segments is told by the first
                 if one_edit(word, other) and not (kind == 1 and word.startswith(other[: m // 2])):
-                    yield other, n
-            for other, n in own.get((m, 1, last), ()) if last is not None else ():
-                # found above where the first half of the rest is the same too
-                begins = other[m // 2 : m // 2 + cut] if kind == 0 else other[:cut]
-                if begins != first and one_edit(word, other) and not (kind == 1 and word.startswith(other[: m // 2])):
-                    yield other, n
+                    yield other, self.n[other]
 
 
 def near_words(words: DataFrame, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
@@ -127,8 +126,9 @@ def near_words(words: DataFrame, shard_segments: int = SHARD_SEGMENTS) -> DataFr
     length = F.length("word")
     owned = words.select("word", "n", F.explode(_segments(F.col("word"), length)).alias("s")).select("word", "n", "s.*")
     held = words.select("word", "n", F.explode(_held(F.col("word"), length)).alias("s")).select("word", "n", "s.*")
-    # Segments of more words than a shard takes: at most words / shard_segments of them.
-    hot = materialize(owned.groupBy("kind", "segment").count().where(F.col("count") > shard_segments).select("kind", "segment", F.ceil(F.col("count") / shard_segments).cast("int").alias("salts")), "hotsegments")
+    # Segments of so many words that they would fill a shard: at most 8 * words / shard_segments of them.
+    share = max(1, shard_segments // 4)
+    hot = materialize(owned.groupBy("kind", "segment").count().where(F.col("count") > share).select("kind", "segment", F.ceil(F.col("count") / share).cast("int").alias("salts")), "hotsegments")
     salts = F.coalesce("salts", F.lit(1))
     shard = F.pmod(F.xxhash64("kind", "segment", "salt"), F.lit(shards)).cast("int").alias("shard")
     owners = owned.join(hot, ["kind", "segment"], "left").withColumn("salt", F.pmod(F.xxhash64("word"), salts).cast("int"))

@@ -161,7 +161,7 @@ def test_op12_equals_brute_force(spark):
     assert {r.word: (r.n, r.n_near, r.form, r.form_n, r.root) for r in got.collect()} == grouped(c)
 
 
-@pytest.mark.parametrize("shard_segments", [7, 60_000])
+@pytest.mark.parametrize("shard_segments", [7, 16_000])
 def test_variants_over_few_letters(spark, shard_segments):
     """Words over two letters share segments: hot ones are dealt over shards, both halves hold at insertions between them, and no pair is found twice."""
     r = random.Random(9)
