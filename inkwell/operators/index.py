@@ -1,8 +1,10 @@
-"""A stored inverted index: postings sorted by term, so that a query reads the pages of its terms only.
+"""A stored inverted index: postings sorted by stem and term, so that a query reads the pages of its terms only.
 
-Postings are range-partitioned and sorted by (term, id): file and page statistics answer exact terms and
-prefixes alike, and a term that stands in very many documents fills several files. Positions of words count from
-a start of their own in each field, so a phrase never runs from one field into the next.
+Postings are range-partitioned and sorted by (stem, term, id): file and page statistics answer stems, exact terms and
+prefixes alike, and a term that stands in very many documents fills several files. Stems stand beside the words as
+written, so a query may ask for either, in phrases too. Positions of words count from a start of their own in each
+field, so a phrase never runs from one field into the next. The words, with their stems and frequencies, are a table
+of their own.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stemming import stem_of, stems
 from ..functions.text import words
 from .search import B, K1
 from .storage import shared_root
@@ -22,19 +25,21 @@ FIELD = 1 << 32
 
 
 class Index(NamedTuple):
-    """``postings``: term, id, tf, length, positions. ``corpus``: one row of n, mean."""
+    """``postings``: stem, term, id, tf, length, positions. ``vocabulary``: term, stem, df, cf. ``corpus``: one row of n, mean."""
 
     postings: DataFrame
+    vocabulary: DataFrame
     corpus: DataFrame
     fields: tuple[str, ...]
 
 
 class Term(NamedTuple):
-    """A word, a prefix or a phrase of a query, in any field or in one."""
+    """A word, a prefix or a phrase of a query, in any field or in one; ``stemmed``: words with the same stems answer too."""
 
     text: str
     prefix: bool = False
     field: str | None = None
+    stemmed: bool = False
 
 
 def build(df: DataFrame, id_col: str, fields: list[str], path: str) -> Index:
@@ -44,27 +49,50 @@ def build(df: DataFrame, id_col: str, fields: list[str], path: str) -> Index:
     each = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.col(f"w{k}").alias("w")) for k in range(len(fields)))))
     rows = tokens.select("id", length.alias("length"), each.alias("f")).select("id", "length", F.col("f.k").alias("k"), F.posexplode("f.w").alias("p", "term"))
     postings = rows.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.sort_array(F.collect_list(F.col("k") * FIELD + F.col("p"))).alias("positions"))
-    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
+    placed = postings.select(stems("term").alias("stem"), *postings.columns)
+    placed.repartitionByRange("stem", "term", "id").sortWithinPartitions("stem", "term", "id").write.parquet(f"{path}/postings")
+    counted = df.sparkSession.read.parquet(f"{path}/postings").groupBy("term", "stem").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    counted.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/vocabulary")
     tokens.agg(F.count("*").alias("n"), F.avg(length).alias("mean")).write.parquet(f"{path}/corpus")
     return opened(df.sparkSession, path, fields)
 
 
 def opened(spark: SparkSession, path: str, fields: list[str]) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/corpus"), tuple(fields))
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "vocabulary", "corpus")), tuple(fields))
 
 
-_BUILT: dict[tuple, str] = {}
+#: By application, id column and fields: the frames indexed, what their files or version were, and where the index is.
+_BUILT: dict[tuple, list[tuple[DataFrame, object, str]]] = {}
 
 
-def index_of(df: DataFrame, id_col: str, fields: list[str]) -> Index:
-    """The index of a table of files, built in this application at the first call for it and opened after."""
+def files_stamp(df: DataFrame) -> tuple:
+    """Names, sizes and times of the files that a frame reads, by one listing a folder."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    wanted, found = set(df.inputFiles()), []
+    for folder in sorted({name.rsplit("/", 1)[0] for name in wanted}):
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        for s in at.getFileSystem(conf).listStatus(at):
+            found.append((s.getPath().toUri().getPath(), s.getLen(), s.getModificationTime()))
+    names = {jvm.java.net.URI(name).getPath() for name in wanted}
+    return tuple(sorted(f for f in found if f[0] in names))
+
+
+def index_of(df: DataFrame, id_col: str, fields: list[str], version: object = None) -> Index:
+    """The index of a frame, built in this application at the first call for it and opened after.
+
+    It is that of this frame alone: another plan (a filter, a derived id) or other files, by name, size or time, have an
+    index of their own. ``version`` stands for the state of the files where the caller knows it; they are not listed then.
+    """
     spark = df.sparkSession
-    key = (spark.sparkContext.applicationId, tuple(sorted(df.inputFiles())), id_col, tuple(fields))
-    if key not in _BUILT:
-        path = f"{shared_root(spark)}/inkwell-index-{uuid.uuid4().hex}"
-        build(df, id_col, fields, path)
-        _BUILT[key] = path
-    return opened(spark, _BUILT[key], fields)
+    state = ("version", version) if version is not None else files_stamp(df)
+    known = _BUILT.setdefault((spark.sparkContext.applicationId, id_col, tuple(fields)), [])
+    for other, then, path in known:
+        if then == state and other.sameSemantics(df):
+            return opened(spark, path, fields)
+    path = f"{shared_root(spark)}/inkwell-index-{uuid.uuid4().hex}"
+    made = build(df, id_col, fields, path)
+    known.append((df, state, path))
+    return made
 
 
 def _in_field(index: Index, term: Term) -> tuple[Column, Column]:
@@ -76,11 +104,20 @@ def _in_field(index: Index, term: Term) -> tuple[Column, Column]:
     return F.size(kept).cast("long"), kept
 
 
+def _answers(term: Term, word: str, prefix: bool) -> Column:
+    """Which postings answer a word of a query. Each test names a column that the postings are sorted by."""
+    stem = stem_of(word)
+    if term.stemmed:
+        return F.col("stem").startswith(stem) if prefix else F.col("stem") == stem
+    return F.col("term").startswith(word) if prefix else (F.col("stem") == stem) & (F.col("term") == word)
+
+
 def matches(index: Index, terms: list[Term], match_all: bool = True) -> DataFrame:
     """(id, length, tf0, tf1, ...): documents that hold all terms (or any), with each term's occurrences.
 
-    A prefix counts all words that it begins; a phrase counts the places where its words follow each other. Texts are
-    cut to words as the documents are. A term without words matches nothing.
+    A prefix counts all words that it begins; a phrase counts the places where its words follow each other; a stemmed term
+    counts words of the same stem (a prefix: stems that begin with its own). Texts are cut to words as the documents are.
+    A term without words matches nothing.
     """
     plain = [[w for w in "".join(c if c.isalnum() else " " for c in t.text.lower()).split()] for t in terms]
     parts = None
@@ -88,8 +125,7 @@ def matches(index: Index, terms: list[Term], match_all: bool = True) -> DataFram
         tf, positions = _in_field(index, term)
         hit = None
         for j, w in enumerate(ws):
-            last = term.prefix and j == len(ws) - 1
-            rows = index.postings.where(F.col("term").startswith(w) if last else F.col("term") == w)
+            rows = index.postings.where(_answers(term, w, term.prefix and j == len(ws) - 1))
             # Positions are read for phrases and fields alone.
             rows = rows.select("id", "length", F.lit(i).alias("i"), F.lit(j).alias("j"), tf.alias("tf"), (positions if len(ws) > 1 else F.lit(None).cast("array<bigint>")).alias("positions")).where("tf > 0")
             hit = rows if hit is None else hit.unionByName(rows)

@@ -157,21 +157,6 @@ def catalog_gaps(spark, sf_dir):
     return s.where("s_acctbal < 0").join(alt, F.col("s_nationkey") == F.col("nk"), "left").select("s_suppkey", "alternative")
 
 
-# Fixed values for the example: weighted keywords of topics.
-TOPICS = {"law": ["license", "rights", "permission"], "contact": ["mail", "call", "phone"], "data": ["token", "password", "key"]}
-
-
-@query(r"""WITH t AS (SELECT doc_id, lower(regexp_extract(text, '^[^.!?\n]*')) AS title, lower(left(text, 2000)) AS body FROM documents), k(topic, place, word) AS (VALUES ('law', 0, 'license'), ('law', 0, 'rights'), ('law', 0, 'permission'), ('contact', 1, 'mail'), ('contact', 1, 'call'), ('contact', 1, 'phone'), ('data', 2, 'token'), ('data', 2, 'password'), ('data', 2, 'key')),
-s AS (SELECT doc_id, topic, any_value(place) AS place, sum(CASE WHEN contains(title, word) THEN 3.0 ELSE 0 END + CASE WHEN contains(body, word) THEN 0.5 ELSE 0 END) AS score FROM t, k GROUP BY 1, 2)
-SELECT doc_id, arg_max(topic, (score, -place)) AS topic, round(least(0.95, 0.5 + 0.08 * max(score)), 6) AS confidence FROM s GROUP BY 1 HAVING max(score) >= 2""")
-def topic_classification(spark, sf_dir):
-    """A weighted taxonomy: 3 in the title, 0.5 in the first 2,000 characters (the feature's limit), two points at least."""
-    title, body = F.lower(F.regexp_extract("text", r"^[^.!?\n]*", 0)), F.lower(F.left("text", F.lit(2000)))
-    points = [F.struct(sum((F.when(title.contains(w), 3.0).otherwise(0.0) + F.when(body.contains(w), 0.5).otherwise(0.0) for w in ws), F.lit(0.0)).alias("score"), F.lit(-i).alias("place"), F.lit(t).alias("topic")) for i, (t, ws) in enumerate(TOPICS.items())]
-    d = table(spark, sf_dir, "documents").select("doc_id", F.array_max(F.array(*points)).alias("b")).where("b.score >= 2")
-    return d.select("doc_id", F.col("b.topic").alias("topic"), F.round(F.least(F.lit(0.95), 0.5 + 0.08 * F.col("b.score")), 6).alias("confidence"))
-
-
 @query()
 def extractive_summary(spark, sf_dir):
     """Two sentences of each document by position, overlap with the title and length."""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..operators.index import Term, index_of, ranked_matches
-from ..operators.search import fuse, inverted_index, nearest, ranked, snippet
+from ..operators.index import Term, index_of, matches, ranked_matches
+from ..operators.search import fuse, nearest, ranked, snippet
 from ..operators.spelling import corrections
 from ..registry import query
 from ..sources.tables import table
@@ -76,8 +76,30 @@ def lexical_ranks(spark, sf_dir):
 @query(f"""WITH t AS (SELECT doc_id AS id, unnest({WORDS}) AS term FROM documents) SELECT term, count(DISTINCT id)::BIGINT AS df, count(*)::BIGINT AS cf FROM t GROUP BY 1 HAVING count(DISTINCT id) >= 10""")
 def index_terms(spark, sf_dir):
     """The inverted index's document and corpus frequencies."""
-    i = inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return i.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 10")
+    return documents_index(spark, sf_dir).vocabulary.where("df >= 10").select("term", "df", "cf")
+
+
+@query()
+def stem_forms(spark, sf_dir):
+    """The words of the documents by stem, with how many words and occurrences each stem gathers."""
+    v = documents_index(spark, sf_dir).vocabulary
+    return v.groupBy("stem").agg(F.count("*").alias("forms"), F.sum("cf").alias("cf"), F.min("term").alias("first")).where("forms > 1")
+
+
+@query(f"""WITH t AS (SELECT doc_id AS id, {WORDS} AS w FROM documents),
+c AS (SELECT id, len(w) AS length, len(list_filter(w, lambda x: regexp_full_match(x, 'licens(e|es|ed|ing|er|ers|able|or|ors)?'))) AS tf, len(list_filter(w, lambda x: regexp_full_match(x, 'reserv(e|es|ed|ing|er|ers|able|ation|ations|ative)?'))) AS tg FROM t),
+k AS (SELECT count(*) AS n, avg(length) AS mean, count(*) FILTER (WHERE tf > 0) AS df, count(*) FILTER (WHERE tg > 0) AS dg FROM c)
+SELECT id, round(coalesce(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)), 0) + coalesce(ln(1 + (n - dg + 0.5) / (dg + 0.5)) * tg * 2.2 / (tg + 1.2 * (0.25 + 0.75 * length / mean)), 0), 6) AS score FROM c, k WHERE tf > 0 OR tg > 0""")
+def stemmed_search(spark, sf_dir):
+    """Documents that hold any form of "licensed" or "reserves", ranked over stems. The SQL spells the forms out."""
+    return ranked_matches(documents_index(spark, sf_dir), [Term("licensed", stemmed=True), Term("reserves", stemmed=True)], match_all=False).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH t AS (SELECT doc_id AS id, {WORDS} AS w FROM documents), c AS (SELECT id, len(w) AS length, len(list_filter(range(1, len(w)), lambda i: regexp_full_match(w[i], 'right|rights') AND regexp_full_match(w[i + 1], 'reserv(e|es|ed|ing)?'))) AS tf FROM t), k AS (SELECT count(*) AS n, avg(length) AS mean, count(*) FILTER (WHERE tf > 0) AS df FROM c)
+SELECT id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)), 6) AS score FROM c, k WHERE tf > 0""")
+def stemmed_phrase(spark, sf_dir):
+    """A phrase whose words answer by their stems."""
+    return ranked_matches(documents_index(spark, sf_dir), [Term("right reserve", stemmed=True)]).select("id", F.round("score", 6).alias("score"))
 
 
 BM25 = """ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))"""
@@ -117,15 +139,18 @@ def note_search(spark, sf_dir):
 
 @query()
 def snippets(spark, sf_dir):
-    """Fifteen words around the first match."""
-    return snippet(table(spark, sf_dir, "documents"), "doc_id", "text", "license")
+    """Fifteen words around the first match. The index names the documents; other texts are not cut to words."""
+    held = documents_index(spark, sf_dir).postings.where("stem = 'licens' AND term = 'license'").select("id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return snippet(d.join(held, d.doc_id == held.id, "left_semi"), "doc_id", "text", "license")
 
 
 @query(f"""WITH t AS (SELECT doc_id AS id, source, {WORDS} AS w FROM documents) SELECT source, count(*)::BIGINT AS n FROM t WHERE list_contains(w, 'license') GROUP BY 1""")
 def search_counts(spark, sf_dir):
     """Counts under the search predicate."""
-    d = table(spark, sf_dir, "documents").where(F.array_contains(words(F.col("text")), "license"))
-    return d.groupBy("source").agg(F.count("*").alias("n"))
+    held = matches(documents_index(spark, sf_dir), [Term("license")]).where("_kept").select("id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return d.join(held, d.doc_id == held.id, "left_semi").groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH h AS (SELECT doc_id, source, list_distinct(list_filter(list_slice({WORDS}, 1, 24), lambda x: length(x) >= 9)) AS keys FROM documents), e AS (SELECT doc_id, source, unnest(keys) AS k FROM h)
@@ -157,6 +182,5 @@ def earlier_passages(spark, sf_dir):
 @query()
 def spelling_correction(spark, sf_dir):
     """The likeliest word for each misspelled term."""
-    w = table(spark, sf_dir, "documents").select(F.explode(words(F.col("text"))).alias("word"))
-    vocabulary = w.groupBy("word").agg(F.count("*").alias("n"))
+    vocabulary = documents_index(spark, sf_dir).vocabulary.select(F.col("term").alias("word"), F.col("cf").alias("n"))
     return corrections(spark, ["lisence", "reserevd", "relaesed", "publik", "xqzzy"], vocabulary)

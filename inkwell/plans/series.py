@@ -203,13 +203,6 @@ def driver_rows(spark, sf_dir):
     return g.select("driver", "n", F.round(F.col("n") / F.max("n").over(Window.partitionBy()), 6).alias("severity"))
 
 
-@query("""SELECT p_brand AS sector, count(DISTINCT l_orderkey)::BIGINT AS stories, count(*)::BIGINT AS passages FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1""")
-def sector_cards(spark, sf_dir):
-    """E15."""
-    j = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return j.groupBy(F.col("p_brand").alias("sector")).agg(F.count_distinct("l_orderkey").alias("stories"), F.count("*").alias("passages"))
-
-
 @query("""SELECT r_name AS region, count(DISTINCT l_orderkey)::BIGINT AS stories, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_orderkey END)::BIGINT AS saved FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1""")
 def region_rows(spark, sf_dir):
     """E16."""

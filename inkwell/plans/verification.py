@@ -64,20 +64,6 @@ def forward_watch(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", forward_kind(F.col("text")).alias("kind"))
 
 
-SECTORS = {"energy": ("oil", "gas", "power"), "finance": ("bank", "market", "price"), "software": ("software", "code", "license"), "transport": ("train", "ship", "road")}
-IMPLIES = ("rise", "fall", "cut", "will", "with", "that")
-
-
-@query(f"""WITH w AS (SELECT doc_id, {W.format("text")} AS w FROM documents), s AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {list(v)})" for k, v in SECTORS.items())}) AS t(sector, cues))
-SELECT doc_id, sector, len(list_filter(w, lambda x: list_contains(cues, x)))::INT AS n FROM w, s WHERE list_has_any(w, cues) AND list_has_any(w, {list(IMPLIES)})""")
-def industry_impact(spark, sf_dir):
-    """Sectors whose cues stand with an implication, four a document at most (there are four here)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("w")).where(F.arrays_overlap("w", F.array(*map(F.lit, IMPLIES))))
-    count = lambda cues: F.size(F.filter("w", lambda x: x.isin(*cues)))
-    met = F.array(*(F.struct(F.lit(k).alias("sector"), count(v).alias("n")) for k, v in SECTORS.items()))
-    return d.select("doc_id", F.inline(met)).where("n > 0")
-
-
 @query(r"""SELECT doc_id, regexp_matches(lower(text), '[$€£%]|\b(percent|million|billion|revenue|profit|shares)\b') AND NOT regexp_matches(lower(text), '\b(forecast|outlook|should buy|should sell|price target|we recommend|is expected to)\b') AS thematic FROM documents""")
 def thematic_angles(spark, sf_dir):
     """P10: financial or quantitative facts without forecasts or advice."""
