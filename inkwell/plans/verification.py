@@ -90,3 +90,60 @@ def delimiters_removed(spark, sf_dir):
     """Texts without marks that could pass for delimiters."""
     marked = F.concat(F.lit("<system>"), "text", F.lit("</system> #### <|end|>"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", sanitized(marked).alias("clean"))
+
+
+MONTH_NAME = "list_extract(['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December'], month(o_orderdate)::INT)"
+
+
+def order_statements(spark, sf_dir):
+    """(o_orderkey, claim, source): what each order's figures are worth, told in two units; some sources differ by key."""
+    o = table(spark, sf_dir, "orders")
+    k, price = F.col("o_orderkey"), F.col("o_totalprice").cast("double")
+    day = F.to_date("o_orderdate")
+    kg = k % 97 + 1
+    thousand = F.round(price / 1000, 2).cast("decimal(18,2)").cast("string")
+    claim = F.concat(F.lit("It cost "), thousand, F.lit(" thousand dollars on "), F.date_format(day, "d MMMM yyyy"), F.lit(" and weighed "), kg.cast("string"), F.lit(" kg."))
+    paid = F.round(F.when(k % 5 == 1, price * 1.02).otherwise(price), 2).cast("decimal(18,2)").cast("string")
+    grams = F.when(k % 3 == 1, kg * 1010).otherwise(kg * 1000).cast("string")
+    source = F.concat(F.when(k % 4 == 1, "EUR ").otherwise("USD "), paid, F.lit(" was paid; dated "), F.date_format(F.when(k % 7 == 1, F.date_add(day, 1)).otherwise(day), "yyyy-MM-dd"), F.lit(", net "), grams, F.lit(" grams."))
+    return o.select("o_orderkey", claim.alias("claim"), source.alias("source"))
+
+
+@query("""WITH p AS (SELECT o_orderkey, o_totalprice::DOUBLE AS price, round(CASE WHEN o_orderkey % 5 = 1 THEN o_totalprice::DOUBLE * 1.02 ELSE o_totalprice::DOUBLE END, 2) AS paid FROM orders), q AS (SELECT *, round(price / 1000, 2) * 1000 AS told FROM p)
+SELECT o_orderkey, (CASE WHEN o_orderkey % 4 = 1 OR abs(told - paid) > 0.005 * greatest(told, paid) THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 3 = 1 THEN 1 ELSE 0 END)::INT AS quantities, CASE WHEN o_orderkey % 7 = 1 THEN 1 ELSE 0 END AS dates FROM q""")
+def quantity_fidelity(spark, sf_dir):
+    """Figures of a claim that its source does not state: money in thousands against units, kilograms against grams, days in words against figures. The SQL reckons with the table's numbers and parses no text."""
+    from ..operators.quantities import quantities, stated_dates, unsupported_dates, unsupported_quantities
+
+    o = order_statements(spark, sf_dir)
+    found = o.select("o_orderkey", quantities(F.col("claim")).alias("c"), quantities(F.col("source")).alias("s"), stated_dates(F.col("claim")).alias("cd"), stated_dates(F.col("source")).alias("sd"))
+    return found.select("o_orderkey", F.size(unsupported_quantities(F.col("c"), F.col("s"))).alias("quantities"), F.size(unsupported_dates(F.col("cd"), F.col("sd"))).alias("dates"))
+
+
+def reported_orders(spark, sf_dir):
+    """(o_orderkey, claim, source): what a customer said of each order, and a retelling that goes wrong in a way told by the key."""
+    named = lambda c: F.initcap(F.translate((c + 1000).cast("string"), "0123456789", "abcdefghij"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", named(F.col("o_custkey")).alias("who"), named(F.col("o_orderkey") + 500_000).alias("other"))
+    case = F.pmod(F.col("o_orderkey"), F.lit(8))
+    source = F.concat("who", F.lit(" said the order was shipped and inspected by the port. "), "other", F.lit(' wrote "we never saw the goods that were promised to us". The clerk was reportedly absent.'))
+    who, other = F.col("who"), F.col("other")
+    claim = (
+        F.when(case == 0, F.concat(who, F.lit(" said the order was shipped and inspected.")))
+        .when(case == 1, F.concat(F.lit("Zz"), F.lower(who), F.lit(" said the order was shipped and inspected.")))
+        .when(case == 2, F.concat(who, F.lit(" said the order was not shipped and not inspected by the port.")))
+        .when(case == 3, F.concat(who, F.lit(" said the order was shipped and the port charged.")))
+        .when(case == 4, F.lit('"We never saw the goods" at the port.'))
+        .when(case == 5, F.lit("The clerk was absent."))
+        .when(case == 6, F.lit("it seems that they never saw the goods that were promised to anyone."))
+        .otherwise(F.concat(other, F.lit(" said the order was shipped and inspected by the port.")))
+    )
+    return o.select("o_orderkey", claim.alias("claim"), source.alias("source"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 1 THEN 'speaker,attribution' WHEN 2 THEN 'negation' WHEN 3 THEN 'action' WHEN 4 THEN 'detached_quotation' WHEN 5 THEN 'hedge' WHEN 6 THEN 'quotation_as_fact' WHEN 7 THEN 'speaker' ELSE '' END AS failures FROM orders""")
+def claim_failures(spark, sf_dir):
+    """What speaks against each retelling: speaker, attribution, negation, act, hedge, quotation. The SQL tells it by how each was made."""
+    from ..operators.claims import claim_failures as failures
+
+    made = failures(reported_orders(spark, sf_dir), ["o_orderkey"], "claim", "source")
+    return made.select("o_orderkey", F.array_join("failures", ",").alias("failures"))
