@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine_of_sets, words
+from .graph import components
 from .storage import written
 
 #: Words of a shingle, shingles two copies share at least, and their least containment.
@@ -49,6 +50,56 @@ def near_identical(df: DataFrame, id_col: str, text_col: str, least: int = SHARE
     return good.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
 
 
+#: Words of a title that may link reports, and the least Jaccard similarity of two titles.
+TITLE_WORDS, TITLE_SIMILAR = 5, 0.9
+
+
+def similar_sets(sets: DataFrame, similar: float = TITLE_SIMILAR) -> DataFrame:
+    """(a, b): ids of the distinct word sets (id, w) whose Jaccard similarity is ``similar`` or more.
+
+    Two such sets share one of the n - ceil(similar n) + 1 rarest words of the smaller, which are the only ones that
+    seek partners, and only among sets of a fitting size: a word that stands in very many sets hardly ever is one of them.
+    """
+    n = F.size("w")
+    rows = sets.select("id", "w", n.alias("n"), F.explode("w").alias("x"))
+    known = written(rows.groupBy("x").agg(F.count("*").alias("k")).where("k > 1"), "set-words")
+    met = rows.join(known, "x")
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))
+    ranked = met.select("*", F.row_number().over(Window.partitionBy("id").orderBy("k", "x")).alias("_r"), alone.alias("_alone"))
+    seek = ranked.where(F.col("_r") <= F.col("n") - F.ceil(similar * F.col("n")) + 1 - F.col("_alone"))
+    a = seek.select(F.col("id").alias("a"), F.col("n").alias("na"), "x")
+    b = met.select(F.col("id").alias("b"), F.col("n").alias("nb"), "x")
+    fits = (F.col("na") >= F.ceil(similar * F.col("nb"))) & ((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("a") < F.col("b"))))
+    pairs = a.join(b, "x").where(fits).select("a", "b").distinct()
+    both = pairs.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b")
+    shared = F.size(F.array_intersect("wa", "wb"))
+    return both.where(shared >= similar * (F.size("wa") + F.size("wb") - shared)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def wire_classes(df: DataFrame, id_col: str, text_col: str, title_col: str) -> DataFrame:
+    """(id, group): reports that a chain of near-identical texts or titles joins, by the smallest id; null for a report that has no other.
+
+    Texts link as in ``near_identical``, equal ones of SHARED shingles or more among them; titles of TITLE_WORDS words or more
+    link by the Jaccard similarity of their words. Copies meet by their digest and equal titles by their words, so neither is
+    paired: only one row of each distinct (text, title) enters the graph. Ids have to be distinct; rows without one are left out.
+    """
+    title = words(F.coalesce(F.col(title_col), F.lit("")))
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), title.alias("tw"))
+    distinct_text = shingle_rows(rows.groupBy("d").agg(F.min("id").alias("id"), F.first("t").alias("t")), "id", "t").groupBy("id").agg(F.first("n").alias("n")).where(F.col("n") >= SHARED)
+    firsts = rows.groupBy("d").agg(F.min("id").alias("rep")).join(distinct_text.select(F.col("id").alias("rep")), "rep")
+    keyed = rows.select("id", "d", F.when(F.size("tw") >= TITLE_WORDS, F.array_sort(F.array_distinct("tw"))).alias("w"))
+    titles = keyed.where("w IS NOT NULL").groupBy("w").agg(F.min("id").alias("title_rep"))
+    # what stands for each row in the graph: its text's first report, else itself; and its title's
+    named = written(keyed.join(firsts, "d", "left").join(titles, "w", "left").select("id", F.coalesce("rep", "id").alias("a"), F.coalesce("title_rep", "rep", "id").alias("b")), "wire-named")
+    near = near_identical(df.where(F.col(id_col).isNotNull()), id_col, text_col).select("a", "b")
+    alike = similar_sets(written(titles.select(F.col("title_rep").alias("id"), "w"), "wire-titles"))
+    found = components(named.select("a", "b").distinct().unionByName(near).unionByName(alike))
+    placed = named.join(found, F.col("a") == F.col("node"), "left").select("id", F.coalesce("component", "a").alias("c"))
+    placed = written(placed, "wire-placed")
+    least = placed.groupBy("c").agg(F.min("id").alias("group"), F.count("*").alias("n")).where("n > 1")
+    return placed.join(least, "c", "left").select("id", "group")
+
+
 def time_score(gap_hours: Column) -> Column:
     """1 up to six hours apart, falling to 0 at thirty-six."""
     return F.when(gap_hours <= 6, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (gap_hours - 6) / 30.0))
@@ -106,11 +157,13 @@ def wire_attribution(groups: DataFrame) -> DataFrame:
     joined and have no origin; copies without credit are a copy group whose origin is the publisher if only one
     outlet has the full text (100 words); a single full text is its own report; others have none.
     """
-    per = groups.where("group IS NOT NULL").groupBy("group").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("credits")))).alias("all"),
+    copies = groups.where("group IS NOT NULL")
+    # distinct first: a group has a few agencies, however many reports carry them
+    credited = copies.select("group", F.explode("credits").alias("c")).distinct().groupBy("group").agg(F.array_sort(F.collect_list("c")).alias("all"))
+    per = copies.groupBy("group").agg(
         F.min("article").alias("lowest"), F.count_distinct(F.when(F.col("n_words") >= 100, F.col("publisher"))).alias("full"), F.min(F.when(F.col("n_words") >= 100, F.col("publisher"))).alias("only"),
     )
-    j = groups.join(per, "group", "left").withColumn("all", F.coalesce("all", "credits"))
+    j = groups.join(per, "group", "left").join(credited, "group", "left").withColumn("all", F.coalesce("all", "credits"))
     one = F.element_at("all", 1)
     wire = (
         F.when(F.size("all") == 1, F.concat(F.lit("wire:"), one)).when(F.size("all") > 1, F.concat(F.lit("wire:"), F.array_join("all", "+")))

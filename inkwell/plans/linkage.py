@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import containment, cosine_of_sets, dice, jaccard, shingles, words
-from ..operators.graph import components
-from ..operators.linkage import admitted, best_event, common_terms, credits, near_identical, override_links, shingle_rows, wire_attribution
+from ..operators.linkage import AGENCIES, admitted, best_event, common_terms, credits, near_identical, override_links, shingle_rows, wire_attribution, wire_classes
 from ..operators.storage import written
 from ..registry import query
 from ..sources.tables import articles, table
@@ -24,13 +23,29 @@ def near_dup_shingles(spark, sf_dir):
     return near_identical(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-@query()
+CREDITS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(left(text, 200)), '{p}') THEN '{name}' END" for name, p in sorted(AGENCIES.items())) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH RECURSIVE {S8},
+near AS (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.h = b.h AND a.id < b.id JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id GROUP BY 1, 2, na.n, nb.n HAVING count(*) >= 10 AND count(*) >= 0.8 * least(na.n, nb.n)),
+r AS (SELECT doc_id AS id, text, source, {W} AS w, {W.replace("(text)", "(regexp_extract(text, '^[^.!?" + chr(92) + "n]*'))")} AS tw, first_value(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS rep FROM documents),
+z AS (SELECT id, list_sort(list_distinct(tw)) AS ts FROM r WHERE len(tw) >= 5), zr AS (SELECT ts, min(id) AS id FROM z GROUP BY 1),
+links AS (SELECT r.id AS a, r.rep AS b FROM r JOIN n ON n.id = r.rep WHERE n.n >= 10 UNION SELECT z.id, zr.id FROM z JOIN zr USING (ts) UNION FROM near
+  UNION SELECT p.id, q.id FROM zr p JOIN zr q ON p.id < q.id WHERE len(list_intersect(p.ts, q.ts)) >= 0.9 * (len(p.ts) + len(q.ts) - len(list_intersect(p.ts, q.ts)))),
+e AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+grp AS (SELECT a AS id, least(a, min(b)) AS grp FROM reach GROUP BY a),
+x AS (SELECT r.id, source, len(w) AS n_words, {CREDITS} AS own, grp FROM r LEFT JOIN grp USING (id)),
+per AS (SELECT grp, count(DISTINCT source) FILTER (WHERE n_words >= 100) AS full_, min(source) FILTER (WHERE n_words >= 100) AS only_, list_sort(list_distinct(flatten(list(own)))) AS all_ FROM x WHERE grp IS NOT NULL GROUP BY 1),
+y AS (SELECT id, source, n_words, x.grp, full_, only_, CASE WHEN x.grp IS NULL THEN own ELSE all_ END AS names FROM x LEFT JOIN per ON per.grp = x.grp)
+SELECT id AS article, CASE WHEN len(names) > 0 THEN 'wire:' || array_to_string(names, '+') WHEN grp IS NOT NULL THEN 'copy:' || grp WHEN n_words >= 100 THEN 'report:' || id END AS wire,
+       CASE WHEN len(names) = 1 THEN 'agency:' || names[1] WHEN len(names) > 1 THEN NULL WHEN grp IS NOT NULL THEN CASE WHEN full_ = 1 THEN only_ ELSE 'unattributed:' || grp END WHEN n_words >= 100 THEN source END AS origin FROM y""")
 def wire_groups(spark, sf_dir):
-    """Classes of near-identical texts, and the wire and origin each report has."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    groups = components(near_identical(docs, "doc_id", "text"))
-    rows = docs.select(F.col("doc_id").alias("article"), F.col("source").alias("publisher"), credits(F.col("text")).alias("credits"), F.size(words(F.col("text"))).alias("n_words"))
-    return wire_attribution(rows.join(groups, F.col("article") == F.col("node"), "left").withColumnRenamed("component", "group").drop("node"))
+    """Classes of near-identical texts, exact copies among them, or titles, and the wire and origin each report has."""
+    docs = articles(spark, sf_dir)
+    rows = docs.select(F.col("id").alias("article"), F.col("source").alias("publisher"), credits(F.col("body")).alias("credits"), F.size(words(F.col("body"))).alias("n_words"))
+    groups = wire_classes(docs, "id", "body", "title")
+    return wire_attribution(rows.join(groups, F.col("article") == F.col("id"), "left").drop("id"))
 
 
 @query("""SELECT min(doc_id) AS keep, count(*)::BIGINT AS n FROM documents WHERE length(text) >= 400 GROUP BY sha256(text) HAVING count(*) > 1""")
