@@ -37,8 +37,6 @@ SLACK = 0.06
 DEVIATIONS = 4
 #: From this many fingerprints under one key, the group is cut once more before it is compared.
 DENSE = 4096
-#: Hashes (eight bytes each) of all sets together up to which the sets are broadcast; beyond, they are joined by shuffle.
-BROADCAST_HASHES = 4_000_000
 #: Keys with more rows than this are split: their rows are dealt to blocks of half as many, and every two blocks meet in a task of their own.
 HOT = 8192
 
@@ -304,36 +302,108 @@ def hamming_limit(similarity: float, bits: int) -> int:
     return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
 
 
-def group_pairs(keyed: DataFrame, lanes: list[str], limit: int, similarity: float, block: int = 256, hot: int = HOT) -> DataFrame:
-    """(key, id, label, n, lanes...) → (u, v): all pairs of each key's group within ``limit`` bits whose labels differ.
+def group_open(keyed: DataFrame, lanes: list[str], limit: int, similarity: float, block: int = 256, hot: int = HOT) -> DataFrame:
+    """(key, id, label, n, lanes...) → (key, id): the rows of each key's group that stand within ``limit`` bits of one of another label.
 
-    Sets whose sizes ``n`` are too far apart for the similarity make no pair.
-
-    Rows of the group's largest label are compared with the others only, so a group that is one
+    Sets whose sizes ``n`` are too far apart for the similarity stand apart. At most one row leaves for each that
+    comes: rows, never pairs. Rows of the group's largest label are compared with the others only, so a group that is one
     class but for a few rows costs little.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, (ids, labels, sizes_of, *cols) in _runs(it):
+        for key, (names, ids, labels, sizes_of, *cols) in _runs(it):
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(key)]]))
             sketch = np.stack([c.view(np.uint64) for c in cols], axis=1)
+            open_ = np.zeros(len(key), bool)
             for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-                label, sk, names, size = labels[s : s + n], sketch[s : s + n], ids[s : s + n], sizes_of[s : s + n]
+                label, sk, size = labels[s : s + n], sketch[s : s + n], sizes_of[s : s + n]
                 values, counts = np.unique(label, return_counts=True)
                 few = np.flatnonzero(label != values[counts.argmax()])
                 for i in range(0, len(few), block):
                     part = few[i : i + block]
                     apart = sum(np.bitwise_count(sk[part, k][:, None] ^ sk[None, :, k]).astype(np.int32) for k in range(sk.shape[1]))
-                    x, y = np.nonzero((apart <= limit) & (label[part][:, None] != label[None, :]))
-                    fits = np.minimum(size[part[x]], size[y]) >= similarity * np.maximum(size[part[x]], size[y])
-                    x, y = x[fits], y[fits]
-                    if len(x):
-                        u, v = names[part[x]], names[y]
-                        pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
-                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
-
-    dealt = split_hot(keyed.select("key", "id", "label", "n", *lanes), hot).repartition("key").sortWithinPartitions("key", "id")
+                    fits = np.minimum(size[part][:, None], size[None, :]) >= similarity * np.maximum(size[part][:, None], size[None, :])
+                    met = (apart <= limit) & (label[part][:, None] != label[None, :]) & fits
+                    open_[s + part[met.any(1)]] = True
+                    open_[s : s + n] |= met.any(0)
+            if open_.any():
+                yield pa.RecordBatch.from_arrays([pa.array(names[open_]), pa.array(ids[open_])], ["key", "id"])
+
+    rows = split_hot(keyed.select("key", F.col("key").alias("name"), "id", "label", "n", *lanes), hot)
+    dealt = rows.select("key", "name", "id", "label", "n", *lanes).repartition("key").sortWithinPartitions("key", "id")
+    return dealt.mapInArrow(batches, "key long, id long").distinct()
+
+
+def _linked(name: int, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], limit: int, similarity: float) -> list[tuple[int, int]]:
+    """Spanning links between a group's classes: pairs of different classes are compared by their sets, nearest sketches first.
+
+    Classes that a link joins are one from then on, so no pair inside a class is compared, and there are fewer links than rows. A pair that shares an
+    earlier routing key is left to that key's group.
+    """
+    root = {int(x): int(x) for x in labels}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    links = []
+    for i in range(len(ids) - 1):
+        mine = find(int(labels[i]))
+        apart = np.bitwise_count(sketch[i + 1 :] ^ sketch[i]).sum(1)
+        fits = np.minimum(sizes[i + 1 :], sizes[i]) >= similarity * np.maximum(sizes[i + 1 :], sizes[i])
+        near = np.flatnonzero((apart <= limit) & fits) + i + 1
+        if not len(near):
+            continue
+        near = near[keys[i, (keys[near] == keys[i]).argmax(1)] == np.uint64(name & 0xFFFFFFFFFFFFFFFF)]
+        for j in near[np.argsort(apart[near - i - 1], kind="stable")].tolist():
+            other = find(int(labels[j]))
+            if other == mine:
+                continue
+            a, b = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+            at = np.searchsorted(b, a)
+            at[at == len(b)] = 0
+            shared = int(np.count_nonzero(b[at] == a))
+            if shared >= similarity * (len(a) + len(b) - shared):
+                root[other] = mine
+                links.append((int(max(ids[i], ids[j])), int(min(ids[i], ids[j]))))
+    return links
+
+
+def group_linked(opened: DataFrame, lanes: list[str], limit: int, similarity: float, hot: int) -> DataFrame:
+    """(key, id, label, n, keys, hashes, lanes...) → (u, v): links with an exact Jaccard similarity of ``similarity`` or more that span the classes of each key's group.
+
+    The sets come to the group once a row, and what leaves is a link at most a row.
+    """
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        current = None
+
+        def links() -> Iterator[pa.RecordBatch]:
+            if len(group) > 1:
+                names, ids, labels, sizes, keys, sets, *cols = zip(*group)
+                made = _linked(names[0], np.array(ids), np.array(labels), np.array(sizes), np.ascontiguousarray(np.array(cols, np.int64).T).view(np.uint64), np.stack(keys), list(sets), limit, similarity)
+                if made:
+                    u, v = zip(*made)
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for b in in_parts(it, 200):
+            cols = [c.to_pylist() for c in (*b.columns[:5], *b.columns[7:])]
+            # sets are in the order of unsigned hashes
+            lists = [[x.values.to_numpy().view(np.uint64) for x in b.column(k)] for k in (5, 6)]
+            for k, (key, name, i, label, n, *lane) in enumerate(zip(*cols, strict=True)):
+                if key != current:
+                    yield from links()
+                    group.clear()
+                    current = key
+                group.append((name, i, label, n, lists[0][k], lists[1][k], *lane))
+        yield from links()
+
+    rows = split_hot(opened.select("key", F.col("key").alias("name"), "id", "label", "n", "keys", "hashes", *lanes), hot)
+    dealt = rows.select("key", "name", "id", "label", "n", "keys", "hashes", *lanes).repartition("key").sortWithinPartitions("key", "id")
     return dealt.mapInArrow(batches, "u long, v long").distinct()
 
 
@@ -353,13 +423,8 @@ def hash_sets(texts: DataFrame, width: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The (u, v) whose hash sets have an exact Jaccard similarity of ``similarity`` or more; sets are joined by pair.
-
-    The sets are compared in the JVM: a family of near copies has very many pairs, and none of their sets is copied to Python,
-    nor, while all sets are small together, through a shuffle for every pair.
-    """
-    few = (sets.agg(F.sum(F.size("hashes"))).first()[0] or 0) <= BROADCAST_HASHES
-    first, second = (sets.select(F.col("c").alias(n), F.col("hashes").alias(f"h{n}")).hint("broadcast" if few else "merge") for n in ("u", "v"))
+    """The (u, v) whose hash sets have an exact Jaccard similarity of ``similarity`` or more; sets are joined by pair, so pairs have to be few to a text."""
+    first, second = (sets.select(F.col("c").alias(n), F.col("hashes").alias(f"h{n}")).hint("merge") for n in ("u", "v"))
     met = pairs.join(first, "u").join(second, "v")
     p, q = F.size("hu"), F.size("hv")
     shared = F.when(F.least(p, q) >= similarity * F.greatest(p, q), F.size(F.array_intersect("hu", "hv"))).otherwise(-1)
@@ -372,8 +437,9 @@ def near_duplicate_classes(
     """(id, component): classes of texts that links of an exact Jaccard similarity of ``similarity`` or more join.
 
     Candidates share a routing key and are near by their sketches; each link is confirmed on the sets of
-    shingle hashes. Surely near texts are linked first by spanning links, then every candidate pair
-    that these leave in different classes is checked. Null and empty texts form one class of their
+    shingle hashes. Surely near texts are linked first by spanning links. Of what these leave in different classes, every
+    candidate pair is checked where both sets are: rows with an open candidate bring their set to the routing key that the
+    pair shares first, and only links that join two classes leave. Null and empty texts form one class of their
     own only with other texts without words. Rows with a null id are left out: no id tells them apart.
     ``hot`` bounds the rows of a routing key that meet in one task.
     """
@@ -393,8 +459,10 @@ def near_duplicate_classes(
     sure = group_links(again, parts, hamming_limit(min(1.0, similarity + slack), bits), chain=False, hot=hot).distinct()
     sure = materialize(confirmed(sure, sets, similarity), "sketch-sure")
     labels = materialize(some.select("c").join(components(sure), F.col("c") == F.col("node"), "left").select("c", F.coalesce("component", "c").alias("label")), "sketch-labels")
-    labelled = some.join(labels, "c").select(F.explode("keys").alias("key"), F.col("c").alias("id"), "label", "n", *parts)
-    more = materialize(confirmed(group_pairs(labelled, parts, wide, similarity, hot=hot), sets, similarity), "sketch-more")
+    labelled = materialize(some.join(labels, "c").select("c", "label", "n", "keys", *parts), "sketch-labelled")
+    met = group_open(labelled.select(F.explode("keys").alias("key"), F.col("c").alias("id"), "label", "n", *parts), parts, wide, similarity, hot=hot)
+    whole = labelled.join(sets, "c").select(F.col("c").alias("id"), "label", "n", "keys", "hashes", *parts)
+    more = materialize(group_linked(materialize(met, "sketch-open").join(whole, "id"), parts, wide, similarity, max(2, hot // 8)), "sketch-more")
     found = components(sure.unionByName(more)).select(F.col("node").alias("c"), F.col("component").alias("root"))
     rooted = materialize(classes.select("c", "node").join(found, "c", "left").withColumn("root", F.coalesce("root", "c")), "sketch-rooted")
     least = rooted.groupBy("root").agg(F.min("node").alias("component"))
