@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import cosine_of_sets, words
 from .graph import components
 from .storage import written
+from .windows import ordered_fold
 
 #: Words of a shingle, shingles two copies share at least, and their least containment.
 WIDTH, SHARED, CONTAINED = 8, 10, 0.8
@@ -189,3 +190,57 @@ def common_terms(terms: DataFrame, share: float = 0.05, least: int = 10) -> Data
     n = terms.agg(F.count_distinct("event").alias("n"))
     df = terms.groupBy("term").agg(F.count_distinct("event").alias("df"))
     return df.join(F.broadcast(n)).where((F.col("df") > share * F.col("n")) & (F.col("df") >= least)).select("term", "df")  # n is one row
+
+
+#: Characters and words of a report by which reprints are told, the least length of an equal start, and the overlap of reports of one title.
+HEAD, HEAD_WORDS, LEAST_HEAD, SAME_TITLE = 250, 80, 100, 0.65
+#: Reports of an event at most; representatives of an event.
+MEMBERS, REPRESENTATIVES = 10_000, 5
+
+
+def reprint_classes(reports: DataFrame, members: int = MEMBERS) -> DataFrame:
+    """(event, id, anchor): each report and the first report of its event, by id, that it reprints; itself if none.
+
+    Reports (event, id, title, text) are taken by id. One reprints an anchor if both begin with the same 250 characters (100 at least), or have
+    the same title and share over 0.65 of their first 80 words. Only reports that are no reprints are anchors. Texts are
+    compared in lower case, white space as single spaces; empty and null ones reprint nothing. A fold over each event in
+    order: it holds the starts of the event's anchors, which an event of more than ``members`` of them raises on.
+    """
+    plain = F.lower(F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")))
+    cut = reports.where(F.col("event").isNotNull()).select("event", "id", F.lower(F.btrim(F.coalesce("title", F.lit("")))).alias("t"), F.left(plain, F.lit(HEAD)).alias("head"), F.array_distinct(F.slice(F.split(plain, " "), 1, HEAD_WORDS)).alias("w"))
+
+    def step(state, row):
+        anchors, heads, titles = state if state else ({}, {}, {})
+        i, t, head, w = row
+        found = []
+        if head:
+            if len(head) >= LEAST_HEAD and head in heads:
+                found.append(heads[head])
+            for a in titles.get(t, ()):
+                both = len(anchors[a] & set(w))
+                if both > SAME_TITLE * (len(anchors[a]) + len(set(w)) - both):
+                    found.append(a)
+                    break
+        anchor = min(found, default=None)
+        if anchor is None:
+            anchor = i
+            if head:
+                if len(anchors) >= members:
+                    raise ValueError(f"an event has more than {members} reports that are no reprints")
+                anchors[i] = set(w)
+                heads.setdefault(head, i)
+                titles.setdefault(t, []).append(i)
+        return (anchors, heads, titles), (anchor,)
+
+    return ordered_fold(cut, ["event"], ["id"], ["id", "t", "head", "w"], step, None, "anchor long").select("event", "id", "anchor")
+
+
+def distinct_representatives(reports: DataFrame, most: int = REPRESENTATIVES) -> DataFrame:
+    """(event, place, id): the best report of each reprint class by ``quality``, ``most`` an event, best first.
+
+    Ties go to the earlier id inside a class, and to the class of the earlier anchor between classes. Ids have to be distinct.
+    """
+    classes = reprint_classes(reports).join(reports.select("id", "quality"), "id")
+    best = classes.groupBy("event", "anchor").agg(F.max_by(F.struct("id", "quality"), F.struct("quality", (-F.col("id")).alias("i"))).alias("b"))
+    place = F.row_number().over(Window.partitionBy("event").orderBy(F.desc("b.quality"), "anchor"))
+    return best.withColumn("place", place).where(F.col("place") <= most).select("event", "place", F.col("b.id").alias("id"))

@@ -169,10 +169,34 @@ def event_feed_summary(spark, sf_dir):
 
 @query("SELECT l_orderkey AS event, arg_max(l_linenumber, (l_extendedprice, -l_linenumber))::INT AS representative FROM lineitem GROUP BY 1")
 def representatives(spark, sf_dir):
-    """The best report of each event."""
+    """The best report of each event."""
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("event")).agg(F.max_by("l_linenumber", F.struct("l_extendedprice", -F.col("l_linenumber"))).alias("representative"))
 
 
+def document_events(spark, sf_dir):
+    """Documents as reports (event, id, title, text, quality): fifty successive ones are an event; near copies stand in it with what they copy, as each comes a second time with another title."""
+    d = articles(spark, sf_dir).select(F.expr("id div 50").alias("event"), "id", "title", F.col("body").alias("text"), F.least(F.lit(300), F.expr("length(body) div 10")).cast("long").alias("quality"))
+    again = d.where("id % 3 = 0").select("event", (-F.col("id") - 1).alias("id"), F.concat(F.lit("again "), "title").alias("title"), "text", (F.col("quality") + F.col("id") % 2).alias("quality"))
+    return d.unionByName(again)
+
+
+@query(r"""WITH d AS (SELECT doc_id // 50 AS event, doc_id AS id, regexp_extract(text, '^[^.!?\n]*') AS title, text, least(300, length(text) // 10)::BIGINT AS quality FROM documents),
+r AS (SELECT * FROM d UNION ALL SELECT event, -id - 1, 'again ' || title, text, quality + id % 2 FROM d WHERE id % 3 = 0),
+n AS (SELECT *, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS p, lower(trim(title)) AS t FROM r WHERE event IS NOT NULL),
+m AS (SELECT *, left(p, 250) AS head, list_distinct(string_split(p, ' ')[1:80]) AS w FROM n),
+e AS (SELECT a.event, a.id AS a, b.id AS b FROM m a JOIN m b ON a.event = b.event AND a.id < b.id WHERE a.p <> '' AND b.p <> '' AND ((length(a.head) >= 100 AND a.head = b.head) OR (a.t = b.t AND len(list_intersect(a.w, b.w)) > 0.65 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))))),
+x AS (SELECT count(*) AS n FROM e JOIN e f ON e.b = f.b AND e.a < f.a LEFT JOIN e g ON g.a = e.a AND g.b = f.a WHERE g.a IS NULL),
+c AS (SELECT event, b AS id, min(a) AS anchor FROM e GROUP BY 1, 2),
+k AS (SELECT m.event, m.id, m.quality, coalesce(anchor, m.id) AS anchor FROM m LEFT JOIN c ON c.id = m.id),
+best AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY event, anchor ORDER BY quality DESC, id) = 1)
+SELECT event, row_number() OVER (PARTITION BY event ORDER BY quality DESC, anchor)::INT AS place, id FROM best QUALIFY place <= 5""")
+def event_representatives(spark, sf_dir):
+    """Two to five reports of each event that are no reprints of each other, best first. The SQL takes reprints as an equivalence, which they are here; tests hold the greedy rule."""
+    from ..operators.linkage import distinct_representatives
+
+    return distinct_representatives(document_events(spark, sf_dir))
+
+
 @query(f"""WITH t AS (SELECT doc_id, {W} AS w FROM documents) SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(1, len(w) - 6)), lambda i: array_to_string(list_slice(w, i, i + 7), ' '))))::INT AS n FROM t""")
 def shingle_counts(spark, sf_dir):
     """Distinct eight-word shingles of each document."""

@@ -103,6 +103,22 @@ def due_fetches(spark, sf_dir):
     return due.withColumn("n", n).where("n <= 2").select("event_id")
 
 
+@query("""WITH e AS (SELECT event_id AS feed, event_id % 7 AS fetcher, user_id % 40 AS host, epoch(ts)::BIGINT AS due, event_type, CASE WHEN event_id % 11 = 0 THEN epoch(ts)::BIGINT + 864000 END AS retry_at FROM events),
+w AS (SELECT fetcher, host, max(due + 3600 * (1 + feed % 400)) AS until FROM e WHERE event_type = 'error' AND due <= 1704844800 GROUP BY 1, 2),
+o AS (SELECT e.* FROM e LEFT JOIN w USING (fetcher, host) WHERE due <= 1704844800 AND coalesce(until, 0) <= 1704844800 AND coalesce(retry_at, 0) <= 1704844800),
+h AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY fetcher, host ORDER BY due, feed) <= 2)
+SELECT fetcher, feed, row_number() OVER (PARTITION BY fetcher ORDER BY due, feed)::INT AS place FROM h QUALIFY place <= 6""")
+def fetch_waves(spark, sf_dir):
+    """What seven fetchers start at once: two a host, six in all, without hosts that cool down and feeds that wait."""
+    from ..operators import fetching
+
+    now = 1_704_844_800
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("feed"), (F.col("event_id") % 7).alias("fetcher"), (F.col("user_id") % 40).alias("host"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("due"), "event_type")
+    refused = e.where(f"event_type = 'error' AND due <= {now}").select("fetcher", "host", F.col("due").alias("at"), (3600 * (1 + F.col("feed") % 400)).alias("wait"))
+    feeds = e.withColumn("retry_at", F.when(F.col("feed") % 11 == 0, F.col("due") + 864_000))
+    return fetching.fetch_waves(feeds, fetching.cooldowns(refused), now)
+
+
 @query(r"""SELECT doc_id AS id, '---' || chr(10) || 'source: "' || source || '"' || chr(10) || 'lang: "' || lang || '"' || chr(10) || '---' || chr(10) || chr(10) || '# ' || regexp_extract(text, '^[^.!?\n]*') || chr(10) || chr(10) || text || chr(10) AS markdown FROM documents""")
 def markdown_export(spark, sf_dir):
     """Articles as Markdown with front matter."""
