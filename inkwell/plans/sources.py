@@ -44,6 +44,43 @@ def json_feed_items(spark, sf_dir):
     return json_items(feeds, "body").select("guid", "feed", "description")
 
 
+PLAIN = r"trim(regexp_replace(regexp_replace({}, '[^\\p{{L}}\\p{{N}} ]', ' ', 'g'), ' +', ' ', 'g'), ' ')"
+
+
+def made_feeds(spark, sf_dir):
+    """(feed_no, kind, body): feeds of ten documents each as bytes: RSS in UTF-8, RDF, Atom with a base address, and RSS whose letters were read as Windows-1252 once."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 10").alias("feed_no"), F.btrim(F.regexp_replace(F.regexp_replace("text", r"[^\p{L}\p{N} ]", " "), " +", " ")).alias("text"), F.regexp_replace("source", r"[^\p{L}\p{N}]", "").alias("source"))
+    d = d.where("text <> ''").withColumn("kind", F.expr("feed_no % 4"))
+    number = F.col("doc_id").cast("string")
+    tag = lambda n, c, more="": F.concat(F.lit(f"<{n}{more}>"), c, F.lit(f"</{n}>"))
+    media = F.concat(F.lit('<media:group><media:content url="small.jpg" width="10"/><media:content url="big'), number, F.lit('.jpg" width="200%"/><media:content url="wide'), number, F.lit('.jpg" width="300"/></media:group><vendor:x xmlns:vendor="urn:v"><title>not this</title></vendor:x>'))
+    broken = lambda c: F.when(F.col("kind") == 3, F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")).otherwise(c)
+    rss = F.concat(F.lit("<item>"), tag("guid", number, ' isPermaLink="false"'), tag("title", broken(F.left("text", F.lit(80)))), tag("link", F.concat(F.lit("/a/"), number)), media, tag("dc:creator", F.concat(F.lit("By "), "source")), tag("content:encoded", F.col("text")), F.lit("</item>"))
+    atom = F.concat(F.lit("<entry>"), tag("id", number), F.lit("<source><title>other</title></source>"), tag("title", F.left("text", F.lit(80))), F.lit('<link rel="self" href="/s"/><link href="../a/'), number, F.lit('"/>'), media, tag("author", tag("name", F.col("source"))), tag("content", F.concat(F.lit('<p xmlns="http://www.w3.org/1999/xhtml">'), "text", F.lit("</p>")), ' type="xhtml"'), F.lit("</entry>"))
+    spaces = ' xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:content="http://purl.org/rss/1.0/modules/content/" xmlns:media="http://search.yahoo.com/mrss/"'
+    item = F.when(F.col("kind") == 2, atom).otherwise(rss)
+    each = d.select("feed_no", "kind", "doc_id", item.alias("item"))
+    # ten items a feed at most
+    grouped = each.groupBy("feed_no", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "item"))), lambda x: x["item"]), "").alias("items"))
+    name = F.concat(F.lit("<title>feed "), F.col("feed_no").cast("string"), F.lit("</title>"))
+    body = (
+        F.when(F.col("kind") == 1, F.concat(F.lit(f'<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/"{spaces}><channel>'), name, F.lit("</channel>"), "items", F.lit("</rdf:RDF>")))
+        .when(F.col("kind") == 2, F.concat(F.lit(f'<feed xmlns="http://www.w3.org/2005/Atom" xml:base="https://f.example/deep/feed/"{spaces}>'), name, "items", F.lit("</feed>")))
+        .otherwise(F.concat(F.lit(f'<?xml version="1.0"?><rss version="2.0"{spaces}><channel>'), name, "items", F.lit("</channel></rss>")))
+    )
+    return grouped.select("feed_no", "kind", F.encode(body, "UTF-8").alias("body"), F.lit("https://f.example/deep/index.xml").alias("address"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, doc_id // 10 AS feed_no, {PLAIN.format("text")} AS text, regexp_replace(source, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS source FROM documents), k AS (SELECT *, feed_no % 4 AS kind FROM d WHERE text <> '')
+SELECT doc_id::VARCHAR AS guid, 'feed ' || feed_no AS feed, trim(left(text, 80), ' ') AS title, CASE WHEN kind = 2 THEN 'https://f.example/deep/a/' ELSE 'https://f.example/a/' END || doc_id AS link, CASE WHEN kind = 2 THEN '<p>' || text || '</p>' ELSE text END AS content, source AS author,
+       CASE WHEN kind = 2 THEN 'https://f.example/deep/feed/wide' ELSE 'https://f.example/deep/wide' END || doc_id || '.jpg' AS image FROM k""".replace("\\\\", "\\"))
+def feed_items(spark, sf_dir):
+    """Whole documents through RSS, RDF and Atom as bytes: namespaces, base addresses, media groups, foreign elements, repaired letters."""
+    from ..sources.xmlfeeds import parsed_feeds
+
+    return parsed_feeds(made_feeds(spark, sf_dir), "feed_no", "body", "address").select("guid", "feed", "title", "link", "content", "author", "image")
+
+
 @query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE 'user ' || user_id END AS author FROM events")
 def bylines(spark, sf_dir):
     """authors' names as feeds write them."""
@@ -87,6 +124,18 @@ def jsonld_bodies(spark, sf_dir):
     return d.select("doc_id", F.get(structured_bodies(page), 0).alias("body"))
 
 
+@query("""WITH d AS (SELECT doc_id, text FROM documents WHERE text NOT LIKE '%<%' AND length(text) > 0)
+SELECT doc_id, CASE WHEN length(text) >= 600 AND contains(text, '. ') THEN text ELSE 'teaser' END AS body FROM d""")
+def page_state_bodies(spark, sf_dir):
+    """Bodies from script state, deep in it, where JSON-LD has but a teaser; the pages are made from documents."""
+    from ..sources.hydration import page_bodies
+
+    d = table(spark, sf_dir, "documents").where("text NOT LIKE '%<%' AND length(text) > 0")
+    state = F.to_json(F.struct(F.struct(F.struct(F.array(F.struct(F.lit("x").alias("body"), F.col("text").alias("contentHtml"))).alias("blocks"), F.lit(1).alias("n")).alias("page")).alias("props")))
+    page = F.concat(F.lit('<html><script type="application/ld+json">{"articleBody": "teaser"}</script><script id="__NEXT_DATA__" type="application/json">'), state, F.lit("</script></html>"))
+    return page_bodies(d.select("doc_id", page.alias("html")), "doc_id", "html").select(F.col("id").alias("doc_id"), "body")
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_rows(spark, sf_dir):
     """A JSON column's members as rows."""
