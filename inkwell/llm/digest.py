@@ -50,19 +50,32 @@ def shared_digests(forms: DataFrame) -> DataFrame:
     return forms.groupBy("digest").agg(F.count("*").alias("n_forms")).where("n_forms > 1").select("digest")
 
 
+def _long(x: int) -> str:
+    return f"CAST('{x}' AS BIGINT)"
+
+
+def id_range(df: DataFrame, id_col: str, carried: list[str]):
+    """The range of each row of ``df``, in the order of its id; negative for rows without one."""
+    low, high, *inner = df.agg(F.min(id_col), F.max(id_col), F.percentile_approx(id_col, [0.001, 0.999], 10_000)).first()
+    low, high, (a, b) = low or 0, high or 0, (inner[0] or (0, 0))
+    part = MAX_RANGES // 4
+    # In decimals: ids may span all 64 bits. The middle holds all but a few thousandths of the rows, in half of the ranges,
+    # so a few ids far away leave the others' ranges narrow.
+    cut = lambda first, last, ranges, at: f"{at} + CAST((CAST({id_col} AS DECIMAL(20, 0)) - {first}BD) div {max(MIN_WIDTH, (last - first) // (ranges - 1) + 1)}BD AS BIGINT)"
+    middle = F.expr(f"CASE WHEN {id_col} < {_long(a)} THEN {cut(low, a, part, 0)} WHEN {id_col} <= {_long(b)} THEN {cut(a, b, 2 * part, part)} ELSE {cut(b, high, part, 3 * part)} END")
+    return F.coalesce(middle, -1 - F.pmod(F.xxhash64(*carried), F.lit(NULL_RANGES)))
+
+
 def successor(df: DataFrame, id_col: str, carried: list[str], prefix: str = "next_") -> DataFrame:
     """Add ``prefix + c`` for each carried column: its value in the next row by descending id.
 
-    After the last row comes the first. Ids are cut into ranges of equal width; a window runs inside
-    each range, and the first row of a range is copied into the range before it, so no row waits for
+    After the last row comes the first. Ids are cut into ranges, of equal width between the outer thousandths of
+    the ids and of others beyond; a window runs inside each range, and the first row of a range is copied into the range before it, so no row waits for
     another partition. The range table has MAX_RANGES rows at most, which bounds the broadcast.
     Equal ids follow each other in the order of their carried values; rows without an id come last,
     in NULL_RANGES ranges of a hash of their values.
     """
-    bounds = df.agg(F.min(id_col), F.max(id_col)).first()
-    low, high = (bounds[0] or 0, bounds[1] or 0)
-    width = max(MIN_WIDTH, (high - low) // (MAX_RANGES - 2) + 1)
-    ranged = df.withColumn("_range", F.coalesce(F.expr(f"({id_col} - {low}L) div {width}L"), -1 - F.pmod(F.xxhash64(*carried), F.lit(NULL_RANGES))))
+    ranged = df.withColumn("_range", id_range(df, id_col, carried))
     rank = [F.desc_nulls_last(id_col), *(F.asc_nulls_first(c) for c in carried)]
     heads = ranged.groupBy("_range").agg(F.max(id_col).alias("_head"))
     order = Window.orderBy(F.desc("_range"))

@@ -130,9 +130,16 @@ def scan(text: str, found: ahocorasick.Automaton) -> dict:
     words = raw.translate(_FOLD).split()
     line = (b" " + b" ".join(words) + b" ").decode("latin-1")
     places, base, more = [], set(), set()
+    counted = place = 0  # words that start before the character ``counted``
     for end, (kind, label, length) in found.iter(line):
         if kind == "base":
-            places.append(line.count(" ", 0, end - length + 1))
+            start = end - length + 1
+            if start >= counted:
+                place += line.count(" ", counted, start)
+                counted, here = start, place
+            else:  # a longer phrase that began before
+                here = place - line.count(" ", start, counted)
+            places.append(here)
             base.add(label)
         else:
             more.add(label)

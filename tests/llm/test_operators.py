@@ -438,3 +438,38 @@ def test_ids_are_integers(spark):
 
 def test_frame_with_nulls_everywhere_is_kept(frame):
     assert frame.where(F.col("text").isNull()).count() == 1
+
+
+def test_places_of_very_many_phrases_are_counted_forward():
+    """As many places as the words give, in a time that grows with the text."""
+    import time
+
+    from inkwell.llm.licenses import automaton, scan
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        got = scan("cc by nc " * n, automaton())
+        took.append(time.perf_counter() - began)
+        assert got["places"] == list(range(0, 3 * n, 3)) and got["n_words"] == 3 * n
+    assert took[1] < 8 * took[0] + 0.5
+    mixed = scan("x under the mit license by cc by nc " * 50, automaton())
+    assert sorted(mixed["places"]) == sorted(p for k in range(50) for p in (9 * k + 1, 9 * k + 6))
+
+
+def test_successors_of_ids_over_all_64_bits(spark):
+    from inkwell.llm.digest import successor
+
+    ids = [-(2**63) + 5, -3, 0, 3, 2**62, 2**63 - 1]
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    got = {r.doc_id: r.next_text for r in successor(df, "doc_id", ["text"]).collect()}
+    assert got == {i: f"t{k - 1 if k else len(ids) - 1}" for k, i in enumerate(ids)}
+
+
+def test_a_far_id_leaves_the_ranges_narrow(spark):
+    from inkwell.llm.digest import id_range, successor
+
+    df = spark.createDataFrame([(k, "x") for k in [*range(20_000), 2**62, -(2**61)]], "doc_id long, text string")
+    dealt = df.groupBy(id_range(df, "doc_id", ["text"]).alias("r")).agg(F.count("*").alias("n"), F.min("doc_id").alias("low"))
+    assert dealt.agg(F.max("n")).first()[0] <= 1000 and successor(df, "doc_id", ["text"]).count() == 20_002
+    assert [r.low for r in dealt.orderBy("r").collect()] == sorted(r.low for r in dealt.collect())
