@@ -39,8 +39,11 @@ FIT_PASSES = 60
 #: Least mean probability of the decoded tags over a span that the network adds.
 SURE = 0.9
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
+#: An address in two parts: a run of these characters up to an at sign, and what follows the run.
+_RUN = re.compile(r"[A-Za-z0-9._%+-]+")
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+#: A match that starts inside a run of digits would start at its first digit too, so only these are tried.
+_IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SECRET = re.compile(r"""(?i)\b(?:token|secret|password|passwd|key)["']?\s*[:=]\s*["']?([A-Za-z0-9+/_.-]{16,})""")
@@ -61,11 +64,25 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if c in "0123456789")
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the leftmost non-overlapping matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, in a time that grows with the text.
+
+    What comes before an at sign is a whole run of its characters, or what an address before it left of the run.
+    """
+    out, free = [], 0
+    for run in _RUN.finditer(text):
+        start, at = max(run.start(), free), run.end()
+        if start < at and text.startswith("@", at) and (domain := _DOMAIN.match(text, at)):
+            free = domain.end()
+            out.append((start, free))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns, by start then kind; matches that fail their check are dropped."""
     if not _TRIGGER.search(text):
         return []
-    out = [(m.start(), 0, m.end()) for m in _EMAIL.finditer(text)] if "@" in text else []
+    out = [(s, 0, e) for s, e in addresses(text)] if "@" in text else []
     for m in _IP.finditer(text):
         if all(len(g := x.lstrip("0")) <= 3 and int(g or 0) <= 255 for x in m.groups()):
             out.append((m.start(), 1, m.end()))

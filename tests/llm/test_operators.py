@@ -473,3 +473,22 @@ def test_a_far_id_leaves_the_ranges_narrow(spark):
     dealt = df.groupBy(id_range(df, "doc_id", ["text"]).alias("r")).agg(F.count("*").alias("n"), F.min("doc_id").alias("low"))
     assert dealt.agg(F.max("n")).first()[0] <= 1000 and successor(df, "doc_id", ["text"]).count() == 20_002
     assert [r.low for r in dealt.orderBy("r").collect()] == sorted(r.low for r in dealt.collect())
+
+
+def test_long_runs_are_matched_in_their_length():
+    """A megabyte of digits, or of letters with an at sign elsewhere, takes seconds, and spans are those of the plain patterns."""
+    import time
+
+    from inkwell.llm.pii import _IP, addresses, base_spans
+
+    began = time.perf_counter()
+    assert base_spans("7" * 1_000_000) == [] and base_spans("a" * 1_000_000 + " @ 1") == [] and base_spans("1." * 300_000 + "@x") != []
+    assert time.perf_counter() - began < 5
+    r = random.Random(16)
+    plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    dotted = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
+    for alphabet in ("ab@.-_ ", "a@.", "a@._%", "1.2 a", "1."):
+        for _ in range(3000):
+            t = "".join(r.choice(alphabet) for _ in range(r.randint(0, 40)))
+            assert addresses(t) == [m.span() for m in plain.finditer(t)], t
+            assert [m.span() for m in _IP.finditer(t)] == [m.span() for m in dotted.finditer(t)], t
