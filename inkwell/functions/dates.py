@@ -33,7 +33,7 @@ def retry_seconds(header: Column, now: Column) -> Column:
     """Retry-After as seconds from now: a number, or an HTTP date; null where neither or past."""
     number = F.when(F.btrim(header).rlike(r"^\d{1,9}$"), F.btrim(header).try_cast("long"))
     until = F.unix_timestamp(feed_date(header)) - F.unix_timestamp(now)
-    return F.coalesce(number, F.when(until > 0, until))
+    return F.coalesce(number, F.nullif(F.greatest(until, F.lit(0)), F.lit(0)))
 
 
 def backoff_seconds(failures: Column) -> Column:

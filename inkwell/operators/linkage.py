@@ -61,8 +61,8 @@ def similar_sets(sets: DataFrame, similar: float = TITLE_SIMILAR) -> DataFrame:
     Two such sets share one of the n - ceil(similar n) + 1 rarest words of the smaller, which are the only ones that
     seek partners, and only among sets of a fitting size: a word that stands in very many sets hardly ever is one of them.
     """
-    n = F.size("w")
-    rows = sets.select("id", "w", n.alias("n"), F.explode("w").alias("x"))
+    sets = sets.select("id", "w")
+    rows = sets.select("id", "w", F.size("w").alias("n"), F.explode("w").alias("x"))
     known = written(rows.groupBy("x").agg(F.count("*").alias("k")).where("k > 1"), "set-words")
     met = rows.join(known, "x")
     alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))

@@ -64,13 +64,17 @@ def hash_sample(spark, sf_dir):
     return stratified_sample(table(spark, sf_dir, "documents").select("lang", "doc_id"), ["lang"], "doc_id", 5, "s").select("lang", "doc_id")
 
 
-@query()
+UNIT = "(('0x' || left(sha256('{}|' || c_custkey || '|' || k), 13))::BIGINT / 4503599627370496.0)"
+
+
+@query(f"""WITH r AS (SELECT c_custkey, k, c_custkey % 50 AS m FROM customer, range(0, 12) t(k)) SELECT c_custkey AS event, k::INT AS k, floor({UNIT.format("fixture")} * 20)::BIGINT AS publisher, floor({UNIT.format("time")} * CASE WHEN m < 20 THEN 3600 WHEN m < 35 THEN 86400 ELSE 1800 END)::BIGINT AS at_,
+       CASE WHEN m < 20 THEN 'breaking' WHEN m < 35 THEN 'weekend' ELSE 'syndication' END AS scenario FROM r""")
 def synthetic_reports(spark, sf_dir):
-    """Q8: reproducible reports of fifty event windows, from hashes."""
-    r = spark.range(50).select(F.col("id").alias("event"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"))
-    burst = F.when(F.col("event") < 20, 3600).when(F.col("event") < 35, 86_400).otherwise(1800)
+    """Q8: twelve reproducible reports for each customer as an event, from hashes, in three scenarios."""
+    r = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("event"), (F.col("c_custkey") % 50).alias("m"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"))
+    burst = F.when(F.col("m") < 20, 3600).when(F.col("m") < 35, 86_400).otherwise(1800)
     u = random_unit("fixture", F.col("event"), F.col("k"))
-    return r.select("event", "k", F.floor(u * 20).alias("publisher"), F.floor(random_unit("time", F.col("event"), F.col("k")) * burst).alias("at_"), F.when(F.col("event") < 20, "breaking").when(F.col("event") < 35, "weekend").otherwise("syndication").alias("scenario"))
+    return r.select("event", "k", F.floor(u * 20).alias("publisher"), F.floor(random_unit("time", F.col("event"), F.col("k")) * burst).alias("at_"), F.when(F.col("m") < 20, "breaking").when(F.col("m") < 35, "weekend").otherwise("syndication").alias("scenario"))
 
 
 @query("SELECT user_id, round((count(*) FILTER (WHERE event_type = 'purchase')) / nullif(count(*) FILTER (WHERE event_type = 'view'), 0), 6) AS discovery, round((count(*) FILTER (WHERE event_type = 'view')) / count(*), 6) AS exposure FROM events GROUP BY 1")

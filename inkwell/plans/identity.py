@@ -71,14 +71,20 @@ def token_estimates(spark, sf_dir):
     return d.select("conv_id", "turn", token_estimate(F.col("text")).alias("tokens"), F.size(sentences(F.col("text"))).alias("sentences"), F.array_join(digits_for_number_words(words(F.col("text"))), " ").alias("normal"))
 
 
-DATES = ["Fri, 30 Oct 2026 10:00:00 GMT", "30 Oct 26 10:00 +0200", "2026-10-30T10:00:00Z", "2026-10-30T10:00:00.250+01:00", "Oct 30, 2026", "2026-10-30", "Mon, 30 Oct 2026 10:00:00 CET", "soon"]
+#: How feeds write a time, by number: Spark's pattern, what follows it, and how far from UTC it is.
+WRITTEN = (
+    ("'Fri, 'dd MMM yyyy HH:mm:ss", " GMT", 0), ("d MMM yy HH:mm", " +0200", 7200), ("yyyy-MM-dd'T'HH:mm:ss", "Z", 0), ("yyyy-MM-dd'T'HH:mm:ss'.250'", "+01:00", 3600), ("MMM d, yyyy", "", None),
+    ("yyyy-MM-dd", "", None), ("'Mon, 'd MMM yyyy HH:mm:ss", " CET", 3600), ("'soon'", "", None), ("d-MMM-yyyy HH:mm:ss", " -0500", -18000), ("yyyy-MM-dd HH:mm:ss", "", 0), ("d MMM yyyy", "", None),
+)
 
 
-@query("""SELECT * FROM (VALUES (0, 1793354400), (1, 1793347200), (2, 1793354400), (3, 1793350800), (4, 1793318400), (5, 1793318400), (6, 1793350800), (7, NULL)) t(k, at_)""")
+@query("""WITH e AS (SELECT event_id, epoch(date_trunc('minute', ts))::BIGINT AS at_, (event_id % 11)::INT AS k FROM events)
+SELECT event_id, CASE WHEN k = 7 THEN NULL WHEN k IN (4, 5, 10) THEN at_ - at_ % 86400 ELSE at_ - [0, 7200, 0, 3600, 0, 0, 3600, 0, -18000, 0, 0][k + 1] END AS at_ FROM e""")
 def feed_dates(spark, sf_dir):
-    """Dates as feeds write them."""
-    rows = spark.createDataFrame(list(enumerate(DATES)), "k int, raw string")
-    return rows.select("k", F.unix_seconds(feed_date(F.col("raw"))).alias("at_"))
+    """The times of events as feeds write them, in eleven ways by the event's number, read back."""
+    e = table(spark, sf_dir, "events").select("event_id", F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("t"), (F.col("event_id") % len(WRITTEN)).alias("k"))
+    raw = F.coalesce(*(F.when(F.col("k") == k, F.concat(F.date_format("t", p), F.lit(end))) for k, (p, end, _) in enumerate(WRITTEN)))
+    return e.select("event_id", F.unix_seconds(feed_date(raw)).alias("at_"))
 
 
 @query("SELECT user_id, least(21600, 600 * pow(2, least(n, 40) - 1))::BIGINT AS wait FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1)")
@@ -88,11 +94,15 @@ def backoff(spark, sf_dir):
     return n.select("user_id", backoff_seconds(F.col("n")).alias("wait"))
 
 
-@query("SELECT * FROM (VALUES (0, 120), (1, 3600), (2, NULL)) t(k, wait)")
+@query("""WITH e AS (SELECT event_id, epoch(date_trunc('minute', ts))::BIGINT AS at_ FROM events)
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id % 5000 WHEN 1 THEN CASE WHEN event_id % 3 > 0 THEN 600 * (event_id % 3) END WHEN 2 THEN NULL ELSE 90 END::BIGINT AS wait FROM e""")
 def retry_after(spark, sf_dir):
-    """Seconds, an HTTP date, neither."""
-    rows = spark.createDataFrame([(0, "120"), (1, "Fri, 30 Oct 2026 11:00:00 GMT"), (2, "later")], "k int, header string")
-    return rows.select("k", retry_seconds(F.col("header"), F.lit("2026-10-30 10:00:00").cast("timestamp")).alias("wait"))
+    """What events' answers ask to wait: seconds, an HTTP date ahead or past, neither."""
+    e = table(spark, sf_dir, "events").select("event_id", F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("t"))
+    k = F.col("event_id") % 4
+    until = F.date_format(F.timestamp_seconds(F.unix_seconds("t") + 600 * (F.col("event_id") % 3)), "'Fri, 'dd MMM yyyy HH:mm:ss' GMT'")
+    header = F.when(k == 0, (F.col("event_id") % 5000).cast("string")).when(k == 1, until).when(k == 2, "later").otherwise(" 90 ")
+    return e.select("event_id", "t", header.alias("header")).select("event_id", retry_seconds(F.col("header"), F.col("t")).alias("wait"))
 
 
 @query(r"""SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, length(props)::INT AS n, position('k' IN props)::INT AS at_ FROM events""")

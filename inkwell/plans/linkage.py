@@ -67,18 +67,22 @@ def publisher_title_window_dedup(spark, sf_dir):
     return a.withColumn("before", before).where("before IS NULL OR published - before > 43200").select(F.col("id").alias("doc_id"))
 
 
-PAIRS = r"""a AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(regexp_extract(text, '^[^.!?\n]*')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents), p AS (SELECT a.id AS a, b.id AS b, list_distinct(a.w) AS x, list_distinct(b.w) AS y FROM a JOIN a b ON b.id = a.id + 8 WHERE len(a.w) > 0 AND len(b.w) > 0),
-q AS (SELECT *, len(list_intersect(x, y)) AS i FROM p)"""
+PAIRS = r"""a AS (SELECT doc_id AS id, list_sort(list_distinct(list_filter(string_split_regex(lower(regexp_extract(text, '^[^.!?\n]*')), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS w FROM documents), t AS (SELECT min(id) AS id, w FROM a WHERE len(w) > 0 GROUP BY w),
+q AS (SELECT a.id AS a, b.id AS b, a.w AS x, b.w AS y, len(list_intersect(a.w, b.w)) AS i FROM t a JOIN t b ON a.id < b.id)"""
 
 
-@query(f"WITH {PAIRS} SELECT a, b, round(i / (len(x) + len(y) - i), 6) AS jaccard, round(i / least(len(x), len(y)), 6) AS contained, round(2 * i / (len(x) + len(y)), 6) AS dice, round(i / sqrt(len(x) * len(y)), 6) AS cosine FROM q")
+@query(f"WITH {PAIRS} SELECT a, b, round(i / (len(x) + len(y) - i), 6) AS jaccard, round(i / least(len(x), len(y)), 6) AS contained, round(2 * i / (len(x) + len(y)), 6) AS dice, round(i / sqrt(len(x) * len(y)), 6) AS cosine FROM q WHERE i >= 0.4 * (len(x) + len(y) - i)")
 def title_jaccard(spark, sf_dir):
-    """Similarities of titles eight rows apart."""
-    a = articles(spark, sf_dir).select("id", F.array_distinct(words(F.col("title"))).alias("w")).where(F.size("w") > 0)
-    p = a.alias("a").join(a.alias("b"), F.col("b.id") == F.col("a.id") + 8)
-    x, y = F.col("a.w"), F.col("b.w")
+    """Similarities of all titles that share 0.4 of their words; titles of the same words are represented by the smallest id."""
+    from ..operators.linkage import similar_sets
+
+    titles = articles(spark, sf_dir).select("id", F.array_sort(F.array_distinct(words(F.col("title")))).alias("w")).where(F.size("w") > 0)
+    one = written(titles.groupBy("w").agg(F.min("id").alias("id")), "titles")
+    side = lambda n: one.select(F.col("id").alias(n), F.col("w").alias(f"w{n}"))
+    p = similar_sets(one, 0.4).join(side("a"), "a").join(side("b"), "b")
+    x, y = F.col("wa"), F.col("wb")
     made = {"jaccard": jaccard(x, y), "contained": containment(x, y), "dice": dice(x, y), "cosine": cosine_of_sets(x, y)}
-    return p.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), *(F.round(c, 6).alias(n) for n, c in made.items()))
+    return p.select("a", "b", *(F.round(c, 6).alias(n) for n, c in made.items()))
 
 
 @query(f"""WITH t AS (SELECT doc_id AS id, {W} AS w FROM documents), b AS (SELECT item_id, {W} AS w FROM benchmark),

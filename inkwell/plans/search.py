@@ -169,6 +169,24 @@ def blocking_candidates(spark, sf_dir):
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 3")
 
 
+TERM_WORDS = r"list_filter(string_split_regex(regexp_extract(text, '^[^.!?\n]*'), '[^\p{L}\p{N}]+'), lambda w: length(w) >= 4 AND regexp_matches(w, '\p{L}'))"
+
+
+@query(rf"""WITH d AS (SELECT doc_id AS id, doc_id * 600 AS at_, CASE WHEN doc_id % 9 > 0 THEN lang END AS lang, CASE WHEN doc_id % 3 = 0 THEN doc_id * 600 - (doc_id % 7) * 90000 END AS active, {WORDS} AS w, {TERM_WORDS} AS h FROM documents),
+u AS (SELECT *, list_transform(list_concat(list_filter(h, lambda x: regexp_matches(x, '^\p{{Lu}}')), list_filter(h, lambda x: NOT regexp_matches(x, '^\p{{Lu}}'))), lambda x: lower(x)) AS t FROM d),
+p AS (SELECT id, at_, lang, unnest(list_filter(t, lambda x, i: list_position(t, x) = i)[1:8]) AS term FROM u), k AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+o AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM p) GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM o GROUP BY 1),
+m AS (SELECT p.id AS a, d.id AS b, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d.w) / mean)) AS part FROM p JOIN o USING (term) JOIN f USING (term) JOIN d ON d.id = o.id CROSS JOIN k WHERE p.id <> d.id AND abs(p.at_ - d.at_) <= 172800 AND coalesce(p.lang = d.lang, true) AND coalesce(d.active >= p.at_ - 259200, true)),
+s AS (SELECT a, b, round(sum(part), 6) AS score FROM m GROUP BY 1, 2) SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY score DESC, b)::INT AS place, score FROM s QUALIFY place <= 40""")
+def event_candidates(spark, sf_dir):
+    """Up to forty reports that each is compared with, by its headline's terms, within two days, in its language, of events that are open."""
+    from ..operators.shortlist import headline_terms, shortlists
+
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") * 600).alias("at"), F.when(F.col("doc_id") % 9 > 0, F.col("lang")).alias("lang"), "text", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") * 600 - F.col("doc_id") % 7 * 90_000).alias("active"))
+    probes = d.select("id", "at", "lang", headline_terms(F.regexp_extract("text", r"^[^.!?\n]*", 0)).alias("terms"))
+    return shortlists(probes, d)
+
+
 @query(f"""WITH t AS (SELECT conv_id, turn, text, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM conversations)
 SELECT a.conv_id, a.turn, max(b.turn) AS earlier FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn < a.turn AND len(list_intersect(a.w, b.w)) >= 3 GROUP BY 1, 2""".replace("\\\\", "\\"))
 def earlier_passages(spark, sf_dir):

@@ -11,11 +11,11 @@ from ..sources.sinks import epub_volumes, markdown, snapshot
 from ..sources.tables import articles, table
 from ..streaming.events import shared_folder
 
-ITEMS = r"""SELECT doc_id::VARCHAR AS guid, source AS feed, nullif(trim(regexp_replace(substr(text, 1, 60), '[^A-Za-z0-9 ]', '', 'g')), '') AS title FROM documents"""
+ITEMS = r"""SELECT doc_id::VARCHAR AS guid, source AS feed, nullif(trim(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), ' '), '') AS title FROM documents"""
 
 
 def _plain_title():
-    return F.btrim(F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z0-9 ]", ""))
+    return F.btrim(F.regexp_replace("text", "[^A-Za-z0-9 ]", ""))
 
 
 @query(ITEMS)

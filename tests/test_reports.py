@@ -157,3 +157,43 @@ def test_a_writer_that_comes_second_reads_the_first(spark, monkeypatch):
 
     monkeypatch.setattr(storage.uuid, "uuid4", late)
     assert [tuple(r) for r in frozen(df, root, "day").collect()] == [("e", 7)]
+
+
+def test_shortlists_equal_a_plain_reading(spark):
+    """Every pair scored by hand: time, language, open events, ties, the limit."""
+    import math
+
+    from inkwell.operators.shortlist import headline_terms, shortlists
+
+    r = random.Random(17)
+    vocabulary = ["Alpha", "beta1", "Gamma", "delta", "epsilon", "Zeta", "the", "eta", "Omega"]
+    rows = [(k, r.randrange(0, 400_000), r.choice(["en", "fr", None]), " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 14))), r.choice([None, r.randrange(-200_000, 400_000)])) for k in range(120)] + [(120, 5, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, at long, lang string, text string, active long")
+    probes = df.select("id", "at", "lang", headline_terms(F.col("text")).alias("terms"))
+    cut = {i: (t or "").lower().split() for i, _, _, t, _ in rows}
+    mean, df_of = sum(map(len, cut.values())) / len(cut), defaultdict(int)
+    for w in cut.values():
+        for x in set(w):
+            df_of[x] += 1
+    want = set()
+    for i, at, lang, text, _ in rows:
+        named = [w for w in (text or "").split() if len(w) >= 4]
+        terms = list(dict.fromkeys(w.lower() for w in [*(w for w in named if w[0].isupper()), *(w for w in named if not w[0].isupper())]))[:8]
+        found = []
+        for j, bt, other, _, active in rows:
+            if i != j and abs(at - bt) <= 172_800 and (lang is None or other is None or lang == other) and (active is None or active >= at - 259_200):
+                held = [t for t in terms if t in cut[j]]
+                if held:
+                    n = len(cut[j])
+                    score = sum(math.log(1 + (len(cut) - df_of[t] + 0.5) / (df_of[t] + 0.5)) * cut[j].count(t) * 2.2 / (cut[j].count(t) + 1.2 * (0.25 + 0.75 * n / mean)) for t in held)
+                    found.append((-round(score, 6), j))
+        want |= {(i, j, k + 1) for k, (_, j) in enumerate(sorted(found)[:5])}
+    got = {(x.a, x.b, x.place) for x in shortlists(probes, df, limit=5).collect()}
+    assert got == want and len(want) > 200
+
+
+def test_headline_terms(spark):
+    from inkwell.operators.shortlist import headline_terms
+
+    df = spark.createDataFrame([("the quiet Harbour of Lund was quiet 2024 a1b2",), (" ".join(f"word{k}" for k in range(12)),), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(headline_terms(F.col("t"))).collect()] == [["harbour", "lund", "quiet", "a1b2"], [f"word{k}" for k in range(8)], None, []]
