@@ -25,6 +25,13 @@ FUNCTIONS = {
     "ink_muted_source": ("url STRING, rules ARRAY<STRING>", "BOOLEAN", "exists(rules, r -> " + _HOST.format("url") + " = r OR endswith(" + _HOST.format("url") + ", concat('.', r)))"),
     "ink_muted_topic": ("title STRING, description STRING, phrases ARRAY<STRING>", "BOOLEAN", "exists(phrases, p -> contains(concat(' ', array_join(" + _WORDS.format("concat_ws(' ', title, description)") + ", ' '), ' '), concat(' ', array_join(" + _WORDS.format("p") + ", ' '), ' ')))"),
     "ink_section": ("title STRING, description STRING, category STRING, wanted STRING, phrases ARRAY<STRING>", "BOOLEAN", "coalesce(lower(category) = lower(wanted), false) OR exists(phrases, p -> contains(concat(' ', array_join(" + _WORDS.format("concat_ws(' ', title, description)") + ", ' '), ' '), concat(' ', array_join(" + _WORDS.format("p") + ", ' '), ' ')))"),
+    # The label of most points (3 in the title, 1.5 in the description, 0.5 in the body, times the phrase's factor), the first listed of equal ones; null below two points.
+    "ink_topic": (
+        "title STRING, description STRING, body STRING, taxonomy ARRAY<STRUCT<label: STRING, phrase: STRING, factor: DOUBLE>>", "STRING",
+        "try_element_at(filter(array(array_max(transform(array_distinct(transform(taxonomy, t -> t.label)), (l, i) -> struct(aggregate(filter(taxonomy, t -> t.label = l), 0D, (s, t) -> s + t.factor * ("
+        + " + ".join(f"CASE WHEN contains(concat(' ', array_join({_WORDS.format(f'coalesce({c}, {chr(39) * 2})')}, ' '), ' '), concat(' ', array_join({_WORDS.format('t.phrase')}, ' '), ' ')) THEN {w}D ELSE 0D END" for c, w in (("title", 3.0), ("description", 1.5), ("body", 0.5)))
+        + ")) AS score, -i AS place, l AS label)))), b -> b.score >= 2), 1).label",
+    ),
     "ink_cosine": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", "CASE WHEN size(a) = size(b) AND size(a) > 0 THEN aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x) END"),
     "ink_tracking": ("name STRING", "BOOLEAN", "lower(name) LIKE 'utm\\\\_%' OR lower(name) IN (" + ", ".join(f"'{t}'" for t in TRACKING) + ")"),
 }

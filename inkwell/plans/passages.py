@@ -168,6 +168,21 @@ def sql_functions(spark, sf_dir):
     return spark.sql("SELECT page_id, ink_host(url) AS host, ink_feed_key(url) AS key, ink_muted_source(url, array('news1.example.com')) AS muted, ink_muted_topic(url, '', array('UTM source')) AS topic FROM inkwell_pages")
 
 
+PADDED = "' ' || array_to_string(" + W + ", ' ') || ' '"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, {PADDED.format("regexp_extract(text, '^[^.!?\n]*')")} AS t, {PADDED.format("text")} AS b FROM documents),
+s AS (SELECT doc_id, 3.5 * (contains(t, ' rights reserved '))::INT + 0.5 * (contains(b, ' rights reserved ') AND NOT contains(t, ' rights reserved '))::INT + CASE WHEN contains(t, ' license ') THEN 7.0 WHEN contains(b, ' license ') THEN 1.0 ELSE 0 END AS law,
+ 0.5 * (CASE WHEN contains(t, ' the ') THEN 3.5 WHEN contains(b, ' the ') THEN 0.5 ELSE 0 END + CASE WHEN contains(t, ' and ') THEN 3.5 WHEN contains(b, ' and ') THEN 0.5 ELSE 0 END) AS prose, CASE WHEN contains(t, ' de ') THEN 3.5 WHEN contains(b, ' de ') THEN 0.5 ELSE 0 END AS french FROM d)
+SELECT doc_id, CASE WHEN greatest(law, prose, french) < 2 THEN NULL WHEN law >= prose AND law >= french THEN 'law' WHEN prose >= french THEN 'prose' ELSE 'french' END AS topic FROM s""")
+def sql_topics(spark, sf_dir):
+    """UD1 R13: topics of whole documents by a function called from SQL, its taxonomy an argument."""
+    register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("inkwell_documents")
+    known = "array(('law', 'license', 2D), ('law', 'Rights-reserved', 1D), ('prose', 'the', 0.5D), ('prose', 'and', 0.5D), ('french', 'de', 1D))"
+    return spark.sql(rf"SELECT doc_id, ink_topic(regexp_extract(text, '^[^.!?\\n]*', 0), '', text, transform({known}, t -> named_struct('label', t.col1, 'phrase', t.col2, 'factor', t.col3))) AS topic FROM inkwell_documents")
+
+
 @query("""WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7) SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], v), 6) AS cosine FROM embeddings, q""")
 def sql_cosine(spark, sf_dir):
     """UD1 V1: cosine of unit vectors in SQL."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.ranking import briefing, discovery_slots, diversity, editorial_score, importance, lanes, limited, mmr, profiles, salience
 from ..operators.windows import first_rows, top_quartile
 from ..registry import query
-from ..sources.tables import table
+from ..sources.tables import articles, table
 
 
 def _vectors(spark, sf_dir):
@@ -78,6 +78,37 @@ def content_types(spark, sf_dir):
     return g.select("conv_id", "n", "words", F.ceil(F.col("words") / 200.0).alias("minutes"), F.when(F.col("r"), "review").when(F.col("q"), "question").otherwise("report").alias("kind"))
 
 
+@query("""WITH s AS (SELECT o_orderkey AS id, (o_orderkey % 5)::INT AS reports, o_orderkey % 101 / 100.0 AS score, o_orderkey % 2 = 0 AS updated, o_orderkey % 3 > 0 AS moving, o_orderkey % 11 / 10.0 AS grouping_, o_orderkey % 4 AS publishers, CASE WHEN o_orderkey % 6 = 0 THEN 0.85 WHEN o_orderkey % 6 = 1 THEN 0.72 END AS kind, o_orderkey % 15 AS minutes, o_orderkey % 9 = 0 AS starred, o_orderkey % 8 = 0 AS affinity, o_orderkey % 21 / 20.0 AS match_ FROM orders)
+SELECT id, round(least(1, 0.3 + least(1, reports / 3.0) * 0.45 + score * 0.25), 6)::DOUBLE AS lead, (CASE WHEN NOT (updated AND moving) THEN 0.30 WHEN grouping_ >= 0.7 OR publishers >= 3 THEN 0.88 ELSE 0.75 END)::DOUBLE AS in_motion,
+       greatest(coalesce(kind, 0), CASE WHEN minutes >= 12 THEN 0.88 WHEN minutes >= 8 THEN 0.75 ELSE 0 END)::DOUBLE AS deep_read, round(greatest(CASE WHEN starred THEN 0.9 ELSE 0 END, CASE WHEN affinity THEN 0.78 ELSE 0 END, CASE WHEN match_ >= 0.5 THEN least(0.95, 0.55 + match_ * 0.4) ELSE 0 END), 6)::DOUBLE AS your_beat,
+       round(CASE WHEN 1 - match_ < 0.6 OR score < 0.35 THEN 0.25 ELSE least(0.92, 0.45 + (1 - match_) * 0.3 + score * 0.2) END, 6)::DOUBLE AS outside FROM s""")
+def lane_confidences(spark, sf_dir):
+    """R4d: how sure each lane is of each order as a story."""
+    from ..operators import editions as e
+
+    k = F.col("o_orderkey")
+    match, score = k % 21 / 20.0, k % 101 / 100.0
+    made = {
+        "lead": e.lead_confidence(k % 5, score), "in_motion": e.in_motion_confidence(k % 2 == 0, k % 3 > 0, k % 11 / 10.0, k % 4),
+        "deep_read": e.deep_read_confidence(F.when(k % 6 == 0, 0.85).when(k % 6 == 1, 0.72), k % 15), "your_beat": e.your_beat_confidence(k % 9 == 0, k % 8 == 0, match), "outside": e.outside_confidence((20 - k % 21) / 20.0, score),
+    }
+    return table(spark, sf_dir, "orders").select(k.alias("id"), *(F.round(c, 6).alias(n) for n, c in made.items()))
+
+
+@query("""WITH d AS (SELECT doc_id, (doc_id % 13)::INT AS k, length(text) - length(replace(text, ' ', '')) AS spaces FROM documents)
+SELECT doc_id, CASE WHEN k IN (0, 1, 2) THEN 'investigation' WHEN k IN (3, 4, 5) THEN 'explainer' WHEN k IN (6, 7, 8, 9) THEN 'opinion' END AS kind, CASE WHEN k IN (0, 1, 2) THEN 0.85 WHEN k IN (3, 4, 5) THEN 0.8 WHEN k IN (6, 7, 8) THEN 0.85 WHEN k = 9 THEN 0.72 END::DOUBLE AS confidence FROM d""")
+def content_kinds(spark, sf_dir):
+    """R4f: kinds of documents whose headline, summary, section or address tells it in a way given by their number. The SQL tells it by that number."""
+    from ..operators.editions import content_kind
+
+    d = articles(spark, sf_dir).select("id", F.regexp_replace("title", r"[^\p{L} ]", "").alias("title"))
+    k = F.col("id") % 13
+    pick = lambda *cases, other="": F.coalesce(*(F.when(k == n, c if not isinstance(c, str) else F.lit(c)) for n, c in cases), F.lit(other) if isinstance(other, str) else other)
+    title = pick((0, F.concat(F.lit("Investigation: "), "title")), (1, F.concat("title", F.lit(" - a deep-dive"))), (4, "How does it work?"), (6, F.concat(F.lit("My view: "), "title")), (10, "How it worked"), (11, "Police launch investigation"), other=F.col("title"))
+    summary = pick((3, "What you need to know"), (9, "A columnist writes"), (12, "An opinionated guide"))
+    return d.select(F.col("id").alias("doc_id"), content_kind(title, summary, pick((7, "World Opinion")), pick((2, "https://x.example/special-report/1"), (5, "https://x.example/Explainers/1"), (8, "https://x.example/commentisfree/1"))).alias("c")).select("doc_id", "c.kind", "c.confidence")
+
+
 INTEREST = "i AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_type IN ('view', 'purchase')), w AS (SELECT user_id, event_id % 12 AS category, sum(CASE event_type WHEN 'purchase' THEN 3 ELSE 1 END) AS weight FROM i WHERE rn <= 200 GROUP BY 1, 2)"
 
 
