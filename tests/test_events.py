@@ -221,3 +221,14 @@ def test_facts_by_cues_and_figures(spark):
     facts = [(1, "At least 12 people were killed in an airstrike, officials denied a ceasefire."), (2, "Hundreds of residents were displaced by flooding as talks resumed."), (3, "No troops crossed the border."), (4, None)]
     got = {r.event: (r.type, r.deaths, r.affected) for r in classify_facts(spark.createDataFrame(facts, "event long, quote string")).collect()}
     assert got == {1: ("armedConflict", 12, 0), 2: ("disaster", 0, 200), 3: (None, 0, 0), 4: (None, 0, 0)}
+
+
+@pytest.mark.parametrize("text,deaths,affected", [
+    ("At least 12 people were killed and 30 injured", 12, 30), ("killing at least 1,200", 1200, 0), ("wounding more than 40 others", 0, 40), ("The death toll rose to 350 on Monday", 350, 0), ("The toll. It rose to 350", 0, 0),
+    ("hundreds of people have been displaced", 0, 200), ("hundreds of thousands were killed", 200, 0), ("3.5 million people reportedly displaced", 0, 3_500_000), ("2024 killed", 0, 0), ("2,024 killed", 2024, 0), ("0.5 dead", 0, 0),
+    ("12, people killed", 0, 0), ("12 more young civilians were now missing", 0, 12), ("12 young old civilians missing", 0, 0), ("5 soldiers and 7 police officers died", 7, 0), ("a12 dead", 0, 0), ("12th dead", 0, 0), ("killed up to 5 thousand", 5000, 0), ("", 0, 0), (None, 0, 0),
+])
+def test_figures_of_planted_passages(spark, text, deaths, affected):
+    from inkwell.operators.casualties import figures
+
+    assert tuple(spark.createDataFrame([(text,)], "t string").select(figures("t")).first()[0]) == (deaths, affected)
