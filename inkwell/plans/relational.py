@@ -174,10 +174,12 @@ def region_sets(spark, sf_dir):
 
 @query("SELECT l_orderkey AS event, arg_min(p_name, (l_shipdate, l_linenumber)) AS title FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
 def event_lead_title(spark, sf_dir):
-    """The title of the first report; the first is found before names are joined."""
-    first = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("event")).agg(F.min_by("l_partkey", F.struct("l_shipdate", "l_linenumber")).alias("part"))
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"))
-    return first.join(p, F.col("part") == F.col("p_partkey")).select("event", "title")
+    """The title of the first report whose part has one; days and numbers that are missing come last, and of equal ones the first in the table counts."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_linenumber", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title")).where("title IS NOT NULL")
+    known = lambda c: F.struct(F.col(c).isNull().alias("missing"), F.col(c).alias("value"))
+    order = F.struct(known("l_shipdate").alias("at"), known("l_linenumber").alias("number"), "file", "row")
+    return li.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("event")).agg(F.min_by("title", order).alias("title"))
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
