@@ -10,12 +10,16 @@ of their own.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stemming import stem_of, stems
+from ..functions.stemming import stem_of
 from ..functions.text import words
 from .search import B, K1
 from .storage import shared_root
@@ -42,19 +46,58 @@ class Term(NamedTuple):
     stemmed: bool = False
 
 
+#: Words that a step of the tokens' grouping works on at once, whole documents at a time.
+CHUNK = 1 << 20
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, length, w0, w1, ...) → postings: the words of whole documents grouped by sorting their codes. Stems are made once a word and chunk."""
+    for batch in batches:
+        ids, lengths, lists = batch.column(0), batch.column(1).to_numpy(), batch.columns[2:]
+        ends = np.cumsum(lengths)
+        start = 0
+        while start < batch.num_rows:
+            done = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + CHUNK, "right")))
+            parts = [c.slice(start, stop - start) for c in lists]
+            flat = pa.concat_arrays([p.flatten() for p in parts]).dictionary_encode()
+            if len(flat):
+                sizes = [pc.list_value_length(p).to_numpy() for p in parts]
+                row = np.concatenate([np.repeat(np.arange(stop - start), s) for s in sizes])
+                place = np.concatenate([np.int64(k * FIELD) + np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s) for k, s in enumerate(sizes)])
+                code = flat.indices.to_numpy().astype(np.int64)
+                # stable: the places of a word in a document stay in order
+                order = np.argsort(row * len(flat.dictionary) + code, kind="stable")
+                row, code, place = row[order], code[order], place[order]
+                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])])
+                bounds = np.r_[first, len(row)]
+                stem = pa.array([stem_of(w) for w in flat.dictionary.to_pylist()], pa.string())
+                code, row = pa.array(code[first]), row[first] + start
+                columns = [stem.take(code), flat.dictionary.take(code), ids.take(pa.array(row)), pa.array(np.diff(bounds)), pa.array(lengths[row].astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(place))]
+                yield pa.RecordBatch.from_arrays(columns, names=["stem", "term", "id", "tf", "length", "positions"])
+            start = stop
+
+
 def build(df: DataFrame, id_col: str, fields: list[str], path: str) -> Index:
-    """Write the index of the text columns ``fields`` under ``path``. Null texts hold no words."""
+    """Write the index of the text columns ``fields`` under ``path``. Null texts hold no words.
+
+    A document's words are grouped where it is read and written so; the one shuffle is that of the postings by range, whose bounds are
+    drawn from what was written. Rows that repeat an id are one document: only if there are any are postings put together again.
+    """
+    spark = df.sparkSession
     tokens = df.select(F.col(id_col).alias("id"), *(words(F.coalesce(F.col(f), F.lit(""))).alias(f"w{k}") for k, f in enumerate(fields)))
     length = sum((F.size(f"w{k}") for k in range(len(fields))), F.lit(0))
-    each = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.col(f"w{k}").alias("w")) for k in range(len(fields)))))
-    rows = tokens.select("id", length.alias("length"), each.alias("f")).select("id", "length", F.col("f.k").alias("k"), F.posexplode("f.w").alias("p", "term"))
-    postings = rows.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.sort_array(F.collect_list(F.col("k") * FIELD + F.col("p"))).alias("positions"))
-    placed = postings.select(stems("term").alias("stem"), *postings.columns)
-    placed.repartitionByRange("stem", "term", "id").sortWithinPartitions("stem", "term", "id").write.parquet(f"{path}/postings")
-    counted = df.sparkSession.read.parquet(f"{path}/postings").groupBy("term", "stem").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    kind = df.schema[id_col].dataType.simpleString()
+    made = tokens.select("id", length.alias("length"), *(f"w{k}" for k in range(len(fields)))).mapInArrow(_postings, f"stem string, term string, id {kind}, tf bigint, length int, positions array<bigint>")
+    made.write.parquet(f"{path}/grouped")
+    placed = spark.read.parquet(f"{path}/grouped").repartitionByRange("stem", "term", "id")
+    if not df.groupBy(F.col(id_col)).count().where("count > 1").isEmpty():
+        placed = placed.groupBy("stem", "term", "id").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    placed.sortWithinPartitions("stem", "term", "id").write.parquet(f"{path}/postings")
+    counted = spark.read.parquet(f"{path}/postings").groupBy("term", "stem").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     counted.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/vocabulary")
     tokens.agg(F.count("*").alias("n"), F.avg(length).alias("mean")).write.parquet(f"{path}/corpus")
-    return opened(df.sparkSession, path, fields)
+    return opened(spark, path, fields)
 
 
 def opened(spark: SparkSession, path: str, fields: list[str]) -> Index:
