@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.merging import edition_changes, forwarded, insert_or_ignore, insert_or_replace, prune, revisions, upsert, without_tombstones
-from ..operators.windows import first_rows, islands, rises, top_quartile, trailing
+from ..operators.windows import first_rows, islands, rises, top_quartile, trailing, trailing_distinct
 from ..registry import query
 from ..sources.tables import table
 
@@ -213,11 +213,9 @@ def trailing_volume(spark, sf_dir):
 @query("""WITH e AS (SELECT event_id, event_type, user_id, floor(epoch(ts))::BIGINT AS sec FROM events)
 SELECT a.event_id, count(DISTINCT b.user_id)::BIGINT AS origins FROM e a JOIN e b ON a.event_type = b.event_type AND b.sec BETWEEN a.sec - 3600 AND a.sec GROUP BY 1""")
 def trailing_origins(spark, sf_dir):
-    """Distinct origins in the last hour. A hot type is cut by hour: a row sees its own hour and the one before."""
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at")).withColumn("hour", F.expr("at div 3600"))
-    copies = e.withColumn("slot", F.explode(F.array("hour", F.col("hour") + 1)))
-    seen = F.size(F.collect_set("user_id").over(trailing(["event_type", "slot"], "at", 3600)))
-    return copies.withColumn("origins", seen.cast("long")).where("slot = hour").select("event_id", "origins")
+    """Distinct origins in the last hour, told by where each origin's stretches begin and end."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    return e.join(trailing_distinct(e, "event_type", "user_id", "at", 3600), ["event_type", "at"]).select("event_id", F.col("n").alias("origins"))
 
 
 DAILY = "SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1"
