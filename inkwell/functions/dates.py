@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ PATTERNS = (
     "yyyy-MM-dd", "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy",
 )
 
+# How texts that a group of the patterns can read begin, and how the group's patterns do. No text begins in two of these ways.
+SHAPES = ((r"^[+-]?[0-9]+-[0-9]", "yyyy-"), (r"^[+-]?[0-9]+[ -][A-Za-z]", "d[ -]MMM"), (r"^[A-Za-z]+ [+-]?[0-9]", "MMM "))
+
 
 def feed_date(raw: Column) -> Column:
     """The time a feed states, or null. Zone-less forms are UTC; a wrong weekday doesn't matter."""
@@ -26,14 +31,16 @@ def feed_date(raw: Column) -> Column:
     # Dates in words whose year has two digits are of this century.
     text = F.regexp_replace(text, r"^([A-Za-z]+ +\d{1,2},|\d{1,2} +[A-Za-z]+) +(\d\d)(?= |$)", "$1 20$2")
     usable = F.when((F.length(text) > 0) & (F.octet_length(text) <= 512), text)
-    return F.coalesce(*(F.try_to_timestamp(usable, F.lit(p)) for p in PATTERNS))
+    # The text is named once, and a pattern is tried only on what begins as it does: a failed try costs an exception.
+    tried = lambda t: F.coalesce(*(F.when(t.rlike(shape), F.coalesce(*(F.try_to_timestamp(t, F.lit(p)) for p in PATTERNS if re.match(starts, p)))) for shape, starts in SHAPES))
+    return F.get(F.transform(F.array(usable), tried), 0)
 
 
 def retry_seconds(header: Column, now: Column) -> Column:
     """Retry-After as seconds from now: a number, or an HTTP date; null where neither or past."""
     number = F.when(F.btrim(header).rlike(r"^\d{1,9}$"), F.btrim(header).try_cast("long"))
-    until = F.unix_timestamp(feed_date(header)) - F.unix_timestamp(now)
-    return F.coalesce(number, F.nullif(F.greatest(until, F.lit(0)), F.lit(0)))
+    until = F.unix_timestamp(feed_date(F.when(number.isNull(), header))) - F.unix_timestamp(now)
+    return F.coalesce(number, F.get(F.filter(F.array(until), lambda s: s > 0), 0))  # the date is read once
 
 
 def backoff_seconds(failures: Column) -> Column:
