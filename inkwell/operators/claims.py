@@ -109,9 +109,10 @@ def claim_failures(df: DataFrame, id_cols: list[str], claim: str, source: str, t
     moved = F.exists("_cq", lambda q: reporting_construction(cased_words(q)) & ~F.exists("_sq", lambda p: _padded(folded_words(p)).contains(_padded(folded_words(q)))))
     copied = lambda q: F.exists(F.sequence(F.lit(1), F.greatest(F.size(q) - (COPIED - 1), F.lit(1))), lambda i: (F.size(q) >= COPIED) & F.col("_cp").contains(_padded(F.slice(q, i, F.lit(COPIED)))))
     acts = lambda t: F.transform(F.regexp_extract_all(t, F.lit(ACTIONS), F.lit(1)), F.lower)
+    figures = F.col("_c").rlike("[0-9]")  # a claim without a digit states no quantity and no date
     tests = {
-        "quantity": F.size(unsupported_quantities(quantities(F.col("_c")), quantities(F.col("_s")), tolerance)) > 0,
-        "date": F.size(unsupported_dates(stated_dates(F.col("_c")), stated_dates(F.col("_s")))) > 0,
+        "quantity": figures & (F.size(unsupported_quantities(quantities(F.col("_c")), quantities(F.col("_s")), tolerance)) > 0),
+        "date": figures & (F.size(unsupported_dates(stated_dates(F.col("_c")), stated_dates(F.col("_s")))) > 0),
         "negation": denied(F.col("_cn")) != denied(F.col("_nn")),
         "hedge": unsure(F.col("_nn")) & ~unsure(F.col("_cn")),
         "speaker": (F.size("_cs") > 0) & ~F.arrays_overlap("_cs", "_ps"),
