@@ -43,6 +43,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class (five-word shingles, similarity 0.8): the smallest doc_id.
 
+    Candidates come from the chains of SimHash fingerprints and from routing keys with SimHash sketches; links are exact.
     Rows without an id stay, as nothing names them; rows that repeat an id stay or go together.
     """
     kept = materialize(near_duplicate_classes(docs).where("id = component").select(F.col("id").alias("_id")).distinct(), "representatives")

@@ -26,6 +26,8 @@ RING = 8
 #: Heads of chains for a distance of 3 over 8 segments. The budgets are 0, 0, 1, 1, 1, 2, 2, 3: two
 #: equal segments, then at most one difference in three, so two of these three are equal as well.
 EXACT_HEADS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4))
+#: Bits by which linked fingerprints differ at most; the heads are made for it.
+LIMIT = 3
 #: Keys that route a text, each over so many minima of its shingle hashes. Two texts of Jaccard similarity j share
 #: none with the probability (1 - j ** ROWS) ** BANDS, wherever they differ: 0.00005 at 0.8.
 BANDS, ROWS = 25, 5
@@ -277,6 +279,12 @@ def group_links(keyed: DataFrame, lanes: list[str], limit: int, chain: bool, hot
     return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(batches, "u long, v long")
 
 
+def chain_links(nodes: DataFrame, fp: str, hot: int = HOT) -> DataFrame:
+    """(id, fp) → (u, v): links that span the classes of distinct fingerprints LIMIT or fewer bits apart, sought by the ring's chains."""
+    keyed = nodes.select(F.explode(head_keys(fp, EXACT_HEADS)).alias("k"), "id", fp).select("k.*", "id", fp)
+    return group_links(keyed, [fp], LIMIT, chain=True, hot=hot)
+
+
 def hamming_components(df: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id, fp, component): classes of fingerprints that 3 or fewer differing bits link, at any remove.
 
@@ -284,11 +292,9 @@ def hamming_components(df: DataFrame, width: int = 3, id_col: str = "doc_id", te
     Null texts count as empty (fingerprint zero, linked like any other); rows with a null id are
     given the component of their fingerprint; repeated ids keep their rows; an empty table gives none.
     """
-    limit = 3
     fps = materialize(fingerprints(df, width, id_col, text_col), "fingerprints")
     classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("node")), "classes")
-    keyed = classes.where("node IS NOT NULL").select(F.explode(head_keys("fp", EXACT_HEADS)).alias("k"), F.col("node").alias("id"), "fp").select("k.*", "id", "fp")
-    found = components(group_links(keyed, ["fp"], limit, chain=True, hot=hot))
+    found = components(chain_links(classes.where("node IS NOT NULL").select(F.col("node").alias("id"), "fp"), "fp", hot))
     named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     return fps.join(materialize(named, "named"), "fp", "left").select("id", "fp", "component")
 
@@ -436,8 +442,9 @@ def near_duplicate_classes(
 ) -> DataFrame:
     """(id, component): classes of texts that links of an exact Jaccard similarity of ``similarity`` or more join.
 
-    Candidates share a routing key and are near by their sketches; each link is confirmed on the sets of
-    shingle hashes. Surely near texts are linked first by spanning links. Of what these leave in different classes, every
+    Candidates are fingerprints within LIMIT bits, found by the ring's chains as in ``hamming_components``, and, as texts of that
+    similarity differ in more bits than chains can seek, what shares a routing key and is near by its whole sketch; each link is confirmed on the
+    sets of shingle hashes. Surely near texts are linked first by spanning links. Of what these leave in different classes, every
     candidate pair is checked where both sets are: rows with an open candidate bring their set to the routing key that the
     pair shares first, and only links that join two classes leave. Null and empty texts form one class of their
     own only with other texts without words. Rows with a null id are left out: no id tells them apart.
@@ -450,13 +457,15 @@ def near_duplicate_classes(
     firsts = [F.first(x).alias(x) for x in ("n", "keys", *parts)]
     classes = materialize(made.groupBy("c").agg(F.min(F.struct("id")).alias("_node"), *firsts).select("c", F.col("_node.id").alias("node"), "n", "keys", *parts), "sketch-classes")
     keyed = classes.where("n > 0").select(F.explode("keys").alias("key"), F.col("c").alias("id"), *parts)
-    near = materialize(group_links(keyed, parts, wide, chain=False, hot=hot).distinct(), "sketch-near")
+    # the first lane is a fingerprint of its own
+    chained = materialize(chain_links(classes.where("n > 0").select(F.col("c").alias("id"), parts[0]), parts[0], hot).distinct(), "sketch-chained")
+    near = materialize(group_links(keyed, parts, wide, chain=False, hot=hot).unionByName(chained).distinct(), "sketch-near")
     ends = near.select(F.explode(F.array("u", "v")).alias("c")).distinct()
     some = materialize(classes.join(ends.hint("merge"), "c", "left_semi"), "sketch-some")
     texts = df.select(F.col(id_col).cast("long").alias("node"), text_or_empty(text_col).alias("t"))
     sets = materialize(hash_sets(texts.join(some.select("c", "node").hint("merge"), "node"), width), "sketch-sets")
     again = some.select(F.explode("keys").alias("key"), F.col("c").alias("id"), *parts)
-    sure = group_links(again, parts, hamming_limit(min(1.0, similarity + slack), bits), chain=False, hot=hot).distinct()
+    sure = group_links(again, parts, hamming_limit(min(1.0, similarity + slack), bits), chain=False, hot=hot).unionByName(chained).distinct()
     sure = materialize(confirmed(sure, sets, similarity), "sketch-sure")
     labels = materialize(some.select("c").join(components(sure), F.col("c") == F.col("node"), "left").select("c", F.coalesce("component", "c").alias("label")), "sketch-labels")
     labelled = materialize(some.join(labels, "c").select("c", "label", "n", "keys", *parts), "sketch-labelled")

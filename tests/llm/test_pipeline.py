@@ -153,3 +153,20 @@ def test_links_are_exact(spark):
                 root = {n: min(x, y) if r in (x, y) else r for n, r in root.items()}
     cls = {r.id: r.component for r in simhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert cls == root
+
+
+def test_near_dedup_seeks_by_chains_of_fingerprints(spark, monkeypatch):
+    """Without the routing keys' groups, the ring's chains alone link texts whose fingerprints are 3 or fewer bits apart and whose sets are near."""
+    rng, rows = random.Random(8), []
+    for k in range(20):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+        rows += [(10 * k, " ".join(w)), (10 * k + 1, " ".join(w[:-2])), (10 * k + 2, " ".join(w[: 1000 + 20 * k]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: simhash.np.unique(simhash.shingle_hashes(simhash.words_of(t), 5)) for i, t in rows}
+    fps = {i: simhash.majority_bits(simhash.remixed(x, 0)) for i, x in sets.items()}
+    whole, nothing = simhash.group_links, spark.createDataFrame([], "u long, v long")
+    monkeypatch.setattr(simhash, "group_links", lambda *a, **k: whole(*a, **k) if k["chain"] else nothing)
+    monkeypatch.setattr(simhash, "group_linked", lambda *a, **k: nothing)
+    cls = {r.id: r.component for r in simhash.near_duplicate_classes(docs).collect()}
+    near = {(i, i - i % 10) for i in sets if i % 10 and (fps[i] ^ fps[i - i % 10]).bit_count() <= 3 and len(set(sets[i].tolist()) & set(sets[i - i % 10].tolist())) >= 0.8 * len(sets[i - i % 10])}
+    assert len(near) >= 15 and {(i, c) for i, c in cls.items() if i != c} == near
