@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
+from .storage import written
 from .windows import first_rows, ordered_fold
 
 # Candidates of one query and picks of one list: features of the operators.
@@ -107,17 +108,24 @@ LANES = (("lead", "lead_ok", "score", 1, 5), ("in_motion", "motion_ok", "motion"
 def lanes(stories: DataFrame, key: str = "edition") -> DataFrame:
     """(edition, id, lane): each lane takes its best eligible stories in turn; what a full lane leaves falls through.
 
-    A lane with fewer than its least releases all. The rest is 'latest'. One ranked stage per lane.
+    A lane with fewer than its least releases all. The rest is 'latest'. Ids have to be distinct within ``key``. A lane takes from
+    its first ``most`` eligible stories and as many more as the lanes before it may have taken; only these, a few for each ``key``
+    however many stories it has, meet in one task.
     """
-    left, out = stories, None
+    firsts, before = None, 0
+    for _, ok, score, least, most in LANES:
+        place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), F.asc("id")))
+        best = stories.where(F.col(ok)).withColumn("_place", place).where(F.col("_place") <= max(least, most) + before).drop("_place")
+        firsts, before = best if firsts is None else firsts.unionByName(best), before + most
+    left, out = written(firsts.dropDuplicates([key, "id"]), "lane-firsts"), None
     for name, ok, score, least, most in LANES:
         rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(ok), F.desc(score), F.asc("id")))
         size = F.count_if(F.col(ok)).over(Window.partitionBy(key))
-        marked = left.withColumn("_in", F.col(ok) & (rank <= most) & (size >= least))
-        taken = marked.where("_in").select(key, "id", F.lit(name).alias("lane"))
+        marked = left.withColumn("_in", F.coalesce(F.col(ok) & (rank <= most) & (size >= least), F.lit(False)))
+        taken = marked.where("_in").select(F.col(key).alias("_key"), F.col("id").alias("_id"), F.lit(name).alias("lane"))
         out = taken if out is None else out.unionByName(taken)
         left = marked.where("NOT _in").drop("_in")
-    return out.unionByName(left.select(key, "id", F.lit("latest").alias("lane")))
+    return stories.join(out, F.col(key).eqNullSafe(F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left").select(key, "id", F.coalesce("lane", F.lit("latest")).alias("lane"))
 
 
 def discovery_slots(batch: Column, remainder: Column) -> tuple[Column, Column]:
