@@ -12,6 +12,9 @@ HOUR = 3600
 #: Seconds around a report, for which an event stays open, candidates of a report; terms of a report and letters of a term.
 WINDOW, LIFETIME, CANDIDATES = 48 * HOUR, 72 * HOUR, 40
 TERMS, LETTERS = 8, 4
+#: Tasks over which postings and pairs are dealt, whatever the session's own number is. Up to 200 (Spark's default threshold),
+#: a task that deals rows writes them as they come and holds none of them.
+DEALT = 200
 
 
 def headline_terms(title: Column) -> Column:
@@ -27,23 +30,35 @@ def shortlists(probes: DataFrame, archive: DataFrame, now: int | None = None, wi
     ``probes``: (id, at, lang, terms). ``archive``: (id, at, lang, text, active), ``active`` being when the report's event last gained
     one, null for a report alone. A candidate shares a term, lies within ``window`` seconds, is not the probe, is of its
     language or of an unknown one (null), and its event was active in the 72 hours before ``now`` (by default the probe's
-    time). Postings meet by term and span of the window, ids and lengths only; of the scored pairs each task keeps a probe's
-    best ``limit`` before they are shuffled.
+    time). Ids have to be distinct in the archive. A text's words are counted where it is read, so what is shuffled are its
+    different words, once, and neither they nor what they meet are sorted: postings pass by the probes of their term and span
+    of the window, which are the fewer rows. The scored terms of a pair are dealt by the probe, whose sums and places need no
+    other shuffle.
     """
     cut = archive.select("id", "at", "lang", "active", words(F.coalesce("text", F.lit(""))).alias("w"))
     corpus = cut.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))
+    posted = _postings(cut)
+    # reports without an id count as one
+    held = cut.select("id", F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg((F.count("id") + F.max(F.col("id").isNull().cast("int"))).alias("df"))
     asked = probes.select(F.col("id").alias("a"), F.col("at").alias("ta"), F.col("lang").alias("la"), F.explode(F.array_distinct("terms")).alias("term"))
-    posted = cut.select("id", "at", "lang", "active", F.size("w").alias("length"), F.explode("w").alias("term"))
-    # words that no probe asks for end here
-    posted = posted.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), *(F.first(c).alias(c) for c in ("at", "lang", "active", "length")))
-    posted = posted.join(posted.groupBy("term").agg(F.count("*").alias("df")), "term")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = asked.join(held, "term").join(F.broadcast(corpus)).select("a", "ta", "la", "term", idf.alias("idf"), "mean")  # one row
     slot = lambda t: F.floor(F.col(t) / window)
     left = asked.withColumn("slot", F.explode(F.array(*(slot("ta") + k for k in (-1, 0, 1)))))
-    right = posted.select(F.col("id").alias("b"), F.col("at").alias("tb"), F.col("lang").alias("lb"), "active", "tf", "length", "df", "term", slot("at").alias("slot"))
+    right = posted.select(F.col("id").alias("b"), F.col("at").alias("tb"), F.col("lang").alias("lb"), "active", "tf", "length", "term", slot("at").alias("slot"))
     since = (F.lit(now) if now is not None else F.col("ta")) - LIFETIME
-    met = left.join(right, ["term", "slot"]).where((F.col("a") != F.col("b")) & (F.abs(F.col("ta") - F.col("tb")) <= window) & F.coalesce(F.col("la") == F.col("lb"), F.lit(True)) & F.coalesce(F.col("active") >= since, F.lit(True)))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = met.join(F.broadcast(corpus)).groupBy("a", "b").agg(F.round(F.sum(part), 6).alias("score"))  # one row
+    met = left.repartition(DEALT, "term", "slot").hint("shuffle_hash").join(right.repartition(DEALT, "term", "slot"), ["term", "slot"])
+    met = met.where((F.col("a") != F.col("b")) & (F.abs(F.col("ta") - F.col("tb")) <= window) & F.coalesce(F.col("la") == F.col("lb"), F.lit(True)) & F.coalesce(F.col("active") >= since, F.lit(True)))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    scored = met.select("a", "b", part.alias("part")).repartition(DEALT, "a").groupBy("a", "b").agg(F.round(F.sum("part"), 6).alias("score"))
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
     return scored.withColumn("place", place).where(F.col("place") <= limit).select("a", "b", "place", "score")
+
+
+def _postings(cut: DataFrame) -> DataFrame:
+    """(id, at, lang, active, length, term, tf) of (id, at, lang, active, w), each row's words sorted and counted by themselves."""
+    rows = cut.select("id", "at", "lang", "active", F.size("w").alias("length"), F.sort_array("w").alias("w"))
+    first = F.transform("w", lambda x, i: F.when(~F.get("w", i - 1).eqNullSafe(x), F.struct(x.alias("term"), i.alias("i"))))
+    rows = rows.withColumn("firsts", F.filter(first, lambda f: f.isNotNull())).drop("w")
+    counted = F.transform("firsts", lambda f, k: F.struct(f["term"].alias("term"), (F.coalesce(F.get("firsts", k + 1)["i"], F.col("length")) - f["i"]).alias("tf")))
+    return rows.select("id", "at", "lang", "active", "length", F.inline(counted))
