@@ -12,7 +12,7 @@ HOUR = 3600
 #: Seconds around a report, for which an event stays open, candidates of a report; terms of a report and letters of a term.
 WINDOW, LIFETIME, CANDIDATES = 48 * HOUR, 72 * HOUR, 40
 TERMS, LETTERS = 8, 4
-#: Tasks over which postings and pairs are dealt, whatever the session's own number is. Up to 200 (Spark's default threshold),
+#: Tasks over which postings and pairs are dealt where the session's own number is smaller. Up to 200 (Spark's default threshold),
 #: a task that deals rows writes them as they come and holds none of them.
 DEALT = 200
 
@@ -37,20 +37,22 @@ def shortlists(probes: DataFrame, archive: DataFrame, now: int | None = None, wi
     """
     cut = archive.select("id", "at", "lang", "active", words(F.coalesce("text", F.lit(""))).alias("w"))
     corpus = cut.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))
-    posted = _postings(cut)
+    # reports whose event was closed to every probe near them are no candidates
+    open_at = (F.lit(now) if now is not None else F.col("at") - window) - LIFETIME
+    posted = _postings(cut.where(F.coalesce(F.col("active") >= open_at, F.lit(True))))
     # reports without an id count as one
     held = cut.select("id", F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg((F.count("id") + F.max(F.col("id").isNull().cast("int"))).alias("df"))
     asked = probes.select(F.col("id").alias("a"), F.col("at").alias("ta"), F.col("lang").alias("la"), F.explode(F.array_distinct("terms")).alias("term"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = asked.join(held, "term").join(F.broadcast(corpus)).select("a", "ta", "la", "term", idf.alias("idf"), "mean")  # one row
+    asked = asked.join(held, "term").join(F.broadcast(corpus)).select("a", "ta", "la", "term", idf.alias("idf"))  # one row
     slot = lambda t: F.floor(F.col(t) / window)
     left = asked.withColumn("slot", F.explode(F.array(*(slot("ta") + k for k in (-1, 0, 1)))))
-    right = posted.select(F.col("id").alias("b"), F.col("at").alias("tb"), F.col("lang").alias("lb"), "active", "tf", "length", "term", slot("at").alias("slot"))
+    right = posted.select(F.col("id").alias("b"), F.col("at").alias("tb"), F.col("lang").alias("lb"), "active", "tf", "length", F.col("term").alias("word"))
     since = (F.lit(now) if now is not None else F.col("ta")) - LIFETIME
-    met = left.repartition(DEALT, "term", "slot").hint("shuffle_hash").join(right.repartition(DEALT, "term", "slot"), ["term", "slot"])
+    met = left.repartition(DEALT, "term", "slot").hint("shuffle_hash").join(right.repartition(DEALT, F.col("word"), slot("tb")), (F.col("term") == F.col("word")) & (F.col("slot") == slot("tb")))
     met = met.where((F.col("a") != F.col("b")) & (F.abs(F.col("ta") - F.col("tb")) <= window) & F.coalesce(F.col("la") == F.col("lb"), F.lit(True)) & F.coalesce(F.col("active") >= since, F.lit(True)))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = met.select("a", "b", part.alias("part")).repartition(DEALT, "a").groupBy("a", "b").agg(F.round(F.sum("part"), 6).alias("score"))
+    scored = met.join(F.broadcast(corpus)).select("a", "b", part.alias("part")).repartition(DEALT, "a").groupBy("a", "b").agg(F.round(F.sum("part"), 6).alias("score"))
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
     return scored.withColumn("place", place).where(F.col("place") <= limit).select("a", "b", "place", "score")
 
